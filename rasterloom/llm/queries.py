@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, html_text, langid, quality, rules, secrets
+from . import bpe, decontam, html_text, langid, quality, rules, secrets, sharding
 from .common import crc_mod, map_rows, table
 
 #: Where the tokenizer files are, unless a caller names another place.
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.balanced_shards(table(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
@@ -84,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_language_id, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op10_quality_rules)
+    found = (op1_sharding, op2_language_id, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 

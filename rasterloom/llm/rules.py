@@ -13,7 +13,7 @@ from .stats import FEATURES, document_stats
 #: Labelled rows that the trees are grown from, at most; all statistics and verdicts cover every row.
 TRAIN_ROWS = 20_000
 #: Features on which the score may only fall as they rise.
-FALLING = ("symbol_ratio", "bang_ratio", "bar_ratio", "dup_lines", "repeat_words", "symbol_words", "top_word")
+FALLING = ("symbol_ratio", "bang_ratio", "bar_ratio", "dup_lines", "repeat_words", "symbol_words", "top_word", "echo_words")
 
 
 @dataclass

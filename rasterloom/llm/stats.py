@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from itertools import islice
+from operator import eq
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -16,7 +17,7 @@ STOPS = b".,;:"
 FEATURES = (
     "log_chars", "log_words", "mean_word", "log_longest", "symbol_ratio", "upper_ratio", "digit_ratio",
     "bang_ratio", "bar_ratio", "stop_ratio", "dup_lines", "distinct_words", "repeat_words", "log_line_words",
-    "symbol_words", "top_word",
+    "symbol_words", "top_word", "echo_words",
 )
 
 
@@ -64,5 +65,5 @@ def document_stats(text: str | None) -> tuple[dict[str, int], list[float]]:
     return counts, [
         math.log1p(n_chars), math.log1p(n_words), chars / nw, math.log1p(len(sample)), symbols / chars,
         upper / max(1, upper + lower), _count(data, DIGITS) / chars, min(2.0, data.count(b"!") / nw), min(2.0, data.count(b"|") / nw),
-        _count(data, STOPS) / nw, dup / lines, len(distinct) / nw, rep / nw, math.log1p(n_words / lines), symbol_words, first / nw,
+        _count(data, STOPS) / nw, dup / lines, len(distinct) / nw, rep / nw, math.log1p(n_words / lines), symbol_words, first / nw, sum(map(eq, words, islice(words, 1, None))) / nw,
     ]
