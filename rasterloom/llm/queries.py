@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, html_text, langid, quality, rules, secrets, sharding
+from . import bpe, decontam, html_text, langid, linededup, quality, rules, secrets, sharding
 from .common import crc_mod, map_rows, table
 
 #: Where the tokenizer files are, unless a caller names another place.
@@ -84,14 +84,38 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP9_SQL = r"""
+WITH cuts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i AS no, ls[i] AS line FROM cuts, unnest(generate_series(1, len(ls))) t(i)),
+sets AS (SELECT doc_id, no, line, list_distinct(list_filter(string_split(line, ' '), lambda v: v <> '')) AS w FROM lines),
+firsts AS (SELECT line, min((doc_id, no)) AS at, any_value(w) AS w, len(any_value(w)) AS n FROM sets WHERE len(w) >= 5 GROUP BY line),
+tokens AS (SELECT line, n, unnest(w) AS t FROM firsts),
+freq AS (SELECT t, count(*) AS f FROM tokens GROUP BY t),
+ranked AS (SELECT line, n, t, row_number() OVER (PARTITION BY line ORDER BY f, t) AS r FROM tokens JOIN freq USING (t)),
+prefix AS (SELECT line, t FROM ranked WHERE r <= n - ((4 * n + 4) // 5) + 1),
+pairs AS (SELECT DISTINCT a.line AS x, b.line AS y FROM prefix a JOIN prefix b ON a.t = b.t AND a.line <> b.line),
+late AS (SELECT DISTINCT p.x FROM pairs p JOIN firsts a ON a.line = p.x JOIN firsts b ON b.line = p.y
+  WHERE b.at < a.at AND 5 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
+gone AS (SELECT s.doc_id, s.no FROM sets s JOIN firsts f ON f.line = s.line WHERE (s.doc_id, s.no) <> f.at OR s.line IN (SELECT x FROM late)),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text, count(*) AS n FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.no = l.no GROUP BY l.doc_id)
+SELECT c.doc_id, CAST(len(c.ls) AS BIGINT) AS n_lines, CAST(len(c.ls) - coalesce(k.n, 0) AS BIGINT) AS n_removed, coalesce(k.text, '') AS text
+FROM cuts c LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_language_id, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op10_quality_rules)
+    found = (op1_sharding, op2_language_id, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL}
