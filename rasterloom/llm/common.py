@@ -6,13 +6,15 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch. Texts are whole, so a batch is bounded by rows here and by bytes below.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
+#: 64-bit words of the bitmaps that thin out rows before a join; they let through too much, never too little.
+BITMAP_WORDS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +71,21 @@ def crc_mod(column: str, n: int):
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hash of the key: the same rows however the table is laid out."""
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(most)
+
+
+def numbers(values, kind: str) -> Column:
+    """A constant array; it is parsed once, when the plan is optimised."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def bitmap(ids: DataFrame, *columns: str) -> Column:
+    """A test that is true for every row whose columns occur in ``ids``, and for few others while ids are few."""
+    h = F.xxhash64(*columns)
+    at = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 AS INT))")
+    found = ids.select(h.alias("h"), at.alias("at")).groupBy("at").agg(F.bit_or(bit).alias("bits")).collect()
+    words = [0] * BITMAP_WORDS
+    for r in found:
+        words[r["at"]] = r["bits"]
+    word = F.element_at(numbers(words, "bigint"), at.cast("int") + 1)
+    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1

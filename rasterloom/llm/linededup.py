@@ -10,26 +10,6 @@ from . import common
 
 #: Buckets of the token count table; every token of every line is counted in one of them.
 RARITY_BUCKETS = 1 << 17
-#: 64-bit words of the bitmaps that thin out rows before a join; they let through too much, never too little.
-BITMAP_WORDS = 1 << 14
-
-
-def _numbers(values, kind: str) -> Column:
-    """A constant array; it is parsed once, when the plan is optimised."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
-def bitmap(ids: DataFrame, *columns: str) -> Column:
-    """A test that is true for every row whose columns occur in ``ids``, and for few others while ids are few."""
-    h = F.xxhash64(*columns)
-    at = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
-    bit = F.expr("shiftleft(1L, cast(h & 63 AS INT))")
-    found = ids.select(h.alias("h"), at.alias("at")).groupBy("at").agg(F.bit_or(bit).alias("bits")).collect()
-    words = [0] * BITMAP_WORDS
-    for r in found:
-        words[r["at"]] = r["bits"]
-    word = F.element_at(_numbers(words, "bigint"), at.cast("int") + 1)
-    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def text_key(text: str = "text") -> Column:
@@ -64,7 +44,7 @@ def line_prefixes(lines: DataFrame, levels: list[int], min_words: int, num: int,
     num/den or more share one of the first n - ceil(n num/den) + 1 tokens. The sketch has a bit
     flipped by each token; two sketches differ in no more bits than the sets in tokens.
     """
-    table = _numbers(levels, "int")
+    table = common.numbers(levels, "int")
     low = F.lit(0xFFFFFFFF)
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(low))
     codes = F.transform(hashes, lambda h: F.shiftleft(F.element_at(table, (h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)) + 1).cast("int")).cast("long"), 32).bitwiseOR(h))
@@ -93,7 +73,7 @@ def _may_match(num: int, den: int) -> Column:
 def verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (doc, line, y_doc, y_line) whose lines have an exact Jaccard similarity of num/den or more."""
     ids = pairs.select("doc", "line").union(pairs.select("y_doc", "y_line"))
-    text = common.cut(lines.where(bitmap(ids, "doc", "line")).groupBy("doc", "line").agg(F.min("text").alias("text")))
+    text = common.cut(lines.where(common.bitmap(ids, "doc", "line")).groupBy("doc", "line").agg(F.min("text").alias("text")))
     tokens = text.select("doc", "line", F.array_distinct(words(F.col("text"))).alias("w"))
     x = tokens.select(F.col("doc"), F.col("line"), F.col("w").alias("x_w"))
     y = tokens.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("w").alias("y_w"))
@@ -132,8 +112,8 @@ def later_matches(lines: DataFrame, min_words: int = 5, num: int = 4, den: int =
 
     # What was near an earliest line, matched nothing, and so was not compared with its token's other lines.
     open_ = common.cut(pairs.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti"))
-    mine = common.cut(rows.where(bitmap(open_, "doc", "line")).join(open_, ["doc", "line"], "left_semi"))
-    theirs = other.where(bitmap(mine.select("token").distinct(), "token"))
+    mine = common.cut(rows.where(common.bitmap(open_, "doc", "line")).join(open_, ["doc", "line"], "left_semi"))
+    theirs = other.where(common.bitmap(mine.select("token").distinct(), "token"))
     again = mine.join(theirs, (mine["token"] == theirs["token"]) & earlier & _may_match(num, den)).select(*names).distinct()
     again = common.cut(again.join(pairs, list(names), "left_anti"))
     return distinct, found.union(verified(again, lines, num, den).select("doc", "line")).distinct()
@@ -147,7 +127,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int =
     first = distinct.join(similar.withColumn("late", F.lit(True)), ["doc", "line"], "left").where("copies > 1 OR late")
     first = common.cut(first.select("same", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.coalesce("late", F.lit(False)).alias("late")))
     seen = lines.select("doc", "line", F.xxhash64("text").alias("same"))
-    seen = seen.where(bitmap(first, "same")).join(first, "same")
+    seen = seen.where(common.bitmap(first, "same")).join(first, "same")
     is_first = F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("line") == F.col("f_line"))
     return seen.where(F.col("late") | ~is_first).select("doc", "line").distinct()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, html_text, langid, linededup, quality, rules, secrets, sharding
+from . import bpe, decontam, html_text, langid, linededup, nearjoin, quality, rules, secrets, sharding
 from .common import crc_mod, map_rows, table
 
 #: Where the tokenizer files are, unless a caller names another place.
@@ -30,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -113,7 +117,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_language_id, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules)
+    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
