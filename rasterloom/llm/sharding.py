@@ -8,6 +8,8 @@ from . import common
 
 #: Rows that one ranking bucket holds on average; ranks are a prefix sum over buckets plus a rank inside one.
 BUCKET_ROWS = 20_000
+#: While labels move a shard may hold an SLACK-th more than its quota, so that full shards can exchange groups.
+SLACK = 4
 
 
 def _rank(df: DataFrame, group: str, bucket: Column, order: list[str]) -> DataFrame:
@@ -79,7 +81,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, id_col:
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1")
     linked = rows.select("row", "k1", "k2").join(groups, ["k1", "k2"]).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    linked = propagate(common.cut(linked.select("row", "k1", "k2", "m", "shard")), shards, quota[-1], rounds)
+    linked = propagate(common.cut(linked.select("row", "k1", "k2", "m", "shard")), shards, quota[0] + -(-quota[0] // SLACK), rounds)
 
     labels = linked.select("row", F.col("shard").alias("label"), "m")
     labelled = rows.join(labels, "row", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
