@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 #: 64-bit words of the bitmaps that thin out rows before a join; they let through too much, never too little.
-BITMAP_WORDS = 1 << 14
+BITMAP_WORDS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as ``cut``, by a compressed table in the shared folder that is read again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an integer id written as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from . import common
 
 #: Buckets of the token count table; every token of every line is counted in one of them.
-RARITY_BUCKETS = 1 << 17
+RARITY_BUCKETS = 1 << 16
 
 
 def text_key(text: str = "text") -> Column:
@@ -17,9 +17,13 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, text): line is the text's key and the line's number; documents of equal id and text give equal rows."""
-    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), text_key(text_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("no", "text"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, keyed: bool = True) -> DataFrame:
+    """(doc, line, text): line is the text's key and the line's number; documents of equal id and text give equal rows.
+
+    Without ``keyed``, for ids that occur once, the key is 0 and rows are smaller.
+    """
+    key = text_key(text_col) if keyed else F.lit(0).cast("long")
+    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), key.alias("key"), F.posexplode(F.split(text_col, "\n")).alias("no", "text"))
     return src.select("doc", (F.col("key") * (1 << 32) + F.col("no")).alias("line"), "text")
 
 
@@ -28,12 +32,12 @@ def words(line: Column) -> Column:
 
 
 def rarity_levels(lines: DataFrame) -> list[int]:
-    """Level of each bucket: 8 log2 of the occurrences of its tokens over all lines."""
+    """Level of each bucket: 2 log2 of the occurrences of its tokens over all lines."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1))
     counts = lines.select(F.explode(F.split("text", " ")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
     levels = [0] * RARITY_BUCKETS
     for r in counts:
-        levels[r["b"]] = int(8 * math.log2(r["n"] + 1))
+        levels[r["b"]] = min(127, int(2 * math.log2(r["n"] + 1)))
     return levels
 
 
@@ -45,27 +49,25 @@ def line_prefixes(lines: DataFrame, levels: list[int], min_words: int, num: int,
     flipped by each token; two sketches differ in no more bits than the sets in tokens.
     """
     table = common.numbers(levels, "int")
-    low = F.lit(0xFFFFFFFF)
-    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(low))
-    codes = F.transform(hashes, lambda h: F.shiftleft(F.element_at(table, (h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)) + 1).cast("int")).cast("long"), 32).bitwiseOR(h))
-    src = lines.select("doc", "line", F.xxhash64("text").alias("same"), F.sort_array(F.array_distinct(codes)).alias("codes"))
+    rarity = lambda w: F.shiftleft(F.coalesce(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), 56)
+    codes = F.transform(words(F.col("text")), lambda w: rarity(w) + F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
+    # inline() keeps the filter below from computing the codes a second time.
+    src = lines.select("doc", "line", F.xxhash64("text").alias("same"), F.inline(F.array(F.struct(F.sort_array(F.array_distinct(codes)).alias("codes")))))
     n = F.size("codes")
     keep = n - F.floor((n * num + den - 1) / den).cast("int") + 1
-    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 24).bitwiseAND(F.lit(63)).cast("int"))))
+    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    low = F.lit(0xFFFFFFFF)
     rows = src.where(n >= min_words).select("doc", "line", "same", n.alias("n"), sketch.alias("sketch"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
     first = rows.groupBy("same", "sketch", "n").agg(F.min(F.struct("doc", "line", "prefix")).alias("f"), F.count("*").alias("copies"))
     return first.select("f.doc", "f.line", "n", "sketch", "f.prefix", "copies", "same")
 
 
-def _ceil_div(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b)
-
-
 def _may_match(num: int, den: int) -> Column:
     """Length, positional and sketch filters on a pair x, y that shares a prefix token."""
-    n, m = F.col("n"), F.col("y_n")
-    need = _ceil_div((n + m) * num, num + den)
-    reach = F.least(n - F.col("pos"), m - F.col("y_pos"))
+    n, m = (F.shiftright(c, 32) for c in ("np", "y_np"))
+    pos, y_pos = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("np", "y_np"))
+    need = F.expr(f"((shiftright(np, 32) + shiftright(y_np, 32)) * {num} + {num + den - 1}) div {num + den}")
+    reach = F.least(n - pos, m - y_pos)
     differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch")))
     return (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
 
@@ -73,12 +75,12 @@ def _may_match(num: int, den: int) -> Column:
 def verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (doc, line, y_doc, y_line) whose lines have an exact Jaccard similarity of num/den or more."""
     ids = pairs.select("doc", "line").union(pairs.select("y_doc", "y_line"))
-    text = common.cut(lines.where(common.bitmap(ids, "doc", "line")).groupBy("doc", "line").agg(F.min("text").alias("text")))
-    tokens = text.select("doc", "line", F.array_distinct(words(F.col("text"))).alias("w"))
-    x = tokens.select(F.col("doc"), F.col("line"), F.col("w").alias("x_w"))
-    y = tokens.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("w").alias("y_w"))
+    text = common.stored(lines.where(common.bitmap(ids, "doc", "line")))
+    x = text.select(F.col("doc"), F.col("line"), F.col("text").alias("x_t"))
+    y = text.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("text").alias("y_t"))
     both = pairs.join(x, (pairs["doc"].eqNullSafe(x["doc"])) & (pairs["line"] == x["line"])).drop(x["doc"]).drop(x["line"])
     both = both.join(y, (both["y_doc"].eqNullSafe(y["y_doc"])) & (both["y_line"] == y["y_line"])).drop(y["y_doc"]).drop(y["y_line"])
+    both = both.select("*", F.inline(F.array(F.struct(F.array_distinct(words(F.col("x_t"))).alias("x_w"), F.array_distinct(words(F.col("y_t"))).alias("y_w")))))
     common_words = F.size(F.array_intersect("x_w", "y_w"))
     union = F.size("x_w") + F.size("y_w") - common_words
     return both.where(common_words * den >= union * num).select("doc", "line", "y_doc", "y_line")
@@ -92,36 +94,40 @@ def later_matches(lines: DataFrame, min_words: int = 5, num: int = 4, den: int =
     verified first and joined only if that fails, so a group of similar lines costs as many
     comparisons as it has lines.
     """
-    distinct = common.cut(line_prefixes(lines, rarity_levels(lines), min_words, num, den))
-    rows = distinct.select("doc", "line", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    at = F.struct("doc", "line")
-    head = F.struct("doc", "line", "n", "sketch", "pos")
+    distinct = common.stored(line_prefixes(lines, rarity_levels(lines), min_words, num, den))
+    prefixes = distinct.select("doc", "line", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    columns = ("doc", "line", "np", "sketch")
+    # Columns that are known not to be null keep the plans below the exchange equal, so that it runs once.
+    full = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    np = F.col("n").cast("long") * (1 << 32) + F.col("pos")
+    rows = prefixes.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"))
+    dealt = rows.repartition("token")  # once, for the window and for both sides of the join
     w = W.partitionBy("token").orderBy("doc", "line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    headed = rows.withColumn("h", F.first(head).over(w))
-    as_head = headed.select("*", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("doc", "line", "n", "sketch", "pos")]).drop("h")
+    headed = dealt.withColumn("h", F.first(F.struct(*columns)).over(w))
+    as_head = headed.select("token", *columns, *[F.col(f"h.{c}").alias(f"y_{c}") for c in columns])
     not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
     tested = as_head.where(not_head).withColumn("near", _may_match(num, den))
     names = ("doc", "line", "y_doc", "y_line")
     near = tested.where("near").select(*names)
-    other = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "line", "n", "sketch", "pos")])
-    far = tested.where("NOT near").drop("y_doc", "y_line", "y_n", "y_sketch", "y_pos", "near")
-    earlier = F.struct("y_doc", "y_line") < at
-    rest = far.join(other, (far["token"] == other["token"]) & earlier & _may_match(num, den)).select(*names)
+    far = tested.where("NOT near").select("token", *columns)
+    other = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
+    earlier = F.struct("y_doc", "y_line") < F.struct("doc", "line")
+    rest = far.join(other, (far["token"] == other["token"]) & _may_match(num, den) & earlier).select(*names)
     pairs = common.cut(near.union(rest).distinct())
     found = common.cut(verified(pairs, lines, num, den).select("doc", "line").distinct())
 
     # What was near an earliest line, matched nothing, and so was not compared with its token's other lines.
     open_ = common.cut(pairs.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti"))
     mine = common.cut(rows.where(common.bitmap(open_, "doc", "line")).join(open_, ["doc", "line"], "left_semi"))
-    theirs = other.where(common.bitmap(mine.select("token").distinct(), "token"))
-    again = mine.join(theirs, (mine["token"] == theirs["token"]) & earlier & _may_match(num, den)).select(*names).distinct()
+    theirs = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
+    again = mine.join(theirs, (mine["token"] == theirs["token"]) & _may_match(num, den) & earlier).select(*names).distinct()
     again = common.cut(again.join(pairs, list(names), "left_anti"))
     return distinct, found.union(verified(again, lines, num, den).select("doc", "line")).distinct()
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keyed: bool = True) -> DataFrame:
     """(doc, line) of every line that has an earlier match, exact copies included."""
-    lines = lines_of(docs, id_col, text_col)
+    lines = lines_of(docs, id_col, text_col, keyed)
     distinct, similar = later_matches(lines, min_words, num, den)
     # Every occurrence of a line that is copied, or whose first occurrence has an earlier match.
     first = distinct.join(similar.withColumn("late", F.lit(True)), ["doc", "line"], "left").where("copies > 1 OR late")
@@ -144,10 +150,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int = 5,
     input are replaced; other columns pass through. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs, min_words, num, den, id_col, text_col)
-    per_doc = gone.groupBy(F.col("doc").alias("__doc"), F.shiftright("line", 32).alias("__key")).agg(F.collect_set(F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("__gone"))
-    keyed = docs.select(*names, text_key(text_col).alias("__text_key"))
-    joined = keyed.join(per_doc, (F.col(id_col).eqNullSafe(F.col("__doc"))) & (F.col("__text_key") == F.col("__key")), "left")
+    keyed = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
+    gone = removed_lines(docs, min_words, num, den, id_col, text_col, keyed)
+    per_doc = common.cut(gone.groupBy(F.col("doc").alias("__doc"), F.shiftright("line", 32).alias("__key")).agg(F.collect_set(F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("__gone")))
+    source = docs.select(*names, (text_key(text_col) if keyed else F.lit(0).cast("long")).alias("__text_key"))
+    hit = common.bitmap(per_doc.withColumnRenamed("__doc", id_col).select(id_col), id_col)
+    touched = source.where(hit).join(per_doc, (F.col(id_col).eqNullSafe(F.col("__doc"))) & (F.col("__text_key") == F.col("__key")), "left")
+    untouched = source.where(~hit).select("*", *[F.lit(None).cast(t).alias(c) for c, t in per_doc.dtypes])
+    joined = touched.unionByName(untouched)
     lines = F.split(text_col, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")

@@ -16,6 +16,10 @@ WIDTH = 5
 TREES, DEPTH = 32, 8
 #: Distinct texts of a candidate group that one task holds at a time; larger groups are compared block by block.
 BLOCK = 512
+#: Rows of a trie bucket that one task holds at a time.
+BUCKET = 2048
+#: Edges that one task of the component search handles.
+EDGE_ROWS = 20_000
 #: Word hashes that a task remembers.
 CACHE = 200_000
 
@@ -169,14 +173,17 @@ def components(edges: DataFrame) -> DataFrame:
     number of steps grows with the logarithm of the component's size.
     """
     edges = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    tasks = edges.count() // EDGE_ROWS + 1  # few edges are not spread over many small shuffle files
+    edges = edges.coalesce(tasks)
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        small = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         edges = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = common.cut(edges.union(large.join(small, "u").select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = edges.union(large.join(small, "u").select("u", F.col("m").alias("v"))).where("u <> v").coalesce(tasks)
+        edges = common.cut(edges.distinct().coalesce(tasks))
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") / (1 << 20)).alias("h"), F.count_distinct("u").alias("u")).first()
         if seen == (state.n, state.h) and state.n == state.u:
             break
@@ -184,6 +191,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def bucket_edges(members: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+    """Pairs (a, b) of different groups of a bucket with two texts whose labels allow the threshold.
+
+    ``members`` has (tree, prefix, size, node, n, comp). Rows of a bucket meet in one task, two
+    blocks at most at a time; each pair of groups comes out once, as groups that are joined are
+    compared text by text later.
+    """
+    blocks = F.floor((F.col("size") + (BUCKET - 1)) / BUCKET).cast("int")
+    rows = members.join(nodes.select("node", "labels"), "node").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    units = rows.select("tree", "prefix", "block", "node", "n", "comp", "labels", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "labels")
+    ordered = units.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j")
+
+    def solve(unit, keys, marks):
+        block, _, n, comp = keys
+        left, right = np.nonzero(block == unit[2])[0], np.nonzero(block == unit[3])[0]
+        if len(left) > len(right):
+            left, right = right, left
+        values, counts = np.unique(comp[right], return_counts=True)
+        if len(values) == 0:
+            return [], []
+        if unit[2] == unit[3]:  # every pair of groups has a text outside the largest
+            left = left[comp[left] != values[counts.argmax()]]
+        edges: set = set()
+        for x in left:
+            ok = (comp[right] != comp[x]) & (5 * np.minimum(n[right], n[x]) >= 4 * np.maximum(n[right], n[x]))
+            for y in (at := right[ok])[(marks[at] == marks[x]).mean(axis=1) >= floor]:
+                edges.add((int(min(comp[x], comp[y])), int(max(comp[x], comp[y]))))
+        return [a for a, _ in edges], [b for _, b in edges]
+
+    def run(batches):
+        unit, held, marks = None, [], []
+
+        def flush():
+            a, b = solve(unit, [np.concatenate(c) for c in zip(*held)], np.concatenate(marks))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+            rest = [batch.column(k).to_numpy().astype(np.int64) for k in range(4, 8)]
+            lab = np.frombuffer(batch.column(8).flatten().to_numpy().tobytes(), dtype=np.uint8).reshape(-1, TREES * DEPTH)
+            starts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(keys)]
+            for lo, hi in zip(starts, starts[1:]):
+                if unit != tuple(keys[lo]):
+                    if held:
+                        yield flush()
+                    unit, held, marks = tuple(keys[lo]), [], []
+                held.append([c[lo:hi] for c in rest])
+                marks.append(lab[lo:hi])
+        if held:
+            yield flush()
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Numbers of shared shingles of every left and every right set, by bit matrices of the shingles they share."""
     vocabulary = np.intersect1d(np.concatenate(left), np.concatenate(right))
@@ -205,10 +269,11 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Verify every pair inside candidate groups: (node, links) and spanning edges (a, b) of the true links.
+    """Verify every pair inside candidate groups: (node, links, root) and spanning edges (a, b) of the true links.
 
     Every two texts of a group meet in one task, which holds two blocks at most; it emits
-    counts per text and a spanning forest, never the pairs themselves. ``links`` counts documents.
+    counts per text and, for groups of several blocks, a spanning forest, never the pairs
+    themselves. ``links`` counts documents; ``root`` names the class in groups of one block.
     """
     member = comps.join(nodes.select("node", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "node")
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
@@ -229,15 +294,15 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
     joined = keyed.join(wanted.withColumnRenamed("doc_id", "rep_id"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
     sets = common.map_rows(joined, ["node", "comp", "copies", "blocks", "block", text_col], "node long, comp long, copies long, blocks int, block int, shingles binary", make)
     # A block meets itself and every other block of its group: unit (i, j), i <= j.
-    units = sets.select("comp", "node", "copies", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "shingles")
+    units = sets.select("comp", "node", "copies", "block", "blocks", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "shingles", "blocks")
     ordered = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "node")
 
-    def solve(unit, rows):
+    def solve(unit, rows, single):
         _, i, j = unit
         left = [r for r in rows if r[0] == i]
         right = left if i == j else [r for r in rows if r[0] == j]
-        out = {"a": [], "b": [], "links": []}
+        out = {"a": [], "b": [], "links": [], "root": []}
         if not left or not right:
             return out
         a, b = [r[3] for r in left], [r[3] for r in right]
@@ -251,6 +316,7 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
         out["a"] += [n for n, _ in counts]
         out["b"] += [None] * len(counts)
         out["links"] += [c for _, c in counts]
+        edges = []
         parent = {r[1]: r[1] for r in left} | {r[1]: r[1] for r in right}
 
         def find(x):
@@ -263,28 +329,30 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
             u, v = find(left[x][1]), find(right[y][1])
             if u != v:
                 parent[max(u, v)] = min(u, v)
-                out["a"].append(left[x][1])
-                out["b"].append(right[y][1])
-                out["links"].append(None)
+                edges.append((left[x][1], right[y][1]))
+        out["root"] += [find(n) if single else None for n in out["a"]]
+        if not single:
+            for k, v in zip(("a", "b", "links", "root"), ([a for a, _ in edges], [b for _, b in edges], [None] * len(edges), [None] * len(edges))):
+                out[k] += v
         return out
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
-        unit, rows = None, []
+        unit, rows, single = None, [], True
         for batch in batches:
-            for comp, i, j, block, node, copies, data in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for comp, i, j, block, node, copies, data, blocks in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if unit != (comp, i, j):
                     if unit:
-                        yield pa.RecordBatch.from_pydict(solve(unit, rows), schema=schema)
-                    unit, rows = (comp, i, j), []
+                        yield pa.RecordBatch.from_pydict(solve(unit, rows, single), schema=schema)
+                    unit, rows, single = (comp, i, j), [], blocks == 1
                 if not rows or rows[-1][1] != node:
                     rows.append((block, node, copies, np.frombuffer(data, dtype=np.uint64)))
         if unit:
-            yield pa.RecordBatch.from_pydict(solve(unit, rows), schema=schema)
+            yield pa.RecordBatch.from_pydict(solve(unit, rows, single), schema=schema)
 
-    solved = common.cut(ordered.mapInArrow(run, "a long, b long, links long"))
-    counts = solved.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    solved = common.cut(ordered.mapInArrow(run, "a long, b long, links long, root long"))
+    counts = solved.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.max("root").alias("root"))
     return counts, solved.where("b IS NOT NULL").select("a", "b")
 
 
@@ -313,19 +381,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     # Texts that share a prefix but not a group: neighbours in the trie that other texts stand between.
     labelled = nodes.select("node", "n", "labels").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.posexplode("labels").alias("tree", "label"))
     labelled = common.cut(labelled.select("node", "n", "comp", "tree", F.shiftright("label", 8 * (DEPTH - depth)).alias("prefix")))
-    mixed = labelled.groupBy("tree", "prefix").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tree", "prefix")
-    open_ = common.cut(labelled.join(mixed, ["tree", "prefix"]))
-    other = open_.select("tree", "prefix", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    cross = open_.join(other, ["tree", "prefix"]).where((F.col("comp") < F.col("comp_b")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
-    more = with_estimates(cross.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().withColumn("depth", F.lit(depth)), nodes, least)
-    more = common.cut(more.select("a", "b"))
+    mixed = labelled.groupBy("tree", "prefix").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("tree", "prefix", "size")
+    open_ = labelled.join(mixed, ["tree", "prefix"])
+    more = common.cut(bucket_edges(open_, nodes, least))
     if more.limit(1).count():
-        comps = common.cut(components(edges.union(more)))
+        merged = components(more).withColumnRenamed("node", "group").withColumnRenamed("comp", "into")
+        grouped = nodes.select("node").join(comps, "node", "left").withColumn("group", F.coalesce("comp", "node")).join(merged, "group", "left")
+        comps = common.cut(grouped.where("comp IS NOT NULL OR into IS NOT NULL").select("node", F.coalesce("into", "group").alias("comp")))
 
     counts, spanning = exact_links(comps, nodes, docs, id_col, text_col)
-    classes = components(spanning)
+    classes = components(spanning) if spanning.limit(1).count() else spanning.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     solved = nodes.select("node", "h1", "h2", "n", "copies", "first").join(classes, "node", "left").join(counts, "node", "left")
-    solved = common.cut(solved.select("h1", "h2", "n", F.coalesce("comp", "node").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"))
+    solved = common.cut(solved.select("h1", "h2", "n", F.coalesce("root", "comp", "node").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"))
     named = solved.groupBy("comp").agg(F.min("first").alias("class_id"))
     solved = solved.join(named, "comp").select("h1", "h2", F.col("n").alias("size"), "class_id", "n_links")
     joined = rows.join(solved, (rows["h1"] == solved["h1"]) & (rows["h2"] == solved["h2"]) & (rows["n"] == solved["size"]), "left")
