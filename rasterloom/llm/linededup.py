@@ -10,6 +10,8 @@ from . import common
 
 #: Buckets of the token count table; every token of every line is counted in one of them.
 RARITY_BUCKETS = 1 << 16
+#: Lines of so many distinct tokens have 128 bits of sketch, shorter ones 64.
+WIDE_WORDS = 64
 
 
 def text_key(text: str = "text") -> Column:
@@ -46,7 +48,8 @@ def line_prefixes(lines: DataFrame, levels: list[int], min_words: int, num: int,
 
     Tokens are ordered by rarity, ties by their hash. Two lines with a Jaccard similarity of
     num/den or more share one of the first n - ceil(n num/den) + 1 tokens. The sketch has a bit
-    flipped by each token; two sketches differ in no more bits than the sets in tokens.
+    flipped by each token; two sketches differ in no more bits than the sets in tokens. In long
+    lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
     """
     table = common.numbers(levels, "int")
     rarity = lambda w: F.shiftleft(F.coalesce(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), 56)
@@ -56,10 +59,12 @@ def line_prefixes(lines: DataFrame, levels: list[int], min_words: int, num: int,
     n = F.size("codes")
     keep = n - F.floor((n * num + den - 1) / den).cast("int") + 1
     sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    wide = F.when(n >= WIDE_WORDS, half).otherwise(0)
     low = F.lit(0xFFFFFFFF)
-    rows = src.where(n >= min_words).select("doc", "line", "same", n.alias("n"), sketch.alias("sketch"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
-    first = rows.groupBy("same", "sketch", "n").agg(F.min(F.struct("doc", "line", "prefix")).alias("f"), F.count("*").alias("copies"))
-    return first.select("f.doc", "f.line", "n", "sketch", "f.prefix", "copies", "same")
+    rows = src.where(n >= min_words).select("doc", "line", "same", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
+    first = rows.groupBy("same", "sketch", "wide", "n").agg(F.min(F.struct("doc", "line", "prefix")).alias("f"), F.count("*").alias("copies"))
+    return first.select("f.doc", "f.line", "n", "sketch", "wide", "f.prefix", "copies", "same")
 
 
 def _may_match(num: int, den: int) -> Column:
@@ -68,16 +73,17 @@ def _may_match(num: int, den: int) -> Column:
     pos, y_pos = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("np", "y_np"))
     need = F.expr(f"((shiftright(np, 32) + shiftright(y_np, 32)) * {num} + {num + den - 1}) div {num + den}")
     reach = F.least(n - pos, m - y_pos)
-    differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch")))
+    both = F.col("sketch").bitwiseXOR(F.col("y_sketch"))
+    half = F.col("wide").bitwiseXOR(F.col("y_wide"))
+    differ = F.when((n >= WIDE_WORDS) & (m >= WIDE_WORDS), F.bit_count(half) + F.bit_count(both.bitwiseXOR(half))).otherwise(F.bit_count(both))
     return (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (doc, line, y_doc, y_line) whose lines have an exact Jaccard similarity of num/den or more."""
-    ids = pairs.select("doc", "line").union(pairs.select("y_doc", "y_line"))
-    text = common.stored(lines.where(common.bitmap(ids, "doc", "line")))
-    x = text.select(F.col("doc"), F.col("line"), F.col("text").alias("x_t"))
-    y = text.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("text").alias("y_t"))
+    x_ids, y_ids = pairs.select("doc", "line"), pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
+    x = lines.where(common.bitmap(x_ids, "doc", "line")).select("doc", "line", F.col("text").alias("x_t"))
+    y = lines.where(common.bitmap(y_ids, "doc", "line")).select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("text").alias("y_t"))
     both = pairs.join(x, (pairs["doc"].eqNullSafe(x["doc"])) & (pairs["line"] == x["line"])).drop(x["doc"]).drop(x["line"])
     both = both.join(y, (both["y_doc"].eqNullSafe(y["y_doc"])) & (both["y_line"] == y["y_line"])).drop(y["y_doc"]).drop(y["y_line"])
     both = both.select("*", F.inline(F.array(F.struct(F.array_distinct(words(F.col("x_t"))).alias("x_w"), F.array_distinct(words(F.col("y_t"))).alias("y_w")))))
@@ -95,12 +101,12 @@ def later_matches(lines: DataFrame, min_words: int = 5, num: int = 4, den: int =
     comparisons as it has lines.
     """
     distinct = common.stored(line_prefixes(lines, rarity_levels(lines), min_words, num, den))
-    prefixes = distinct.select("doc", "line", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    columns = ("doc", "line", "np", "sketch")
+    prefixes = distinct.select("doc", "line", "n", "sketch", "wide", F.posexplode("prefix").alias("pos", "token"))
+    columns = ("doc", "line", "np", "sketch", "wide")
     # Columns that are known not to be null keep the plans below the exchange equal, so that it runs once.
     full = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     np = F.col("n").cast("long") * (1 << 32) + F.col("pos")
-    rows = prefixes.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"))
+    rows = prefixes.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
     dealt = rows.repartition("token")  # once, for the window and for both sides of the join
     w = W.partitionBy("token").orderBy("doc", "line").rowsBetween(W.unboundedPreceding, W.currentRow)
     headed = dealt.withColumn("h", F.first(F.struct(*columns)).over(w))
@@ -108,20 +114,25 @@ def later_matches(lines: DataFrame, min_words: int = 5, num: int = 4, den: int =
     not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
     tested = as_head.where(not_head).withColumn("near", _may_match(num, den))
     names = ("doc", "line", "y_doc", "y_line")
-    near = tested.where("near").select(*names)
+    differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
+    near = tested.where("near").select(*names, differ)
     far = tested.where("NOT near").select("token", *columns)
     other = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
     earlier = F.struct("y_doc", "y_line") < F.struct("doc", "line")
-    rest = far.join(other, (far["token"] == other["token"]) & _may_match(num, den) & earlier).select(*names)
+    rest = far.join(other, (far["token"] == other["token"]) & _may_match(num, den) & earlier).select(*names, differ)
     pairs = common.cut(near.union(rest).distinct())
-    found = common.cut(verified(pairs, lines, num, den).select("doc", "line").distinct())
+    # One match is enough to remove a line: its likeliest pair is verified first, the others where that fails.
+    best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("b")).select("doc", "line", "b.y_doc", "b.y_line")
+    found = common.cut(verified(common.cut(best), lines, num, den).select("doc", "line").distinct())
+    others = common.cut(pairs.select(*names).join(found, ["doc", "line"], "left_anti"))
+    found = common.cut(found.union(verified(others, lines, num, den).select("doc", "line")).distinct())
 
     # What was near an earliest line, matched nothing, and so was not compared with its token's other lines.
     open_ = common.cut(pairs.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti"))
     mine = common.cut(rows.where(common.bitmap(open_, "doc", "line")).join(open_, ["doc", "line"], "left_semi"))
     theirs = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
     again = mine.join(theirs, (mine["token"] == theirs["token"]) & _may_match(num, den) & earlier).select(*names).distinct()
-    again = common.cut(again.join(pairs, list(names), "left_anti"))
+    again = common.cut(again.join(pairs.select(*names), list(names), "left_anti"))
     return distinct, found.union(verified(again, lines, num, den).select("doc", "line")).distinct()
 
 
