@@ -48,6 +48,24 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns and without a shuffle.
+
+    ``make()`` runs once in each task and returns a function from a list of the column's values
+    to a list of booleans.
+    """
+    bounded_batches(df.sparkSession)
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    at = df.columns.index(column)
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            yield batch.filter(pa.array(f(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of the session's own where it is unset."""
     sc = spark.sparkContext

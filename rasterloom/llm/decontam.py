@@ -94,14 +94,8 @@ class WindowIndex:
         return hit, items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """Words of each document inside occurrences of benchmark windows.
-
-    Returns doc_id, n_words, hit (sorted positions), items (sorted item ids that have occurring
-    windows). Null texts and texts without words have none; equal windows of several items count
-    for all of them; an item id of null counts as the empty string; repeated document rows stay
-    repeated, so rows are not merged by doc_id; empty tables give no hits or no rows.
-    """
+def window_search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS):
+    """What a task calls once to get its search: texts -> [(number of words, hit positions, items)]."""
     spark = docs.sparkSession
     windows = common.cut(item_windows(benchmark, width=width).select("window", F.coalesce("item", F.lit("")).alias("item")))
     common.bounded_batches(spark)
@@ -115,8 +109,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     def make():
         only = WindowIndex(blocks[0].value) if len(blocks) == 1 else None
 
-        def f(rows):
-            words = [words_of(t) for t in rows["text"]]
+        def f(texts):
+            words = [words_of(t) for t in texts]
             hits = [(set(), set()) for _ in words]
             for b in blocks:
                 index = only or WindowIndex(b.value)  # of several blocks one index at a time is in memory
@@ -124,7 +118,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
                     h, i = index.hits(w)
                     hit |= h
                     items |= i
-            return {"doc_id": rows["doc_id"], "n_words": [len(w) for w in words], "hit": [sorted(h) for h, _ in hits], "items": [sorted(i) for _, i in hits]}
+            return [(len(w), hit, items) for w, (hit, items) in zip(words, hits)]
+
+        return f
+
+    return make
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """Words of each document inside occurrences of benchmark windows.
+
+    Returns doc_id, n_words, hit (sorted positions), items (sorted item ids that have occurring
+    windows). Null texts and texts without words have none; equal windows of several items count
+    for all of them; an item id of null counts as the empty string; repeated document rows stay
+    repeated, so rows are not merged by doc_id; empty tables give no hits or no rows.
+    """
+    search = window_search(docs, benchmark, width, block)
+
+    def make():
+        find = search()
+
+        def f(rows):
+            found = find(rows["text"])
+            return {"doc_id": rows["doc_id"], "n_words": [n for n, _, _ in found], "hit": [sorted(h) for _, h, _ in found], "items": [sorted(i) for _, _, i in found]}
 
         return f
 
@@ -136,6 +152,14 @@ def items_digest(items: list[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any hit word, with their own columns."""
-    dirty = contamination(docs, benchmark).where(F.size("hit") > 0).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without any hit word, with their own columns.
+
+    Each row is judged by its own text, so a null or repeated doc_id decides nothing.
+    """
+    search = window_search(docs, benchmark)
+
+    def make():
+        find = search()
+        return lambda texts: [not hit for _, hit, _ in find(texts)]
+
+    return common.filter_rows(docs, "text", make)

@@ -18,12 +18,13 @@ N_BINS = 2000
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features) of every whole text. Null texts have the features of the empty text."""
+    """(id, text_key, features) of every whole text. Null texts have the features of the empty text."""
+    src = docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key"))
 
     def make():
-        return lambda rows: {"id": rows[id_col], "features": [document_stats(t)[1] for t in rows[text_col]]}
+        return lambda rows: {"id": rows[id_col], "text_key": rows["text_key"], "features": [document_stats(t)[1] for t in rows[text_col]]}
 
-    return common.map_rows(docs, [id_col, text_col], "id long, features array<double>", make)
+    return common.map_rows(src, [id_col, text_col, "text_key"], "id long, text_key long, features array<double>", make)
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,7 +121,7 @@ def fit_quality(rows: DataFrame, ridge: float = 1e-3, seed: int = 11) -> Quality
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Score every document for quality: doc_id, held_out, score, predicted.
+    """Score every document for quality: doc_id, held_out, score, predicted, text_key (a hash of the text).
 
     Labels are learnt only where crc32(doc_id as text) mod 5 is not 0; of those, remainder 1 fits
     the calibration and the others the ridge weights. Null and empty texts are scored as empty
@@ -136,13 +137,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     def scores(rows):
         x = np.array(rows["features"], dtype=float).reshape(-1, len(FEATURES))
         s = np.round(model.score(x), 9)
-        return {"doc_id": rows["id"], "held_out": rows["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)}
+        return {"doc_id": rows["id"], "text_key": rows["text_key"], "held_out": rows["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
     held = feats.withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
-    return common.map_rows(held, ["id", "held_out", "features"], "doc_id long, held_out boolean, score double, predicted int", lambda: scores)
+    return common.map_rows(held, ["id", "held_out", "features", "text_key"], "doc_id long, held_out boolean, score double, predicted int, text_key long", lambda: scores)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose document is not rejected, with their own columns."""
-    rejected = quality_scores(docs, labels, threshold).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text is not rejected, with their own columns.
+
+    Rows that share a doc_id, null included, but not the text are judged apart.
+    """
+    rejected = quality_scores(docs, labels, threshold).where("predicted = 0")
+    rejected = rejected.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")

@@ -183,6 +183,9 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
                 break
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(odd, bench.limit(0)).where(F.size("hit") > 0).count() == 0
+    leaks = spark.createDataFrame(texts([(None, "x words here AND, y"), (7, "words here and"), (7, "nothing of it"), (None, "clean"), (9, None)]), SCHEMA)
+    kept = decontam.decontaminate(leaks, bench.where("item_id = 'short'"))
+    assert kept.columns == leaks.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == ["(7, 'nothing of it')", "(9, None)", "(None, 'clean')"]
 
 
 def test_html():
@@ -201,7 +204,7 @@ def test_html_pages(spark):
     assert len(rows) == pages.count() and all("<" not in r.text for r in rows)
 
 
-def test_quality(spark, odd, none):
+def test_quality(spark, docs, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = Q.op8_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in found) > 0.95 * len(found)
@@ -210,6 +213,22 @@ def test_quality(spark, odd, none):
     assert {r.score for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {1.0}
     kept = quality.quality_filter(odd, labels)
     assert kept.columns == odd.columns
+    good = docs.where("doc_id IS NOT NULL").join(labels_of(spark).where("quality = 1"), "doc_id").select("text").first().text
+    same = spark.createDataFrame(texts([(i, t) for i in (None, 5) for t in (good, "! | # !! |")]), SCHEMA)
+    both = docs.select("doc_id", "text").unionByName(same, allowMissingColumns=True)
+    scores = quality.quality_scores(both, labels_of(spark))
+    bad = {(r.doc_id, r.text_key) for r in scores.where("predicted = 0").collect()}
+    found = quality.quality_filter(both, labels_of(spark)).select("doc_id", F.xxhash64("text").alias("k")).collect()
+    assert len(found) == scores.where("predicted = 1").count() and not bad & {(r.doc_id, r.k) for r in found} and bad
+
+
+def test_hash_sample_of_a_large_table(spark):
+    from rasterloom.llm import common
+
+    df = spark.range(0, 20_000, 1, 7).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()]
+    assert sorted(r.doc_id for r in common.hash_sample(df, "doc_id", 300).collect()) == sorted(want)
+    assert common.hash_sample(df.limit(0), "doc_id", 300).count() == 0 and common.hash_sample(df.limit(5), "doc_id", 300).count() == 5
 
 
 def brute_line_dedup(rows):
