@@ -94,8 +94,17 @@ def crc_mod(column: str, n: int):
 
 
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hash of the key: the same rows however the table is laid out."""
-    return df.orderBy(F.xxhash64(key), F.col(key)).limit(most)
+    """At most ``most`` rows, those with the smallest hash of the key: the same rows however the table is laid out.
+
+    Every partition offers its ``most`` smallest rows to the driver. Of a larger table only hashes
+    below a bound that about 2 ``most`` rows pass are offered, so that their number does not grow
+    with the partitions; where few keys hold most rows, fewer may pass.
+    """
+    share = 2 * most / max(1, df.count())
+    h = F.xxhash64(key)
+    if share < 1:
+        df = df.where(h <= F.lit(int((share * 2 - 1) * (1 << 63))))
+    return df.orderBy(h, F.col(key)).limit(most)
 
 
 def numbers(values, kind: str) -> Column:
