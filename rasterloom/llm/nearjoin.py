@@ -357,14 +357,16 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Class and number of links of every document: doc_id, class_id, n_links, and the text's key k1, k2.
+    """Class and number of links of every document: doc_id, class_id, n_links, the text's key k1, k2, and comp.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles
     (lower-cased words, see ``words_of``) is 0.8 or more; a class is a connected component of
     links and its id the smallest doc_id in it. Documents with equal sets are linked, and
     counted, without being compared. Null texts and texts without words are linked to nothing
     and are their own class. Repeated rows count as documents and stay repeated. A null doc_id
-    takes part; a class of such rows alone has a null id. An empty table gives no rows.
+    takes part; a class of such rows alone has a null id. Classes that share their smallest doc_id
+    share class_id too; ``comp`` tells all classes apart and is null for rows without words. An
+    empty table gives no rows.
     """
     assert threshold == 0.8, "the exact comparison uses the ratio 4/5"
     rows = common.cut(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
@@ -394,20 +396,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     solved = nodes.select("node", "h1", "h2", "n", "copies", "first").join(classes, "node", "left").join(counts, "node", "left")
     solved = common.cut(solved.select("h1", "h2", "n", F.coalesce("root", "comp", "node").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"))
     named = solved.groupBy("comp").agg(F.min("first").alias("class_id"))
-    solved = solved.join(named, "comp").select("h1", "h2", F.col("n").alias("size"), "class_id", "n_links")
+    solved = solved.join(named, "comp").select("h1", "h2", F.col("n").alias("size"), "class_id", "n_links", "comp")
     joined = rows.join(solved, (rows["h1"] == solved["h1"]) & (rows["h2"] == solved["h2"]) & (rows["n"] == solved["size"]), "left")
-    return joined.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "k1", "k2")
+    return joined.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "k1", "k2", "comp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps its document of the smallest doc_id.
 
-    Of rows that share that id the one with the smallest text key stays, and one of equal rows.
+    Of a class's rows that share that id the one with the smallest text key stays, and one of
+    equal rows. Rows of different classes stay, whatever ids they share; rows without words are
+    only dropped for an equal row.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    none = F.when(F.col("class_id").isNull(), F.struct("k1", "k2"))
-    first = found.groupBy("class_id", none.alias("none")).agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.k1").alias("__k1"), F.col("f.k2").alias("__k2"))
+    alone = F.when(F.col("comp").isNull(), F.struct("doc_id", "k1", "k2"))
+    first = found.groupBy("comp", alone.alias("alone")).agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.k1").alias("__k1"), F.col("f.k2").alias("__k2"))
     k1, k2 = (c.alias(n) for c, n in zip(text_keys(text_col), ("__d1", "__d2")))
-    keyed = docs.select("*", k1, k2)
+    keyed = docs.select("*", k1, k2, F.col(text_col).isNull().alias("__none"))
     kept = keyed.join(first.distinct(), (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2")), "left_semi")
-    return kept.dropDuplicates([id_col, "__d1", "__d2"]).select(*docs.columns)
+    return kept.dropDuplicates([id_col, "__d1", "__d2", "__none"]).select(*docs.columns)
