@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -14,19 +15,27 @@ RARITY_BUCKETS = 1 << 16
 WIDE_WORDS = 64
 
 
-def text_key(text: str = "text") -> Column:
-    """31 bits of the text's hash: rows that share a doc_id but not the text are different documents."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))
+def doc_key(id_col: str, text_col: str, keyed: bool) -> Column:
+    """The id alone where ids occur once; else the id beside 64 bits of the text's hash, as rows that share only the id are different documents.
+
+    Two such keys are equal if all their parts are, nulls too, and a null id sorts first.
+    """
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")) if keyed else F.col(id_col)
+
+
+def same_place(a: DataFrame, b: DataFrame, names: tuple = ("doc", "line"), others: tuple | None = None) -> Column:
+    """Null-safe equality of places: a null id is an id like others."""
+    tests = [a[x].eqNullSafe(b[y]) for x, y in zip(names, others or names)]
+    return functools.reduce(lambda x, y: x & y, tests)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, keyed: bool = True) -> DataFrame:
-    """(doc, line, text): line is the text's key and the line's number; documents of equal id and text give equal rows.
+    """(doc, line, text): the document's key and the line's number; documents of equal id and text give equal rows.
 
-    Without ``keyed``, for ids that occur once, the key is 0 and rows are smaller.
+    Without ``keyed``, for ids that occur once, the key is the id and rows are smaller.
     """
-    key = text_key(text_col) if keyed else F.lit(0).cast("long")
-    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), key.alias("key"), F.posexplode(F.split(text_col, "\n")).alias("no", "text"))
-    return src.select("doc", (F.col("key") * (1 << 32) + F.col("no")).alias("line"), "text")
+    src = docs.where(F.col(text_col).isNotNull())
+    return src.select(doc_key(id_col, text_col, keyed).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
 
 def words(line: Column) -> Column:
@@ -124,15 +133,16 @@ def later_matches(lines: DataFrame, min_words: int = 5, num: int = 4, den: int =
     # One match is enough to remove a line: its likeliest pair is verified first, the others where that fails.
     best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("b")).select("doc", "line", "b.y_doc", "b.y_line")
     found = common.cut(verified(common.cut(best), lines, num, den).select("doc", "line").distinct())
-    others = common.cut(pairs.select(*names).join(found, ["doc", "line"], "left_anti"))
+    others = common.cut(pairs.select(*names).join(found, same_place(pairs, found), "left_anti"))
     found = common.cut(found.union(verified(others, lines, num, den).select("doc", "line")).distinct())
 
     # What was near an earliest line, matched nothing, and so was not compared with its token's other lines.
-    open_ = common.cut(pairs.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti"))
-    mine = common.cut(rows.where(common.bitmap(open_, "doc", "line")).join(open_, ["doc", "line"], "left_semi"))
+    tried = pairs.select("doc", "line").distinct()
+    open_ = common.cut(tried.join(found, same_place(tried, found), "left_anti"))
+    mine = common.cut(rows.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(rows, open_), "left_semi"))
     theirs = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
     again = mine.join(theirs, (mine["token"] == theirs["token"]) & _may_match(num, den) & earlier).select(*names).distinct()
-    again = common.cut(again.join(pairs.select(*names), list(names), "left_anti"))
+    again = common.cut(again.join(pairs, same_place(again, pairs, names), "left_anti"))
     return distinct, found.union(verified(again, lines, num, den).select("doc", "line")).distinct()
 
 
@@ -141,7 +151,8 @@ def removed_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int =
     lines = lines_of(docs, id_col, text_col, keyed)
     distinct, similar = later_matches(lines, min_words, num, den)
     # Every occurrence of a line that is copied, or whose first occurrence has an earlier match.
-    first = distinct.join(similar.withColumn("late", F.lit(True)), ["doc", "line"], "left").where("copies > 1 OR late")
+    late = similar.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.lit(True).alias("late"))
+    first = distinct.join(late, same_place(distinct, late, ("doc", "line"), ("l_doc", "l_line")), "left").where("copies > 1 OR late")
     first = common.cut(first.select("same", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.coalesce("late", F.lit(False)).alias("late")))
     seen = lines.select("doc", "line", F.xxhash64("text").alias("same"))
     seen = seen.where(common.bitmap(first, "same")).join(first, "same")
@@ -163,10 +174,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int = 5,
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
     gone = removed_lines(docs, min_words, num, den, id_col, text_col, keyed)
-    per_doc = common.cut(gone.groupBy(F.col("doc").alias("__doc"), F.shiftright("line", 32).alias("__key")).agg(F.collect_set(F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("__gone")))
-    source = docs.select(*names, (text_key(text_col) if keyed else F.lit(0).cast("long")).alias("__text_key"))
-    hit = common.bitmap(per_doc.withColumnRenamed("__doc", id_col).select(id_col), id_col)
-    touched = source.where(hit).join(per_doc, (F.col(id_col).eqNullSafe(F.col("__doc"))) & (F.col("__text_key") == F.col("__key")), "left")
+    per_doc = common.cut(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.col("line").cast("int")).alias("__gone")))
+    source = docs.select(*names, doc_key(id_col, text_col, keyed).alias("__row"))
+    hit = common.bitmap(per_doc.withColumnRenamed("__doc", "__row"), "__row")
+    touched = source.where(hit).join(per_doc, F.col("__row").eqNullSafe(F.col("__doc")), "left")
     untouched = source.where(~hit).select("*", *[F.lit(None).cast(t).alias(c) for c, t in per_doc.dtypes])
     joined = touched.unionByName(untouched)
     lines = F.split(text_col, "\n")
