@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link svg math iframe object canvas audio video datalist select".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object canvas audio video datalist".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure article section".split())
 #: An opening tag -> the open tags it ends, and the tags beyond which it doesn't look.
@@ -24,8 +24,16 @@ ENDS = {
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "caption", "legend", "summary"}
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-#: Tags deeper than this join their ancestor, so that layout can't exhaust the stack.
-DEPTH = 200
+#: What may be inside head; any other tag, and text, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Parts of drawings and formulas that are not drawn, by the tag they are in.
+UNDRAWN = dict.fromkeys("defs desc metadata symbol clippath mask marker pattern".split(), "svg") | dict.fromkeys(("annotation", "annotation-xml"), "math")
+#: Texts that stand beside each other without a space of their own.
+APART = frozenset("option optgroup text".split())
+#: Parts of a table that hold rows.
+GROUPS = frozenset("tbody thead tfoot colgroup form".split())
+#: Rows that a cell may take.
+ROWS = 65534
 
 
 class Node:
@@ -42,19 +50,26 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # places of open tags, so that deep pages are not searched for them
+
+    def _last(self, names) -> int:
+        """Place of the innermost open tag of these, 0 for none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.at[node.tag].pop()
+        del self.open[i:]
 
     def _close_until(self, names, fence) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in fence:
+        while (i := self._last(names)) > self._last(fence):
+            self._cut(i)
+            if len(names) == 1:
                 return
-            if tag in names:
-                del self.open[i:]
-                if not names - {tag}:
-                    return
-                return self._close_until(names, fence)
 
     def handle_starttag(self, tag, attrs):
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self._cut(len(self.open) - 1)
         if tag in ENDS_P:
             self._close_until({"p"}, {"table", "td", "th", "button", "caption", "object"})
         if tag in ENDS:
@@ -62,33 +77,38 @@ class TreeBuilder(HTMLParser):
         parent = self.open[-1].tag
         if tag in ("td", "th") and parent in ("table", "tbody", "thead", "tfoot"):
             self._push("tr", {})
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
-            self.open.append(node)
+        attrs = {k: v or "" for k, v in attrs}
+        if tag in UNDRAWN and self._last((UNDRAWN[tag],)):
+            attrs["hidden"] = ""
+        if tag in VOID:
+            self.open[-1].children.append(Node(tag, attrs))
+        else:
+            self._push(tag, attrs)
 
     def _push(self, tag, attrs):
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and self._last(("svg", "math")):
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("table", "td", "th") and tag not in BLOCK:
-                return
-        if tag == "br":
+        i, fence = self._last((tag,)), 0 if tag in BLOCK else self._last(("table", "td", "th"))
+        if i and i >= fence:
+            self._cut(i)
+        elif tag == "br" and not fence:
             self.open[-1].children.append(Node("br"))
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip(" \t\n\r\f"):
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -139,7 +159,18 @@ class Layout:
         return self.lines
 
 
-def render(children: list, out: Layout, lists: tuple = ()) -> None:
+def run(task) -> None:
+    """Run a generator and those it yields, innermost first, so that depth costs no stack."""
+    stack = [task]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def render(children: list, out: Layout, nested: bool = False):
     for child in children:
         if isinstance(child, str):
             out.text(child)
@@ -157,76 +188,116 @@ def render(children: list, out: Layout, lists: tuple = ()) -> None:
                 out.text(child.attrs["alt"])
         elif child.tag == "pre":
             out.space()
-            out.raw([x.rstrip() for x in plain(child).strip("\n").split("\n")])
+            parts: list[str] = []
+            yield plain(child, parts)
+            out.raw([x.rstrip() for x in "".join(parts).strip("\n").split("\n")])
             out.space()
         elif child.tag == "table":
             out.space()
-            render_table(child, out)
+            yield render_table(child, out)
             out.space()
         elif child.tag in ("ul", "ol"):
-            render_list(child, out, lists)
+            yield render_list(child, out, nested)
         elif child.tag in BLOCK:
             (out.space if child.tag in SPACED else out.end_line)()
-            render(child.children, out, lists)
+            yield render(child.children, out, nested)
             (out.space if child.tag in SPACED else out.end_line)()
+        elif child.tag in APART:
+            out.text(f" {child.attrs.get('label', '')} " if child.tag == "optgroup" else " ")
+            yield render(child.children, out, nested)
+            out.text(" ")
         else:
-            render(child.children, out, lists)
+            yield render(child.children, out, nested)
 
 
-def plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else plain(c) if visible(c) else "" for c in node.children)
+def plain(node: Node, parts: list[str]):
+    for c in node.children:
+        if isinstance(c, str):
+            parts.append(c)
+        elif c.tag == "br":
+            parts.append("\n")
+        elif visible(c):
+            yield plain(c, parts)
 
 
-def render_list(node: Node, out: Layout, lists: tuple) -> None:
-    (out.end_line if lists else out.space)()
+def render_list(node: Node, out: Layout, nested: bool):
+    (out.end_line if nested else out.space)()
     start = node.attrs.get("start", "1")
     number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
-            render([child], out, lists)
+            yield render([child], out, nested)
             continue
         if not visible(child):
             continue
         inner = Layout()
-        render(child.children, inner, (*lists, node.tag))
+        yield render(child.children, inner, True)
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += 1
         out.end_line()
         out.raw([(mark if i == 0 else " " * len(mark)) + s if s else s for i, s in enumerate(inner.done() or [""])])
-    (out.end_line if lists else out.space)()
-
-
-def table_rows(node: Node):
-    for child in node.children:
-        if not isinstance(child, str) and visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from table_rows(child)
-
-
-def render_table(node: Node, out: Layout) -> None:
-    """Cells of a column start at the same column of text; a cell of several lines takes several rows."""
-    for child in node.children:
-        if isinstance(child, str):
-            out.text(child)
-        elif child.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"):
-            render([child], out)
+    (out.end_line if nested else out.space)()
+
+
+def table_parts(table: Node) -> tuple[list, list[tuple[Node, Node]]]:
+    """What is in a table but not in its rows, and its rows with their groups."""
+    loose, rows, stack = [], [], [(table, table, iter(table.children))]
+    while stack:
+        holder, group, rest = stack[-1]
+        child = next(rest, None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            loose.append(child)
+        elif not visible(child):
+            continue
+        elif child.tag == "tr":
+            rows.append((group, child))
+        elif child.tag in GROUPS:
+            stack.append((child, group if child.tag in ("form", "colgroup") else child, iter(child.children)))
+        elif child.tag != "col":
+            loose.append(child)
+    return loose, rows
+
+
+def render_table(node: Node, out: Layout):
+    """Cells of a column start at the same column of text; a cell of several lines takes several rows.
+
+    A cell that spans rows keeps its columns empty in the rows below, to the end of their group.
+    """
+    loose, found = table_parts(node)
+    for child in loose:
+        yield render([child], out)
     out.end_line()
-    rows = []
-    for tr in table_rows(node):
-        cells = []
+    rows, held, last = [], {}, None
+    for group, tr in found:
+        if group is not last:
+            held, last = {}, group
+        cells: list = []
+        taken = {k for k, n in held.items() if n > 0}
+        held = {k: n - 1 for k, n in held.items() if n > 1}
+
+        def fill():
+            while len(cells) in taken:
+                cells.append([])
+
         for c in tr.children:
             if isinstance(c, str) or (c.tag not in ("td", "th") and visible(c)):
-                loose = Layout()
-                render([c], loose)
-                if x := loose.done():
+                inner = Layout()
+                yield render([c], inner)
+                if x := inner.done():
+                    fill()
                     cells.append(x)
             elif visible(c):
                 inner = Layout()
-                render(c.children, inner)
-                span = c.attrs.get("colspan", "1")
-                cells += [inner.done()] + [[]] * (min(100, int(span)) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0)
+                yield render(c.children, inner)
+                fill()
+                span, down = c.attrs.get("colspan", "1"), c.attrs.get("rowspan", "1")
+                width = max(1, min(100, int(span))) if re.fullmatch(r"[0-9]{1,4}", span) else 1
+                height = min(ROWS, int(down) or ROWS) if re.fullmatch(r"[0-9]{1,9}", down) else 1
+                if height > 1:
+                    held |= dict.fromkeys(range(len(cells), len(cells) + width), height - 1)
+                cells += [inner.done()] + [[]] * (width - 1)
         if any(cells):
             rows.append(cells)
     n = max((len(r) for r in rows), default=0)
@@ -243,7 +314,7 @@ def html_to_text(html: str | None) -> str:
     builder.feed(html or "")
     builder.close()
     out = Layout()
-    render(builder.root.children, out)
+    run(render(builder.root.children, out))
     return "\n".join(out.done())
 
 
