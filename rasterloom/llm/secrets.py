@@ -18,8 +18,11 @@ KINDS = ("assign", "access", "hex", "learned")
 
 #: What the network may add: long unbroken strings with a digit.
 CANDIDATE = re.compile(r"(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{16,}")
+LEAST, SEPARATORS = 16, "/._-=+"
 #: Characters of a candidate's head, and of the context before and after it, that the network sees.
 HEAD, BEFORE, AFTER = 48, 24, 12
+#: Characters between the windows of a longer candidate, and windows that are scored at once.
+STEP, WINDOWS = 16, 2048
 WIDTH, FILTERS, KERNEL, CLASSES = HEAD + BEFORE + AFTER, 24, 5, 14
 
 
@@ -49,6 +52,14 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.array(codes(before, BEFORE, True) + codes(head, HEAD) + codes(after, AFTER), dtype=np.int64)
 
 
+def heads(text: str, start: int, end: int) -> list[int]:
+    """Starts of the windows over a candidate: overlapping ones over all of it, and one behind each separator."""
+    if end - start <= HEAD:
+        return [start]
+    parts = [i for i in range(start + 1, end - LEAST + 1) if text[i - 1] in SEPARATORS and text[i] not in SEPARATORS]
+    return sorted({*range(start, end - HEAD, STEP), end - HEAD, *parts})
+
+
 class CharConvNet:
     """One-hot classes -> convolution -> ReLU -> max and mean pooling -> logistic output."""
 
@@ -154,26 +165,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of what the network judges: the parts of long runs that no fixed finding covers."""
+    found, k, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while k < len(base) and base[k][0] < end:
+            s, _, e = base[k]
+            if max(at, reach) < s:
+                found += [(x.start(), 3, x.end()) for x in CANDIDATE.finditer(text, max(at, reach), s)]
+            reach, k = max(reach, e), k + 1
+        found += [(x.start(), 3, x.end()) for x in CANDIDATE.finditer(text, max(at, reach), end)]
+    return found
+
+
+def span_scores(net: CharConvNet, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """The highest score of the windows over each (text, start, end)."""
+    best, at, held = np.zeros(len(spans)), [], []
+
+    def flush():
+        np.maximum.at(best, at, net.score(np.stack(held)))
+        at.clear()
+        held.clear()
+
+    for i, (text, start, end) in enumerate(spans):
+        for h in heads(text, start, end):
+            at.append(i)
+            held.append(window(text, h, end))
+            if len(held) == WINDOWS:
+                flush()
+    if held:
+        flush()
+    return best
+
+
 def scan_secrets(docs: DataFrame, recall: float = 0.98) -> DataFrame:
     """Findings in every whole text: doc_id and an array of (kind, start, end, score).
 
     Offsets count code points, end exclusive. Fixed patterns always stay and carry the network's
-    score of what they matched; the network adds candidates that no fixed finding overlaps and
-    whose score reaches the threshold. Null texts are empty and have no finding; ties in start are
+    score of what they matched; the network adds the parts of long runs that no fixed finding
+    covers and whose score, the highest of their windows, reaches the threshold. Null texts are empty and have no finding; ties in start are
     ordered by kind; repeated rows stay repeated.
     """
     net = trained_network(recall)
 
     def f(rows):
-        spans, at, windows = [], [], []
-        for i, text in enumerate(rows["text"]):
+        spans, cases = [], []
+        for text in rows["text"]:
             text = text or ""
             base = base_spans(text)
-            more = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
-            spans.append(base + more)
-            at += [i] * len(spans[-1])
-            windows += [window(text, s, e) for s, _, e in spans[-1]]
-        scores = iter(net.score(np.stack(windows)) if windows else ())
+            spans.append(base + candidates(text, base))
+            cases += [(text, s, e) for s, _, e in spans[-1]]
+        scores = iter(span_scores(net, cases))
         out = []
         for found in spans:
             scored = [(s, k, e, float(next(scores))) for s, k, e in found]
