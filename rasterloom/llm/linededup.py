@@ -13,10 +13,18 @@ from . import common
 RARITY_BUCKETS = 1 << 16
 #: Lines of so many distinct tokens have 128 bits of sketch, shorter ones 64.
 WIDE_WORDS = 64
+#: White space that parts tokens beside the space; the newline parts lines.
+OTHER_SPACES = "\t\x0b\x0c\r"
+#: Lines of one token that a task compares; those of more frequent tokens are dealt to several tasks.
+TOKEN_ROWS = 1 << 15
+#: Bit of ``np`` that marks a row's own part.
+OWN = 1 << 31
+#: A line this early in its token's order is compared with all before it, whatever the earliest is like.
+CLOSE_RANK = 16
 
 
 def doc_key(id_col: str, text_col: str, keyed: bool) -> Column:
-    """The id alone where ids occur once; else the id beside 64 bits of the text's hash, as rows that share only the id are different documents.
+    """The id alone where ids are not null and occur once; else the id beside 64 bits of the text's hash, as rows that share only the id are different documents.
 
     Two such keys are equal if all their parts are, nulls too, and a null id sorts first.
     """
@@ -38,21 +46,37 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, keyed: bool = True) ->
     return src.select(doc_key(id_col, text_col, keyed).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
 
+def spaced(line: Column) -> Column:
+    """The line with spaces for all white space; few lines hold any other."""
+    odd = functools.reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in OTHER_SPACES])
+    return F.when(odd, F.translate(line, OTHER_SPACES, " " * len(OTHER_SPACES))).otherwise(line)
+
+
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    """Tokens between runs of white space."""
+    return F.array_remove(F.split(spaced(line), " "), "")
+
+
+def line_hash(text: Column) -> list[Column]:
+    """128 bits that stand for a line: ``same`` and ``check``."""
+    return [F.xxhash64(text).alias("same"), (F.octet_length(text).cast("long") * (1 << 32) + F.crc32(text.cast("binary"))).alias("check")]
 
 
 def rarity_levels(lines: DataFrame) -> list[int]:
     """Level of each bucket: 2 log2 of the occurrences of its tokens over all lines."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1))
-    counts = lines.select(F.explode(F.split("text", " ")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+    counts = lines.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
     levels = [0] * RARITY_BUCKETS
     for r in counts:
         levels[r["b"]] = min(127, int(2 * math.log2(r["n"] + 1)))
     return levels
 
 
-def line_prefixes(lines: DataFrame, levels: list[int], min_words: int, num: int, den: int) -> DataFrame:
+def level_of(levels: list[int], bucket: Column) -> Column:
+    return F.coalesce(F.get(common.numbers(levels, "int"), bucket.cast("int")), F.lit(0))
+
+
+def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> DataFrame:
     """Distinct lines with the place of their first occurrence, size, prefix tokens and a parity sketch.
 
     Tokens are ordered by rarity, ties by their hash. Two lines with a Jaccard similarity of
@@ -60,26 +84,34 @@ def line_prefixes(lines: DataFrame, levels: list[int], min_words: int, num: int,
     flipped by each token; two sketches differ in no more bits than the sets in tokens. In long
     lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
     """
-    table = common.numbers(levels, "int")
-    rarity = lambda w: F.shiftleft(F.coalesce(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), 56)
-    codes = F.transform(words(F.col("text")), lambda w: rarity(w) + F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
+    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    rarity = lambda h: F.shiftleft(level_of(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))).cast("long"), 56)
+    codes = F.transform(hashes, lambda h: rarity(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     # inline() keeps the filter below from computing the codes a second time.
-    src = lines.select("doc", "line", F.xxhash64("text").alias("same"), F.inline(F.array(F.struct(F.sort_array(F.array_distinct(codes)).alias("codes")))))
+    src = lines.select("doc", "line", *line_hash(F.col("text")), F.inline(F.array(F.struct(F.sort_array(F.array_distinct(codes)).alias("codes")))))
     n = F.size("codes")
     keep = n - F.floor((n * num + den - 1) / den).cast("int") + 1
-    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int"))))
-    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda c: F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")
+    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))))
+    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), bit(c))))
     wide = F.when(n >= WIDE_WORDS, half).otherwise(0)
     low = F.lit(0xFFFFFFFF)
-    rows = src.where(n >= min_words).select("doc", "line", "same", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
-    first = rows.groupBy("same", "sketch", "wide", "n").agg(F.min(F.struct("doc", "line", "prefix")).alias("f"), F.count("*").alias("copies"))
-    return first.select("f.doc", "f.line", "n", "sketch", "wide", "f.prefix", "copies", "same")
+    rows = src.where(n > 0).select("doc", "line", "same", "check", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
+    first = rows.groupBy("same", "check").agg(F.min(F.struct("doc", "line", "n", "sketch", "wide", "prefix")).alias("f"), F.count("*").alias("copies"))
+    return first.select("f.*", "copies", "same", "check")
+
+
+def earlier(keyed: bool) -> Column:
+    """The place y comes before its partner. Plain ids are compared without making structs of every pair."""
+    if keyed:
+        return F.struct("y_doc", "y_line") < F.struct("doc", "line")
+    return (F.col("y_doc") < F.col("doc")) | ((F.col("y_doc") == F.col("doc")) & (F.col("y_line") < F.col("line")))
 
 
 def _may_match(num: int, den: int) -> Column:
     """Length, positional and sketch filters on a pair x, y that shares a prefix token."""
     n, m = (F.shiftright(c, 32) for c in ("np", "y_np"))
-    pos, y_pos = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("np", "y_np"))
+    pos, y_pos = (F.col(c).bitwiseAND(F.lit(OWN - 1)) for c in ("np", "y_np"))
     need = F.expr(f"((shiftright(np, 32) + shiftright(y_np, 32)) * {num} + {num + den - 1}) div {num + den}")
     reach = F.least(n - pos, m - y_pos)
     both = F.col("sketch").bitwiseXOR(F.col("y_sketch"))
@@ -88,11 +120,16 @@ def _may_match(num: int, den: int) -> Column:
     return (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+def texts_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, line, text) of all lines in some pair, by one scan; a bitmap may let a few others through."""
+    ids = pairs.select("doc", "line").union(pairs.select("y_doc", "y_line"))
+    return common.stored(lines.where(common.bitmap(ids, "doc", "line")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (doc, line, y_doc, y_line) whose lines have an exact Jaccard similarity of num/den or more."""
-    x_ids, y_ids = pairs.select("doc", "line"), pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
-    x = lines.where(common.bitmap(x_ids, "doc", "line")).select("doc", "line", F.col("text").alias("x_t"))
-    y = lines.where(common.bitmap(y_ids, "doc", "line")).select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("text").alias("y_t"))
+    x = texts.select("doc", "line", F.col("text").alias("x_t"))
+    y = texts.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("text").alias("y_t"))
     both = pairs.join(x, (pairs["doc"].eqNullSafe(x["doc"])) & (pairs["line"] == x["line"])).drop(x["doc"]).drop(x["line"])
     both = both.join(y, (both["y_doc"].eqNullSafe(y["y_doc"])) & (both["y_line"] == y["y_line"])).drop(y["y_doc"]).drop(y["y_line"])
     both = both.select("*", F.inline(F.array(F.struct(F.array_distinct(words(F.col("x_t"))).alias("x_w"), F.array_distinct(words(F.col("y_t"))).alias("y_w")))))
@@ -101,79 +138,98 @@ def verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFram
     return both.where(common_words * den >= union * num).select("doc", "line", "y_doc", "y_line")
 
 
-def later_matches(lines: DataFrame, min_words: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines, and (doc, line) of those with an earlier similar line.
+def token_rows(distinct: DataFrame, levels: list[int]) -> DataFrame:
+    """(token, part, place, np, sketch) of every prefix token of every line; np packs size, OWN and position.
 
-    Each prefix token's lines are compared with the earliest of them through a window. Lines
-    whose sketch is far from it are joined with the other lines of the token; the near ones are
-    verified first and joined only if that fails, so a group of similar lines costs as many
-    comparisons as it has lines.
+    The rows of a token that may have more than TOKEN_ROWS are dealt to several parts: each part
+    holds all of them, and those that are its own are the ones it finds matches for. Rows are
+    shuffled once, for the window and for both sides of the join.
     """
-    distinct = common.stored(line_prefixes(lines, rarity_levels(lines), min_words, num, den))
-    prefixes = distinct.select("doc", "line", "n", "sketch", "wide", F.posexplode("prefix").alias("pos", "token"))
-    columns = ("doc", "line", "np", "sketch", "wide")
+    rows = distinct.select("doc", "line", "n", "sketch", "wide", F.posexplode("prefix").alias("pos", "token"))
     # Columns that are known not to be null keep the plans below the exchange equal, so that it runs once.
     full = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     np = F.col("n").cast("long") * (1 << 32) + F.col("pos")
-    rows = prefixes.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
-    dealt = rows.repartition("token")  # once, for the window and for both sides of the join
-    w = W.partitionBy("token").orderBy("doc", "line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    headed = dealt.withColumn("h", F.first(F.struct(*columns)).over(w))
-    as_head = headed.select("token", *columns, *[F.col(f"h.{c}").alias(f"y_{c}") for c in columns])
-    not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
-    tested = as_head.where(not_head).withColumn("near", _may_match(num, den))
+    bound = F.pow(F.lit(2.0), level_of(levels, F.col("token").bitwiseAND(F.lit(RARITY_BUCKETS - 1))) / 2)
+    parts = F.coalesce(F.ceil(bound / TOKEN_ROWS).cast("int"), F.lit(1))
+    rows = rows.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
+    rows = rows.select("*", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    own = F.when(F.pmod(F.xxhash64("doc", "line"), F.col("parts")) == F.col("part"), OWN).otherwise(0)
+    rows = rows.select("token", F.coalesce("part", F.lit(0)).alias("part"), "doc", "line", full(F.col("np") + own).alias("np"), "sketch", "wide")
+    return rows.repartition("token", "part")
+
+
+def later_matches(lines: DataFrame, num: int = 4, den: int = 5, keyed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Distinct lines, and (doc, line) of those with an earlier similar line.
+
+    Each prefix token's lines are compared with the earliest of them through a window. Lines
+    whose sketch is far from it, and the few first ones, are joined with the earlier lines of the
+    token; the near ones are verified first and joined only if that fails, so a group of similar
+    lines costs as many comparisons as it has lines.
+    """
+    levels = rarity_levels(lines)
+    distinct = common.stored(line_prefixes(lines, levels, num, den))
+    columns = ("doc", "line", "np", "sketch", "wide")
+    dealt = token_rows(distinct, levels)
+    w = W.partitionBy("token", "part").orderBy("doc", "line")
+    headed = dealt.withColumn("h", F.first(F.struct(*columns)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("rank", F.row_number().over(w))
+    own = F.col("np").bitwiseAND(F.lit(OWN)) != 0
+    as_head = headed.where(own & (F.col("rank") > 1)).select("token", "part", "rank", *columns, *[F.col(f"h.{c}").alias(f"y_{c}") for c in columns])
+    tested = as_head.withColumn("near", _may_match(num, den))
     names = ("doc", "line", "y_doc", "y_line")
     differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
-    near = tested.where("near").select(*names, differ)
-    far = tested.where("NOT near").select("token", *columns)
-    other = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
-    earlier = F.struct("y_doc", "y_line") < F.struct("doc", "line")
-    rest = far.join(other, (far["token"] == other["token"]) & _may_match(num, den) & earlier).select(*names, differ)
-    pairs = common.cut(near.union(rest).distinct())
+    near = tested.where("near").select(*names, differ, (F.col("rank") > CLOSE_RANK).alias("skipped"))
+    far = tested.where(f"rank > 2 AND (NOT near OR rank <= {CLOSE_RANK})").select("token", "part", *columns)
+    other = dealt.select("token", "part", *[F.col(c).alias(f"y_{c}") for c in columns])
+    rest = far.join(other, (far["token"] == other["token"]) & (far["part"] == other["part"]) & _may_match(num, den) & earlier(keyed)).select(*names, differ, F.lit(False).alias("skipped"))
+    pairs = common.cut(near.union(rest).groupBy(*names).agg(F.min("differ").alias("differ"), F.max("skipped").alias("skipped")))
+    texts = texts_of(pairs, lines)
     # One match is enough to remove a line: its likeliest pair is verified first, the others where that fails.
     best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("b")).select("doc", "line", "b.y_doc", "b.y_line")
-    found = common.cut(verified(common.cut(best), lines, num, den).select("doc", "line").distinct())
+    found = common.cut(verified(best, texts, num, den).select("doc", "line").distinct())
     others = common.cut(pairs.select(*names).join(found, same_place(pairs, found), "left_anti"))
-    found = common.cut(found.union(verified(others, lines, num, den).select("doc", "line")).distinct())
+    found = common.cut(found.union(verified(others, texts, num, den).select("doc", "line")).distinct())
 
     # What was near an earliest line, matched nothing, and so was not compared with its token's other lines.
-    tried = pairs.select("doc", "line").distinct()
+    tried = pairs.where("skipped").select("doc", "line").distinct()
     open_ = common.cut(tried.join(found, same_place(tried, found), "left_anti"))
-    mine = common.cut(rows.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(rows, open_), "left_semi"))
-    theirs = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
-    again = mine.join(theirs, (mine["token"] == theirs["token"]) & _may_match(num, den) & earlier).select(*names).distinct()
+    if open_.limit(1).count() == 0:
+        return distinct, found
+    mine = dealt.where(own)
+    mine = common.cut(mine.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(mine, open_), "left_semi"))
+    theirs = dealt.select("token", "part", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
+    again = mine.join(theirs, (mine["token"] == theirs["token"]) & (mine["part"] == theirs["part"]) & _may_match(num, den) & earlier(keyed)).select(*names).distinct()
     again = common.cut(again.join(pairs, same_place(again, pairs, names), "left_anti"))
-    return distinct, found.union(verified(again, lines, num, den).select("doc", "line")).distinct()
+    return distinct, found.union(verified(again, texts_of(again, lines), num, den).select("doc", "line")).distinct()
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keyed: bool = True) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keyed: bool = True) -> DataFrame:
     """(doc, line) of every line that has an earlier match, exact copies included."""
     lines = lines_of(docs, id_col, text_col, keyed)
-    distinct, similar = later_matches(lines, min_words, num, den)
+    distinct, similar = later_matches(lines, num, den, keyed)
     # Every occurrence of a line that is copied, or whose first occurrence has an earlier match.
     late = similar.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.lit(True).alias("late"))
     first = distinct.join(late, same_place(distinct, late, ("doc", "line"), ("l_doc", "l_line")), "left").where("copies > 1 OR late")
-    first = common.cut(first.select("same", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.coalesce("late", F.lit(False)).alias("late")))
-    seen = lines.select("doc", "line", F.xxhash64("text").alias("same"))
-    seen = seen.where(common.bitmap(first, "same")).join(first, "same")
+    first = common.cut(first.select("same", "check", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.coalesce("late", F.lit(False)).alias("late")))
+    seen = lines.select("doc", "line", *line_hash(F.col("text")))
+    seen = seen.where(common.bitmap(first, "same")).join(first, ["same", "check"])
     is_first = F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("line") == F.col("f_line"))
     return seen.where(F.col("late") | ~is_first).select("doc", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove lines that match an earlier line: the columns of ``docs`` with new texts, and n_lines, n_removed.
 
-    Lines are parted by newlines and their tokens, as a set, by spaces. A line is removed if some
-    earlier line (by doc_id, then place) has a Jaccard similarity of num/den or more with it,
-    whether that line stays or not. Lines of fewer than ``min_words`` distinct tokens take no part
-    and stay. Null texts stay null with 0 lines; an empty text has one empty line. Rows with equal
+    Lines are parted by newlines and their tokens, as a set, by white space. A line is removed if
+    some earlier line (by doc_id, then place) has a Jaccard similarity of num/den or more with it,
+    whether that line stays or not; below five tokens that takes equal sets. Lines without a token
+    stay. Lines and texts are taken whole, however long. Null texts stay null with 0 lines; an empty text has one empty line. Rows with equal
     doc_id and text are one document and stay repeated; rows that share only the doc_id are ordered
     by a hash of their texts. A null doc_id sorts first. Columns n_lines and n_removed of the
     input are replaced; other columns pass through. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    gone = removed_lines(docs, min_words, num, den, id_col, text_col, keyed)
+    keyed = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count() > 0
+    gone = removed_lines(docs, num, den, id_col, text_col, keyed)
     per_doc = common.cut(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.col("line").cast("int")).alias("__gone")))
     source = docs.select(*names, doc_key(id_col, text_col, keyed).alias("__row"))
     hit = common.bitmap(per_doc.withColumnRenamed("__doc", "__row"), "__row")

@@ -97,8 +97,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH cuts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i AS no, ls[i] AS line FROM cuts, unnest(generate_series(1, len(ls))) t(i)),
-sets AS (SELECT doc_id, no, line, list_distinct(list_filter(string_split(line, ' '), lambda v: v <> '')) AS w FROM lines),
-firsts AS (SELECT line, min((doc_id, no)) AS at, any_value(w) AS w, len(any_value(w)) AS n FROM sets WHERE len(w) >= 5 GROUP BY line),
+sets AS (SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(line, '[ \t\x{0B}\x{0C}\r]+'), lambda v: v <> '')) AS w FROM lines),
+firsts AS (SELECT line, min((doc_id, no)) AS at, any_value(w) AS w, len(any_value(w)) AS n FROM sets WHERE len(w) > 0 GROUP BY line),
 tokens AS (SELECT line, n, unnest(w) AS t FROM firsts),
 freq AS (SELECT t, count(*) AS f FROM tokens GROUP BY t),
 ranked AS (SELECT line, n, t, row_number() OVER (PARTITION BY line ORDER BY f, t) AS r FROM tokens JOIN freq USING (t)),

@@ -235,8 +235,8 @@ def brute_line_dedup(rows):
     lines = [(i is not None, i, no, t) for i, text in rows if text is not None for no, t in enumerate(text.split("\n"))]
     seen, gone = [], set()
     for _, i, no, t in sorted(lines, key=lambda x: (x[0], x[1] or 0, x[2])):
-        s = {w for w in t.split(" ") if w}
-        if len(s) >= 5:
+        s = {w for w in re.split("[ \t\x0b\x0c\r]+", t) if w}
+        if s:
             if any(5 * len(s & x) >= 4 * len(s | x) for x in seen):
                 gone.add((i, no))
             seen.append(s)
