@@ -19,8 +19,8 @@ OTHER_SPACES = "\t\x0b\x0c\r"
 TOKEN_ROWS = 1 << 15
 #: Bit of ``np`` that marks a row's own part.
 OWN = 1 << 31
-#: A line this early in its token's order is compared with all before it, whatever the earliest is like.
-CLOSE_RANK = 16
+#: Lines of a token with no more rows than this are all compared, whatever the earliest is like.
+SMALL_TOKEN = 16
 
 
 def doc_key(id_col: str, text_col: str, keyed: bool) -> Column:
@@ -73,10 +73,25 @@ def rarity_levels(lines: DataFrame) -> list[int]:
 
 
 def level_of(levels: list[int], bucket: Column) -> Column:
-    return F.coalesce(F.get(common.numbers(levels, "int"), bucket.cast("int")), F.lit(0))
+    return F.coalesce(F.get(common.numbers(levels, "bigint"), bucket.cast("int")), F.lit(0).cast("long"))
 
 
-def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> DataFrame:
+def first_places(rows: DataFrame, keyed: bool) -> DataFrame:
+    """``rows`` without the columns doc and line, once, with the first (doc, line) of equal rows and their number, ``copies``.
+
+    A plain id and a line number are packed into one decimal, which keeps the grouping hashed.
+    """
+    keys = [c for c in rows.columns if c not in ("doc", "line")]
+    if keyed:
+        return rows.groupBy(*keys).agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("copies")).select("f.*", *keys, "copies")
+    place = F.col("doc").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    found = rows.groupBy(*keys).agg(F.min(place).alias("place"), F.count("*").alias("copies"))
+    line = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
+    found = found.withColumn("line", line).withColumn("doc", F.expr("(place - line) div 2147483648").cast("long"))
+    return found.select("doc", "line", *keys, "copies")
+
+
+def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int, keyed: bool) -> DataFrame:
     """Distinct lines with the place of their first occurrence, size, prefix tokens and a parity sketch.
 
     Tokens are ordered by rarity, ties by their hash. Two lines with a Jaccard similarity of
@@ -84,11 +99,11 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> Da
     flipped by each token; two sketches differ in no more bits than the sets in tokens. In long
     lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
     """
-    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    rarity = lambda h: F.shiftleft(level_of(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))).cast("long"), 56)
-    codes = F.transform(hashes, lambda h: rarity(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    hashes = F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
+    high = [level << 56 for level in levels]
+    codes = F.transform(hashes, lambda h: level_of(high, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     # inline() keeps the filter below from computing the codes a second time.
-    src = lines.select("doc", "line", *line_hash(F.col("text")), F.inline(F.array(F.struct(F.sort_array(F.array_distinct(codes)).alias("codes")))))
+    src = lines.select("doc", "line", *line_hash(F.col("text")), F.inline(F.array(F.struct(F.sort_array(codes).alias("codes")))))
     n = F.size("codes")
     keep = n - F.floor((n * num + den - 1) / den).cast("int") + 1
     bit = lambda c: F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")
@@ -97,8 +112,7 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> Da
     wide = F.when(n >= WIDE_WORDS, half).otherwise(0)
     low = F.lit(0xFFFFFFFF)
     rows = src.where(n > 0).select("doc", "line", "same", "check", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
-    first = rows.groupBy("same", "check").agg(F.min(F.struct("doc", "line", "n", "sketch", "wide", "prefix")).alias("f"), F.count("*").alias("copies"))
-    return first.select("f.*", "copies", "same", "check")
+    return first_places(rows, keyed)
 
 
 def earlier(keyed: bool) -> Column:
@@ -120,10 +134,10 @@ def _may_match(num: int, den: int) -> Column:
     return (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
 
 
-def texts_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def texts_of(pairs: DataFrame, lines: DataFrame, kept: list[str]) -> DataFrame:
     """(doc, line, text) of all lines in some pair, by one scan; a bitmap may let a few others through."""
     ids = pairs.select("doc", "line").union(pairs.select("y_doc", "y_line"))
-    return common.stored(lines.where(common.bitmap(ids, "doc", "line")))
+    return common.stored(lines.where(common.bitmap(ids, "doc", "line")), kept)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -139,7 +153,7 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
 
 
 def token_rows(distinct: DataFrame, levels: list[int]) -> DataFrame:
-    """(token, part, place, np, sketch) of every prefix token of every line; np packs size, OWN and position.
+    """(token, place, np, sketch) of every prefix token of every line; np packs size, OWN and position.
 
     The rows of a token that may have more than TOKEN_ROWS are dealt to several parts: each part
     holds all of them, and those that are its own are the ones it finds matches for. Rows are
@@ -154,35 +168,35 @@ def token_rows(distinct: DataFrame, levels: list[int]) -> DataFrame:
     rows = rows.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
     rows = rows.select("*", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     own = F.when(F.pmod(F.xxhash64("doc", "line"), F.col("parts")) == F.col("part"), OWN).otherwise(0)
-    rows = rows.select("token", F.coalesce("part", F.lit(0)).alias("part"), "doc", "line", full(F.col("np") + own).alias("np"), "sketch", "wide")
-    return rows.repartition("token", "part")
+    # One column for token and part, as rows are sorted faster by a single number.
+    dealt = full(F.col("token").cast("long") * (1 << 24) + F.col("part")).alias("token")
+    return rows.select(dealt, "doc", "line", full(F.col("np") + own).alias("np"), "sketch", "wide").repartition("token")
 
 
-def later_matches(lines: DataFrame, num: int = 4, den: int = 5, keyed: bool = True) -> tuple[DataFrame, DataFrame]:
+def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct lines, and (doc, line) of those with an earlier similar line.
 
     Each prefix token's lines are compared with the earliest of them through a window. Lines
-    whose sketch is far from it, and the few first ones, are joined with the earlier lines of the
-    token; the near ones are verified first and joined only if that fails, so a group of similar
-    lines costs as many comparisons as it has lines.
+    whose sketch is far from it, and all lines of small tokens, are joined with the earlier lines
+    of the token; the near ones are verified first and joined only if that fails, so a group of
+    similar lines costs as many comparisons as it has lines.
     """
     levels = rarity_levels(lines)
-    distinct = common.stored(line_prefixes(lines, levels, num, den))
+    distinct = common.stored(line_prefixes(lines, levels, num, den, keyed), kept)
     columns = ("doc", "line", "np", "sketch", "wide")
     dealt = token_rows(distinct, levels)
-    w = W.partitionBy("token", "part").orderBy("doc", "line")
-    headed = dealt.withColumn("h", F.first(F.struct(*columns)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("rank", F.row_number().over(w))
-    own = F.col("np").bitwiseAND(F.lit(OWN)) != 0
-    as_head = headed.where(own & (F.col("rank") > 1)).select("token", "part", "rank", *columns, *[F.col(f"h.{c}").alias(f"y_{c}") for c in columns])
-    tested = as_head.withColumn("near", _may_match(num, den))
     names = ("doc", "line", "y_doc", "y_line")
     differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
-    near = tested.where("near").select(*names, differ, (F.col("rank") > CLOSE_RANK).alias("skipped"))
-    far = tested.where(f"rank > 2 AND (NOT near OR rank <= {CLOSE_RANK})").select("token", "part", *columns)
-    other = dealt.select("token", "part", *[F.col(c).alias(f"y_{c}") for c in columns])
-    rest = far.join(other, (far["token"] == other["token"]) & (far["part"] == other["part"]) & _may_match(num, den) & earlier(keyed)).select(*names, differ, F.lit(False).alias("skipped"))
+    own = F.col("np").bitwiseAND(F.lit(OWN)) != 0
+    headed = dealt.withColumn("h", F.min(F.struct(*columns)).over(W.partitionBy("token"))).withColumn("rows", F.count("*").over(W.partitionBy("token"))).where(own & (F.col("rows") > 1))
+    not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
+    tested = headed.select("token", "rows", *columns, *[F.col(f"h.{c}").alias(f"y_{c}") for c in columns]).where(not_head).withColumn("near", _may_match(num, den))
+    near = tested.where("near").select(*names, differ, (F.col("rows") > SMALL_TOKEN).alias("skipped"))
+    far = tested.where(f"rows > 2 AND (NOT near OR rows <= {SMALL_TOKEN})").select("token", *columns)
+    other = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
+    rest = far.join(other, (far["token"] == other["token"]) & _may_match(num, den) & earlier(keyed)).select(*names, differ, F.lit(False).alias("skipped"))
     pairs = common.cut(near.union(rest).groupBy(*names).agg(F.min("differ").alias("differ"), F.max("skipped").alias("skipped")))
-    texts = texts_of(pairs, lines)
+    texts = texts_of(pairs, lines, kept)
     # One match is enough to remove a line: its likeliest pair is verified first, the others where that fails.
     best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("b")).select("doc", "line", "b.y_doc", "b.y_line")
     found = common.cut(verified(best, texts, num, den).select("doc", "line").distinct())
@@ -196,27 +210,29 @@ def later_matches(lines: DataFrame, num: int = 4, den: int = 5, keyed: bool = Tr
         return distinct, found
     mine = dealt.where(own)
     mine = common.cut(mine.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(mine, open_), "left_semi"))
-    theirs = dealt.select("token", "part", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
-    again = mine.join(theirs, (mine["token"] == theirs["token"]) & (mine["part"] == theirs["part"]) & _may_match(num, den) & earlier(keyed)).select(*names).distinct()
+    theirs = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
+    again = mine.join(theirs, (mine["token"] == theirs["token"]) & _may_match(num, den) & earlier(keyed)).select(*names).distinct()
     again = common.cut(again.join(pairs, same_place(again, pairs, names), "left_anti"))
-    return distinct, found.union(verified(again, texts_of(again, lines), num, den).select("doc", "line")).distinct()
+    return distinct, found.union(verified(again, texts_of(again, lines, kept), num, den).select("doc", "line")).distinct()
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keyed: bool = True) -> DataFrame:
     """(doc, line) of every line that has an earlier match, exact copies included."""
     lines = lines_of(docs, id_col, text_col, keyed)
-    distinct, similar = later_matches(lines, num, den, keyed)
+    kept: list[str] = []
+    distinct, similar = later_matches(lines, num, den, keyed, kept)
     # Every occurrence of a line that is copied, or whose first occurrence has an earlier match.
     late = similar.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.lit(True).alias("late"))
     first = distinct.join(late, same_place(distinct, late, ("doc", "line"), ("l_doc", "l_line")), "left").where("copies > 1 OR late")
     first = common.cut(first.select("same", "check", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.coalesce("late", F.lit(False)).alias("late")))
+    common.remove(docs.sparkSession, kept)
     seen = lines.select("doc", "line", *line_hash(F.col("text")))
     seen = seen.where(common.bitmap(first, "same")).join(first, ["same", "check"])
     is_first = F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("line") == F.col("f_line"))
     return seen.where(F.col("late") | ~is_first).select("doc", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """Remove lines that match an earlier line: the columns of ``docs`` with new texts, and n_lines, n_removed.
 
     Lines are parted by newlines and their tokens, as a set, by white space. A line is removed if
@@ -225,9 +241,10 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_
     stay. Lines and texts are taken whole, however long. Null texts stay null with 0 lines; an empty text has one empty line. Rows with equal
     doc_id and text are one document and stay repeated; rows that share only the doc_id are ordered
     by a hash of their texts. A null doc_id sorts first. Columns n_lines and n_removed of the
-    input are replaced; other columns pass through. An empty table gives no rows.
+    input are replaced; without ``counts`` nothing is added and all columns pass through. An empty
+    table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     keyed = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count() > 0
     gone = removed_lines(docs, num, den, id_col, text_col, keyed)
     per_doc = common.cut(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.col("line").cast("int")).alias("__gone")))
@@ -240,4 +257,5 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    added = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), removed.alias("n_removed")]
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], *(added if counts else []))
