@@ -15,6 +15,8 @@ BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 #: 64-bit words of the bitmaps that thin out rows before a join; they let through too much, never too little.
 BITMAP_WORDS = 1 << 15
+#: A key of more rows than this may be dealt to SALTS tasks; at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS, SALTS = 2_000, 10_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +69,15 @@ def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of the session's own where it is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of the session's own; on a cluster a
+    machine's own folder would be lost to the others, so that is an error.
+    """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared or f"/tmp/rasterloom-checkpoints/{uuid.uuid4().hex}")
     return shared or sc.getCheckpointDir()
@@ -81,13 +89,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same as ``cut``, by a compressed table in the shared folder that is read again."""
+def stored(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """The same as ``cut``, by a compressed table in the shared folder that is read again.
+
+    Its path is added to ``kept``, for a caller that removes tables which nothing needs any more.
+    """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if kept is not None:
+        kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables, wherever they are stored."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an integer id written as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
@@ -107,6 +128,29 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(h, F.col(key)).limit(most)
 
 
+def frequent(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """The keys that hold more than HOT_ROWS rows and more than a HOT_KEYS-th of all.
+
+    By the second bound there are fewer than HOT_KEYS of them, so they may be broadcast at any size of the input.
+    """
+    return counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(*keys)
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key; the rows of the ``hot`` keys are dealt to SALTS tasks.
+
+    Keys of ``right`` are not null.
+    """
+    if hot.limit(1).count() == 0:
+        return left.join(right, keys, how)
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    at = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS))).otherwise(0)
+    few = right.join(F.broadcast(hot), keys, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = right.join(F.broadcast(hot), keys, "left_anti").withColumn("__salt", F.lit(0))
+    salted = rest.unionByName(few).withColumn("__salt", F.col("__salt").cast("long"))
+    return marked.withColumn("__salt", at.cast("long")).drop("__hot").join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def numbers(values, kind: str) -> Column:
     """A constant array; it is parsed once, when the plan is optimised."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")

@@ -14,8 +14,8 @@ from .decontam import words_of
 WIDTH = 5
 #: Trees of the forest and hash values in a tree's label (one byte each, so that a label is a sortable 64-bit key).
 TREES, DEPTH = 32, 8
-#: Distinct texts of a candidate group that one task holds at a time; larger groups are compared block by block.
-BLOCK = 512
+#: Distinct texts, and their shingles, of a candidate group's block; a task holds two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Rows of a trie bucket that one task holds at a time.
 BUCKET = 2048
 #: Edges that one task of the component search handles.
@@ -149,45 +149,46 @@ def with_estimates(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFram
     return joined.mapInArrow(f, "a long, b long, depth int, same double")
 
 
-def chosen_depth(pairs: DataFrame, threshold: float, target: float, floor: int) -> int:
-    """The longest prefix at which the estimated share of links found reaches the target.
+def estimated_recall(bins: dict[int, int], depth: int) -> float:
+    """Share of all links that prefixes of ``depth`` find, judged by the verified ones.
 
-    A link of similarity s is found at depth d with probability 1 - (1 - s^d)^TREES; each found
-    link stands for the inverse of that many. Prefixes are shortened from the full label on, to
-    ``floor`` at most, where links at the threshold itself reach the target.
+    ``bins`` counts verified links by hundredths of similarity. A link of similarity s is found
+    with probability 1 - (1 - s^depth)^TREES, so each stands for the inverse of that many.
     """
-    bins = pairs.where(F.col("same") >= threshold).groupBy("depth", F.round("same", 2).alias("s")).count().collect()
-    for d in range(DEPTH, floor, -1):
-        p = {r.s: 1 - (1 - min(1.0, r.s) ** d) ** TREES for r in bins}
-        found = sum(r["count"] for r in bins if r.depth >= d)
-        total = sum(r["count"] / p[r.s] for r in bins if r.depth >= d)
-        if total and found / total >= target and 1 - (1 - threshold**d) ** TREES >= target:
-            return d
-    return floor
+    found = sum(bins.values())
+    total = sum(n / (1 - (1 - (s / 100) ** depth) ** TREES) for s, n in bins.items())
+    return found / total if total else 1.0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``edges`` (a, b), comp being the smallest node connected to it.
 
     Alternates large stars and small stars; each step shuffles the edges once by node, and the
-    number of steps grows with the logarithm of the component's size.
+    number of steps grows with the logarithm of the component's size. The edges of a hub are
+    dealt to several tasks.
     """
     edges = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    tasks = edges.count() // EDGE_ROWS + 1  # few edges are not spread over many small shuffle files
+    total = edges.count()
+    tasks = total // EDGE_ROWS + 1  # few edges are not spread over many small shuffle files
     edges = edges.coalesce(tasks)
+
+    def hubs(least):
+        return common.frequent(least, ["u"], "k", total) if total > EDGE_ROWS else least.limit(0).select("u")
+
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k").coalesce(tasks)
+        large = common.join_spread(both, least.drop("k"), ["u"], hubs(least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         small = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         edges = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = edges.union(large.join(small, "u").select("u", F.col("m").alias("v"))).where("u <> v").coalesce(tasks)
         edges = common.cut(edges.distinct().coalesce(tasks))
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") / (1 << 20)).alias("h"), F.count_distinct("u").alias("u")).first()
-        if seen == (state.n, state.h) and state.n == state.u:
+        h = F.xxhash64("u", "v")
+        state = edges.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"), F.count_distinct("u").alias("u")).first()
+        if seen == (state.n, state.x, state.s) and state.n == state.u:  # whole numbers, in whatever order they are added
             break
-        seen = (state.n, state.h)
+        seen = (state.n, state.x, state.s)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -268,16 +269,18 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Verify every pair inside candidate groups: (node, links, root) and spanning edges (a, b) of the true links.
+def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Verify every pair inside candidate groups: rows (comp, kind, a, b, links, root).
 
     Every two texts of a group meet in one task, which holds two blocks at most; it emits
     counts per text and, for groups of several blocks, a spanning forest, never the pairs
-    themselves. ``links`` counts documents; ``root`` names the class in groups of one block.
+    themselves. Kind ``node`` has a text's number of linked documents, and the class of groups of
+    one block in ``root``; kind ``edge`` a link (a, b) of the forest; kind ``bin`` how many pairs
+    have a similarity of a hundredths.
     """
-    member = comps.join(nodes.select("node", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "node")
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    blocks = F.floor((F.col("size") + (BLOCK - 1)) / BLOCK).cast("int")
+    member = comps.join(nodes.select("node", "n", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "node")
+    sizes = member.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     member = common.cut(member.join(sizes, "comp").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     wanted = member.select("node", "comp", "copies", "doc_id", "k1", "k2", "blocks", "block")
 
@@ -299,23 +302,24 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
     ordered = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "node")
 
     def solve(unit, rows, single):
-        _, i, j = unit
+        comp, i, j = unit
         left = [r for r in rows if r[0] == i]
         right = left if i == j else [r for r in rows if r[0] == j]
-        out = {"a": [], "b": [], "links": [], "root": []}
+        out: list[tuple] = []  # kind, a, b, links, root
         if not left or not right:
             return out
         a, b = [r[3] for r in left], [r[3] for r in right]
         inter = intersections(a, b)
         na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        link = 5 * inter >= 4 * (na[:, None] + nb[None, :] - inter)
+        union = na[:, None] + nb[None, :] - inter
+        link = 5 * inter >= 4 * union
         if i == j:
             np.fill_diagonal(link, False)
         ca, cb = np.array([r[2] for r in left]), np.array([r[2] for r in right])
         counts = [(r[1], int(c)) for r, c in zip(left, link @ cb)] + ([] if i == j else [(r[1], int(c)) for r, c in zip(right, link.T @ ca)])
-        out["a"] += [n for n, _ in counts]
-        out["b"] += [None] * len(counts)
-        out["links"] += [c for _, c in counts]
+        once = np.triu(link) if i == j else link
+        hundredths, pairs = np.unique(100 * inter[once] // union[once], return_counts=True)
+        out += [("bin", int(h), None, int(k), None) for h, k in zip(hundredths, pairs)]
         edges = []
         parent = {r[1]: r[1] for r in left} | {r[1]: r[1] for r in right}
 
@@ -325,35 +329,80 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
                 x = parent[x]
             return x
 
-        for x, y in zip(*np.nonzero(link)):
+        for x, y in zip(*np.nonzero(once)):
             u, v = find(left[x][1]), find(right[y][1])
             if u != v:
                 parent[max(u, v)] = min(u, v)
                 edges.append((left[x][1], right[y][1]))
-        out["root"] += [find(n) if single else None for n in out["a"]]
-        if not single:
-            for k, v in zip(("a", "b", "links", "root"), ([a for a, _ in edges], [b for _, b in edges], [None] * len(edges), [None] * len(edges))):
-                out[k] += v
-        return out
+        out += [("node", n, None, c, find(n) if single else None) for n, c in counts]
+        return out if single else out + [("edge", x, y, None, None) for x, y in edges]
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    schema = pa.schema([("comp", pa.int64()), ("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
         unit, rows, single = None, [], True
+
+        def flush():
+            found = solve(unit, rows, single)
+            columns = [pa.array([unit[0]] * len(found), pa.int64()), *(pa.array([r[k] for r in found], schema.field(k + 1).type) for k in range(5))]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for batch in batches:
             for comp, i, j, block, node, copies, data, blocks in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if unit != (comp, i, j):
                     if unit:
-                        yield pa.RecordBatch.from_pydict(solve(unit, rows, single), schema=schema)
+                        yield flush()
                     unit, rows, single = (comp, i, j), [], blocks == 1
                 if not rows or rows[-1][1] != node:
                     rows.append((block, node, copies, np.frombuffer(data, dtype=np.uint64)))
         if unit:
-            yield pa.RecordBatch.from_pydict(solve(unit, rows, single), schema=schema)
+            yield flush()
+
+    return ordered.mapInArrow(run, "comp long, kind string, a long, b long, links long, root long")
+
+
+def candidate_groups(nodes: DataFrame, depth: int, least: float) -> DataFrame:
+    """(node, comp): texts that share a prefix of ``depth`` bytes in some tree, and whose labels allow the threshold, are in one group."""
+    edges = with_estimates(neighbours(nodes, depth), nodes, least).select("a", "b")
+    comps = common.cut(components(edges))
+
+    # Texts that share a prefix but not a group: neighbours in the trie that other texts stand between.
+    labelled = nodes.select("node", "n", "labels").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.posexplode("labels").alias("tree", "label"))
+    labelled = common.cut(labelled.select("node", "n", "comp", "tree", F.shiftright("label", 8 * (DEPTH - depth)).alias("prefix")))
+    mixed = labelled.groupBy("tree", "prefix").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("tree", "prefix", "size")
+    open_ = labelled.join(mixed, ["tree", "prefix"])
+    more = common.cut(bucket_edges(open_, nodes, least))
+    if more.limit(1).count():
+        merged = components(more).withColumnRenamed("node", "group").withColumnRenamed("comp", "into")
+        grouped = nodes.select("node").join(comps, "node", "left").withColumn("group", F.coalesce("comp", "node")).join(merged, "group", "left")
+        comps = common.cut(grouped.where("comp IS NOT NULL OR into IS NOT NULL").select("node", F.coalesce("into", "group").alias("comp")))
+    return comps
 
-    solved = common.cut(ordered.mapInArrow(run, "a long, b long, links long, root long"))
-    counts = solved.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.max("root").alias("root"))
-    return counts, solved.where("b IS NOT NULL").select("a", "b")
+
+def verified_links(nodes: DataFrame, docs: DataFrame, threshold: float, target: float, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The rows of ``exact_links`` at the longest prefix that reaches the target, and its depth.
+
+    Search begins with whole labels. What they find is verified; if the estimated recall over
+    the verified links is below the target, prefixes are shortened by a byte and the groups that
+    gained texts are verified anew.
+    """
+    # Five standard deviations below the threshold: a true link fails this with a probability under one in a million.
+    least = threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+    solved = sizes = None
+    for depth in range(DEPTH, 0, -1):
+        groups = candidate_groups(nodes, depth, least)
+        now = common.cut(groups.groupBy("comp").agg(F.count("*").alias("size")))
+        if solved is None:
+            solved = common.cut(exact_links(groups, nodes, docs, id_col, text_col))
+        else:
+            same = now.join(sizes, ["comp", "size"]).select("comp")
+            fresh = exact_links(groups.join(same, "comp", "left_anti"), nodes, docs, id_col, text_col)
+            solved = common.cut(solved.join(same, "comp", "left_semi").unionByName(fresh))
+        sizes = now
+        bins = {r.a: r["n"] for r in solved.where("kind = 'bin'").groupBy("a").agg(F.sum("links").alias("n")).collect()}
+        if estimated_recall(bins, depth) >= target:
+            break
+    return solved, depth
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,37 +417,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     share class_id too; ``comp`` tells all classes apart and is null for rows without words. An
     empty table gives no rows.
     """
-    assert threshold == 0.8, "the exact comparison uses the ratio 4/5"
+    if threshold != 0.8:
+        raise ValueError("the exact comparison uses the ratio 4/5")
     rows = common.cut(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     nodes = common.cut(rows.where("n > 0").groupBy("h1", "h2", "n").agg(
         F.min("row").alias("node"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.min("labels").alias("labels"), F.min("doc_id").alias("first")))
-    floor = next((d for d in range(DEPTH, 0, -1) if 1 - (1 - threshold**d) ** TREES >= target), 1)
-    # Five standard deviations below the threshold: a true link fails this with a probability under one in a million.
-    least = threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
-    found = common.cut(with_estimates(neighbours(nodes, floor), nodes, least))
-    depth = chosen_depth(found, threshold, target, floor)
-    edges = found.where(F.col("depth") >= depth).select("a", "b")
-    comps = common.cut(components(edges))
-
-    # Texts that share a prefix but not a group: neighbours in the trie that other texts stand between.
-    labelled = nodes.select("node", "n", "labels").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.posexplode("labels").alias("tree", "label"))
-    labelled = common.cut(labelled.select("node", "n", "comp", "tree", F.shiftright("label", 8 * (DEPTH - depth)).alias("prefix")))
-    mixed = labelled.groupBy("tree", "prefix").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("tree", "prefix", "size")
-    open_ = labelled.join(mixed, ["tree", "prefix"])
-    more = common.cut(bucket_edges(open_, nodes, least))
-    if more.limit(1).count():
-        merged = components(more).withColumnRenamed("node", "group").withColumnRenamed("comp", "into")
-        grouped = nodes.select("node").join(comps, "node", "left").withColumn("group", F.coalesce("comp", "node")).join(merged, "group", "left")
-        comps = common.cut(grouped.where("comp IS NOT NULL OR into IS NOT NULL").select("node", F.coalesce("into", "group").alias("comp")))
-
-    counts, spanning = exact_links(comps, nodes, docs, id_col, text_col)
+    solved, _ = verified_links(nodes, docs, threshold, target, id_col, text_col)
+    counts = solved.where("kind = 'node'").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.max("root").alias("root"))
+    spanning = solved.where("kind = 'edge'").select("a", "b")
     classes = components(spanning) if spanning.limit(1).count() else spanning.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    solved = nodes.select("node", "h1", "h2", "n", "copies", "first").join(classes, "node", "left").join(counts, "node", "left")
-    solved = common.cut(solved.select("h1", "h2", "n", F.coalesce("root", "comp", "node").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"))
-    named = solved.groupBy("comp").agg(F.min("first").alias("class_id"))
-    solved = solved.join(named, "comp").select("h1", "h2", F.col("n").alias("size"), "class_id", "n_links", "comp")
-    joined = rows.join(solved, (rows["h1"] == solved["h1"]) & (rows["h2"] == solved["h2"]) & (rows["n"] == solved["size"]), "left")
-    return joined.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "k1", "k2", "comp")
+    keyed = nodes.select("node", "h1", "h2", "n", "copies", "first").join(classes, "node", "left").join(counts, "node", "left")
+    keyed = common.cut(keyed.select("h1", "h2", "n", F.coalesce("root", "comp", "node").alias("comp"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"))
+    named = keyed.groupBy("comp").agg(F.min("first").alias("class_id"))
+    keyed = common.cut(keyed.join(named, "comp"))
+    hot = common.frequent(keyed, ["h1", "h2", "n"], "copies", rows.count())
+    worded = common.join_spread(rows.where("n > 0").select("doc_id", "k1", "k2", "row", "h1", "h2", "n"), keyed.select("h1", "h2", "n", "class_id", "n_links", "comp"), ["h1", "h2", "n"], hot)
+    worded = worded.select("doc_id", "class_id", "n_links", "k1", "k2", "comp")
+    return worded.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "k1", "k2", F.lit(None).cast("long").alias("comp")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
