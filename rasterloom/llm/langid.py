@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 #: Labelled documents used to train and calibrate, at most; predictions cover every whole text.
-TRAIN_DOCS = 4_000
+TRAIN_DOCS = 3_000
+#: Of longer training texts the model also learns pieces of these lengths, as it has to know short texts too.
+PIECES, LONG = (40, 150, 2000), 400
 BUCKETS = 1 << 15
 DIM = 16
 GRAMS = (1, 2, 3, 4)
@@ -81,25 +83,33 @@ class LangModel:
         return self.classes[k], float(round(p[k], 6)), bool(p[k] < self.reject)
 
 
-def fit_language(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6, precision: float = 0.99, seed: int = 5) -> LangModel:
-    """Stochastic gradient descent over documents and short windows of them; a fifth calibrates.
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text's subwords and their shares."""
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for h in subwords(text):
+        total += np.bincount(h, minlength=BUCKETS)
+    at = np.nonzero(total)[0].astype(np.int32)
+    return at, (total[at] / max(1, total.sum())).astype(np.float32)
 
-    The temperature minimises the log loss of the held fifth; the rejection level is the lowest
-    probability at which accepted predictions of that fifth reach ``precision``.
+
+def cases_of(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What is learnt of a text: the whole of it, and of a long one a piece of each length of PIECES as well."""
+    rng = np.random.default_rng(seed & 0x7FFFFFFF)
+    cuts = [int(rng.integers(0, max(1, len(text) - n))) for n in PIECES] if len(text) >= LONG else []
+    return [bag(text)] + [b for n, k in zip(PIECES, cuts) if len((b := bag(text[k : k + n]))[0])]
+
+
+def fit_language(rows: list[tuple[str, bool, list]], epochs: int = 4, rate: float = 0.6, precision: float = 0.99, seed: int = 5) -> LangModel:
+    """Stochastic gradient descent over (language, held, bags of subwords) rows; the held ones calibrate.
+
+    The temperature minimises the log loss of the held rows' whole texts; the rejection level is
+    the lowest probability at which their accepted predictions reach ``precision``.
     """
-    classes = sorted(set(langs))
+    classes = sorted({lang for lang, _, _ in rows})
     rng = np.random.default_rng(seed)
     emb = rng.normal(scale=0.1, size=(BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
-    cases = []
-    for i, (t, lang) in enumerate(zip(texts, langs)):
-        if i % 5 == 0 or not LETTER.search(t):
-            continue
-        windows = [t] if len(t) < 400 else [t[k : k + n] for n in (40, 150, 2000) for k in [int(rng.integers(0, max(1, len(t) - n)))]]
-        for x in windows:
-            h, c = np.unique(np.concatenate(list(subwords(x))), return_counts=True)
-            if len(h):
-                cases.append((h, (c / c.sum()).astype(np.float32), classes.index(lang)))
+    cases = [(h, c, classes.index(lang)) for lang, held, bags in rows if not held for h, c in bags]
     steps, total = 0, max(1, epochs * len(cases))
     for _ in range(epochs):
         for k in rng.permutation(len(cases)):
@@ -116,7 +126,7 @@ def fit_language(texts: list[str], langs: list[str], epochs: int = 4, rate: floa
             emb[h] -= (lr * 20 * c)[:, None] * back
             steps += 1
     model = LangModel(classes, emb @ w, b.astype(np.float64))
-    held = [(model.logits(t), classes.index(x)) for i, (t, x) in enumerate(zip(texts, langs)) if i % 5 == 0 and LETTER.search(t)]
+    held = [(c.astype(np.float64) @ model.scores[h] + model.bias, classes.index(lang)) for lang, apart, ((h, c), *_) in rows if apart]
     if held:
         z, y = np.array([a for a, _ in held]), np.array([c for _, c in held])
 
@@ -132,18 +142,39 @@ def fit_language(texts: list[str], langs: list[str], epochs: int = 4, rate: floa
     return model
 
 
+def training_rows(train: DataFrame, id_col: str, text_col: str) -> list[tuple[str, bool, list]]:
+    """(language, held, bags) of at most TRAIN_DOCS labelled texts with letters, made where the texts are.
+
+    A text's bags have BUCKETS entries at most, so what the driver gets is bounded whatever the
+    texts' lengths. A fifth of the rows, by a hash, is held for calibration.
+    """
+    key = F.xxhash64(id_col, text_col, "lang").alias("key")
+    known = train.where(F.col(text_col).isNotNull() & F.col("lang").isNotNull()).select(key, text_col, "lang")
+    chosen = common.hash_sample(known.select("key"), "key", TRAIN_DOCS)
+    rows = known.join(F.broadcast(chosen.distinct()), "key").dropDuplicates(["key"])
+
+    def f(batch):
+        out = {"key": batch["key"], "lang": batch["lang"], "bags": []}
+        for key, text in zip(batch["key"], batch[text_col]):
+            found = cases_of(text, key) if LETTER.search(text) else []
+            out["bags"].append([{"at": h.tobytes(), "share": c.tobytes()} for h, c in found])
+        return out
+
+    made = common.map_rows(rows, ["key", text_col, "lang"], "key long, lang string, bags array<struct<at: binary, share: binary>>", lambda: f).collect()
+    made = sorted((r for r in made if r.bags), key=lambda r: r.key)
+    return [(r.lang, r.key % 5 == 0, [(np.frombuffer(b["at"], dtype=np.int32), np.frombuffer(b["share"], dtype=np.float32)) for b in r.bags]) for r in made]
+
+
 def identify_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predict the language of every whole text: doc_id, lang_pred, score, rejected.
 
-    ``train`` has (id, text, lang); at most TRAIN_DOCS of its rows with text and lang, those of
-    the smallest hash of the id, are learnt from. Null texts and texts without letters get ``und``
+    ``train`` has (id, text, lang); at most TRAIN_DOCS of its distinct rows with text and lang,
+    those of the smallest hash, are learnt from. Null texts and texts without letters get ``und``
     and score 0; so does every text if nothing is labelled. ``rejected`` marks predictions below
-    the calibrated level. Equal texts get equal answers and repeated rows stay repeated.
+    the calibrated level. Equal texts get equal answers, repeated rows stay repeated, very long
+    texts are hashed block by block, and an empty table gives no rows.
     """
-    known = train.where(F.col(text_col).isNotNull() & F.col("lang").isNotNull()).select(id_col, text_col, "lang")
-    chosen = common.hash_sample(known.select(id_col), id_col, TRAIN_DOCS)
-    rows = sorted(known.join(F.broadcast(chosen.distinct()), id_col).collect(), key=lambda r: (r[0] * 2654435761 % 2**32, r[0], r[1]))
-    model = fit_language([r[1] for r in rows], [r[2] for r in rows])
+    model = fit_language(training_rows(train, id_col, text_col))
 
     def f(batch):
         out = [model.predict(t) for t in batch[text_col]]

@@ -120,34 +120,44 @@ def fit_quality(rows: DataFrame, ridge: float = 1e-3, seed: int = 11) -> Quality
     return model
 
 
+def fit_from(feats: DataFrame, labels: DataFrame) -> QualityModel:
+    """Learn only where crc32(doc_id as text) mod 5 is not 0; of those, remainder 1 fits the calibration and the others the ridge weights."""
+    fold = common.crc_mod("id", 5)
+    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    rows = feats.join(known, "id").where(fold != 0).select("features", "label", (fold == 1).alias("calibrate"))
+    return fit_quality(common.cut(rows))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Score every document for quality: doc_id, held_out, score, predicted, text_key (a hash of the text).
 
-    Labels are learnt only where crc32(doc_id as text) mod 5 is not 0; of those, remainder 1 fits
-    the calibration and the others the ridge weights. Null and empty texts are scored as empty
-    ones, equal texts get equal scores, repeated rows stay repeated, and an empty table gives no
-    rows. A null doc_id is never labelled and has held_out = false.
+    Labels are learnt as ``fit_from`` says. Null and empty texts are scored as empty ones, texts
+    are taken whole however long, equal texts get equal scores, repeated rows stay repeated, and
+    an empty table gives no rows. A null doc_id is never labelled and has held_out = false.
     """
     feats = common.cut(document_features(docs))
-    fold = common.crc_mod("id", 5)
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    rows = feats.join(known, "id").where(fold != 0).select("features", "label", (fold == 1).alias("calibrate"))
-    model = fit_quality(common.cut(rows))
+    model = fit_from(feats, labels)
 
     def scores(rows):
         x = np.array(rows["features"], dtype=float).reshape(-1, len(FEATURES))
         s = np.round(model.score(x), 9)
         return {"doc_id": rows["id"], "text_key": rows["text_key"], "held_out": rows["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
-    held = feats.withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
+    held = feats.withColumn("held_out", F.coalesce(common.crc_mod("id", 5) == 0, F.lit(False)))
     return common.map_rows(held, ["id", "held_out", "features", "text_key"], "doc_id long, held_out boolean, score double, predicted int, text_key long", lambda: scores)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, with their own columns.
 
-    Rows that share a doc_id, null included, but not the text are judged apart.
+    Every row is scored where it is read, so texts are not shuffled; rows that share a doc_id,
+    null included, but not the text are judged apart. Statistics for learning are made of rows
+    that may have a label. An empty table gives no rows.
     """
-    rejected = quality_scores(docs, labels, threshold).where("predicted = 0")
-    rejected = rejected.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    model = fit_from(common.cut(document_features(docs.where(common.bitmap(labels, "doc_id")))), labels)
+
+    def keep(texts):
+        x = np.array([document_stats(t)[1] for t in texts], dtype=float).reshape(-1, len(FEATURES))
+        return np.round(model.score(x), 9) >= threshold
+
+    return common.filter_rows(docs, "text", lambda: keep)

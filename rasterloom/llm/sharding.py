@@ -36,13 +36,14 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), index + 1)
 
 
-def propagate(linked: DataFrame, shards: int, room: int, rounds: int) -> DataFrame:
+def propagate(linked: DataFrame, hot: DataFrame, shards: int, room: int, rounds: int) -> DataFrame:
     """Move linked rows towards the shards of their neighbours: (row, k1, k2, m, shard).
 
     Rows with the same (k1, k2) are neighbours of each other; m is their number. In each round a
     join gives every row its neighbours' histogram over shards. A row wants the shard where most
     neighbours are, among those with room and its own; ties go to a hash of the group, so that
     neighbours agree. Moves into a shard are admitted group by group until its quota is used up.
+    ``hot`` has the keys of groups whose rows are dealt to several tasks.
     """
     spread = F.col("m") > BUCKET_ROWS // 4
     for _ in range(rounds):
@@ -50,15 +51,15 @@ def propagate(linked: DataFrame, shards: int, room: int, rounds: int) -> DataFra
         free = [max(0, room - held.get(s, 0)) for s in range(shards)]
         counts = linked.groupBy("k1", "k2").agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"c{s}") for s in range(shards)])
         hist = counts.select("k1", "k2", F.array(*[F.struct(F.col(f"c{s}").alias("n"), F.pmod(F.xxhash64("k1", "k2", F.lit(s)), F.lit(1 << 20)).alias("tie"), F.lit(s).alias("s")) for s in range(shards)]).alias("hist"))
-        seen = linked.join(hist, ["k1", "k2"])
+        seen = common.join_spread(linked, hist, ["k1", "k2"], hot)
         wanted = F.array_max(F.filter("hist", lambda x: (x["s"] == F.col("shard")) | (_pick(free, x["s"]) > 0)))["s"]
         seen = common.cut(seen.withColumn("to", wanted.cast("int")).drop("hist"))
         moves = seen.where("to <> shard")
         ranked = _rank(moves.select("row", "k1", "k2", "m", "to"), "to", _bucket(max(1, sum(held.values())), spread), ["k1", "k2", "row"])
-        admitted = ranked.where(F.col("rank") <= _pick(free, F.col("to"))).select("row", F.col("to").alias("moved"))
-        linked = common.cut(seen.drop("to").join(admitted, "row", "left").withColumn("shard", F.coalesce("moved", "shard")).drop("moved"))
-        if linked.join(seen.select("row", F.col("shard").alias("was")), "row").where("was <> shard").limit(1).count() == 0:
+        admitted = common.cut(ranked.where(F.col("rank") <= _pick(free, F.col("to"))).select("row", F.col("to").alias("moved")))
+        if admitted.limit(1).count() == 0:
             break
+        linked = common.cut(seen.drop("to").join(admitted, "row", "left").withColumn("shard", F.coalesce("moved", "shard")).drop("moved"))
     return linked
 
 
@@ -69,7 +70,8 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, id_col:
     shards differ by one at most, and slots are gapless from 0 in each. Equal non-null texts link
     their documents; a group larger than a shard's quota fills several. Null texts count as empty
     in size and checksum but are linked to nothing. Repeated rows are separate rows with equal
-    texts. An empty table gives no rows.
+    texts. Very long texts are only measured and hashed. An empty table gives no rows. Which of
+    equal rows goes to which shard depends on the order in which the table is read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
@@ -80,8 +82,10 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, id_col:
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1")
-    linked = rows.select("row", "k1", "k2").join(groups, ["k1", "k2"]).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    linked = propagate(common.cut(linked.select("row", "k1", "k2", "m", "shard")), shards, quota[0] + -(-quota[0] // SLACK), rounds)
+    groups = common.cut(groups)
+    hot = common.cut(common.frequent(groups, ["k1", "k2"], "m", total))
+    linked = common.join_spread(rows.select("row", "k1", "k2").where("k1 IS NOT NULL"), groups, ["k1", "k2"], hot).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    linked = propagate(common.cut(linked.select("row", "k1", "k2", "m", "shard")), hot, shards, quota[0] + -(-quota[0] // SLACK), rounds)
 
     labels = linked.select("row", F.col("shard").alias("label"), "m")
     labelled = rows.join(labels, "row", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
