@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, line dedup, near duplicates, decontamination, tokens.
 
-Every stage gets all documents that its predecessor kept and returns the columns of documents;
-the last one returns tokens.
+Every stage gets all documents that its predecessor kept and returns the columns of documents,
+extra ones too; the last one returns tokens. Null and empty texts, nulls in other columns,
+repeated rows and very long texts pass as the docstrings of the stages say, and an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -18,28 +20,28 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; a null text is judged as an empty one, equal texts alike."""
     return quality.quality_filter(docs, common.table(spark, sf_dir, "labels"))
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go; every document stays, with its new length."""
-    found = linededup.dedup_lines(docs).drop("n_lines", "n_removed")
+    """Lines that match an earlier one go; every document stays, with its new length, and null texts stay null."""
+    found = linededup.dedup_lines(docs, counts=False)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays; texts without words go only for an equal row."""
     return nearjoin.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; a null text has none."""
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document."""
+    """(doc_id, n_tokens, ids) of every document; a null text has no tokens."""
     found = bpe.bpe_encode(docs, tokenizer_path())
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -54,12 +56,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what one returns is written as Parquet and read by the next."""
+    """Apply the stages to ``documents``; what one returns is written as Parquet and read by the next.
+
+    A stage's table is deleted when the next one is written; the last one's stays for the caller.
+    """
     folder = f"{common.ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        common.remove(spark, [before] if before else [])
+        before = f"{folder}/{name}"
     return docs
 
 
