@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import common
+from .quality import pool_adjacent
 
 # The base patterns and the least length of a finding.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -17,12 +18,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "learned")
 
 #: What the network may add: long unbroken strings with a digit.
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE, DIGIT = re.compile(r"[A-Za-z0-9+/_=.-]{16,}"), re.compile("[0-9]")
+HEXLIKE = re.compile("[0-9A-Fa-f-]+")
 LEAST, SEPARATORS = 16, "/._-=+"
 #: Characters of a candidate's head, and of the context before and after it, that the network sees.
 HEAD, BEFORE, AFTER = 48, 24, 12
 #: Characters between the windows of a longer candidate, and windows that are scored at once.
 STEP, WINDOWS = 16, 2048
+#: Kinds of candidates by their characters; each has a threshold of its own.
+SHAPES = ("hex", "plain", "marked")
 WIDTH, FILTERS, KERNEL, CLASSES = HEAD + BEFORE + AFTER, 24, 5, 14
 
 
@@ -52,6 +56,11 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.array(codes(before, BEFORE, True) + codes(head, HEAD) + codes(after, AFTER), dtype=np.int64)
 
 
+def shape_of(candidate: str) -> str:
+    """Hexadecimal digits and hyphens, letters and digits alone, or with other marks."""
+    return "hex" if HEXLIKE.fullmatch(candidate) else "plain" if candidate.isalnum() else "marked"
+
+
 def heads(text: str, start: int, end: int) -> list[int]:
     """Starts of the windows over a candidate: overlapping ones over all of it, and one behind each separator."""
     if end - start <= HEAD:
@@ -69,7 +78,8 @@ class CharConvNet:
         self.kb = np.zeros(FILTERS)
         self.w = rng.normal(scale=0.1, size=2 * FILTERS)
         self.b = 0.0
-        self.threshold = 0.5
+        self.xs, self.ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        self.levels = dict.fromkeys(SHAPES, 0.5)
 
     @staticmethod
     def _patches(x: np.ndarray) -> np.ndarray:
@@ -87,6 +97,16 @@ class CharConvNet:
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 512])[-1] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
+    def probability(self, scores: np.ndarray) -> np.ndarray:
+        """Scores on the calibration curve: the share of secrets among findings of such a score."""
+        return np.interp(scores, self.xs, self.ys)
+
+    def calibrate(self, scores: np.ndarray, y: np.ndarray) -> None:
+        """Isotonic fit; the raw score keeps a small part, so that equal shares stay in order."""
+        order = np.argsort(scores, kind="stable")
+        fitted = pool_adjacent(y[order], np.ones(len(y)))
+        self.xs, self.ys = scores[order], 0.98 * fitted + 0.02 * scores[order]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 64, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
         params = [self.k, self.kb, self.w, np.zeros(1)]
@@ -110,7 +130,7 @@ class CharConvNet:
                 self.b = float(params[3][0])
 
 
-def labelled_findings(n: int = 3000, seed: int = 9) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+def labelled_findings(n: int = 4000, seed: int = 9) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """Labelled candidates: random keys of several shapes against strings that only look like them."""
     rng = np.random.default_rng(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -132,7 +152,9 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> tuple[list[tuple[str, int
             lead = ["key: ", "token = \"", "Authorization: Bearer ", "secret=", "", f"{word(3)} ", "export AUTH=", "credential '"][int(rng.integers(0, 8))]
         else:
             body = [lambda: "-".join(draw(digits, k) for k in (4, 2, 2, 2, 2, 6)), lambda: draw(digits, size), lambda: word(6) + str(int(rng.integers(0, 100))), lambda: "/".join(word(3) for _ in range(3)) + "/v" + str(int(rng.integers(0, 9))) + "." + str(int(rng.integers(0, 9))),
-                    lambda: "_".join(word(2) for _ in range(3)) + "_" + draw(digits, 4), lambda: ".".join(word(2) for _ in range(3)) + ".20" + draw(digits, 2), lambda: "=" * 12 + draw(digits, 2) + "=" * 12, lambda: "-" * 18 + draw(digits, 1)][i // 2 % 8]()
+                    lambda: "_".join(word(2) for _ in range(3)) + "_" + draw(digits, 4), lambda: ".".join(word(2) for _ in range(3)) + ".20" + draw(digits, 2), lambda: "=" * 12 + draw(digits, 2) + "=" * 12, lambda: "-" * 18 + draw(digits, 1),
+                    lambda: "-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: "-".join(draw("0123456789ABCDEF", k) for k in (8, 4, 4, 4, 12)), lambda: "/".join([word(2), word(3), draw(digits, 5), word(2) + ".html"]),
+                    lambda: "".join(word(2).capitalize() for _ in range(3)) + draw(digits, 2), lambda: ".".join(draw(digits, 3) for _ in range(4)) + "-" + draw(digits, 8), lambda: f"20{draw(digits, 2)}-{draw(digits, 2)}-{draw(digits, 2)}_{word(2)}_{word(2)}.log"][i // 2 % 14]()
             lead = ["", f"{word(3)} ", "see ", "id ", "file ", "version ", "call ", "on "][int(rng.integers(0, 8))]
         before = f"{word(4)} {word(3)} {lead}"
         text = before + body + ["\" ", " ", ". ", "\n"][int(rng.integers(0, 4))] + word(3)
@@ -145,14 +167,22 @@ _MODELS: dict[float, CharConvNet] = {}
 
 
 def trained_network(recall: float = 0.98) -> CharConvNet:
-    """Train on labelled findings; the threshold is the highest at which held-out secrets reach the recall."""
+    """Train on labelled findings; of the others, half fit the calibration curve and half the thresholds.
+
+    The threshold of a shape is the highest probability at which its held-out secrets reach the recall.
+    """
     if recall not in _MODELS:
         cases, y = labelled_findings()
         x = np.stack([window(*c) for c in cases])
-        held = (np.arange(len(y)) // 2) % 5 == 0
+        shapes = np.array([shape_of(t[s:e]) for t, s, e in cases])
+        part = (np.arange(len(y)) // 2) % 5
         net = CharConvNet()
-        net.fit(x[~held], y[~held])
-        net.threshold = float(np.quantile(net.score(x[held & (y == 1)]), 1 - recall))
+        net.fit(x[part > 1], y[part > 1])
+        net.calibrate(net.score(x[part == 0]), y[part == 0])
+        p = net.probability(net.score(x))
+        for shape in SHAPES:
+            own = p[(part == 1) & (y == 1) & (shapes == shape)]
+            net.levels[shape] = float(np.quantile(own, 1 - recall)) if len(own) else 0.5
         _MODELS[recall] = net
     return _MODELS[recall]
 
@@ -166,21 +196,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of what the network judges: the parts of long runs that no fixed finding covers."""
-    found, k, reach = [], 0, 0
+    """(start, kind, end) of what the network judges: the parts of long runs that no fixed finding covers, if they have a digit.
+
+    A run is matched first and then searched for a digit, and both lists are walked once, so the
+    time grows with the text's length alone.
+    """
+    found: list[tuple[int, int, int]] = []
+
+    def add(at: int, end: int) -> None:
+        if end - at >= LEAST and DIGIT.search(text, at, end):
+            found.append((at, 3, end))
+
+    k, reach = 0, 0
     for m in CANDIDATE.finditer(text):
         at, end = m.span()
         while k < len(base) and base[k][0] < end:
             s, _, e = base[k]
-            if max(at, reach) < s:
-                found += [(x.start(), 3, x.end()) for x in CANDIDATE.finditer(text, max(at, reach), s)]
+            add(max(at, reach), s)
             reach, k = max(reach, e), k + 1
-        found += [(x.start(), 3, x.end()) for x in CANDIDATE.finditer(text, max(at, reach), end)]
+        add(max(at, reach), end)
     return found
 
 
 def span_scores(net: CharConvNet, spans: list[tuple[str, int, int]]) -> np.ndarray:
-    """The highest score of the windows over each (text, start, end)."""
+    """The highest probability of the windows over each (text, start, end)."""
     best, at, held = np.zeros(len(spans)), [], []
 
     def flush():
@@ -196,16 +235,18 @@ def span_scores(net: CharConvNet, spans: list[tuple[str, int, int]]) -> np.ndarr
                 flush()
     if held:
         flush()
-    return best
+    return net.probability(best)
 
 
 def scan_secrets(docs: DataFrame, recall: float = 0.98) -> DataFrame:
     """Findings in every whole text: doc_id and an array of (kind, start, end, score).
 
     Offsets count code points, end exclusive. Fixed patterns always stay and carry the network's
-    score of what they matched; the network adds the parts of long runs that no fixed finding
-    covers and whose score, the highest of their windows, reaches the threshold. Null texts are empty and have no finding; ties in start are
-    ordered by kind; repeated rows stay repeated.
+    calibrated probability of what they matched; the network adds the parts of long runs that no
+    fixed finding covers and whose probability, the highest of their windows, reaches the
+    threshold of their shape. Null texts are empty and have no finding; very long texts and runs
+    are scanned whole; ties in start are ordered by kind; repeated rows stay repeated; an empty
+    table gives no rows.
     """
     net = trained_network(recall)
 
@@ -218,9 +259,9 @@ def scan_secrets(docs: DataFrame, recall: float = 0.98) -> DataFrame:
             cases += [(text, s, e) for s, _, e in spans[-1]]
         scores = iter(span_scores(net, cases))
         out = []
-        for found in spans:
+        for text, found in zip(rows["text"], spans):
             scored = [(s, k, e, float(next(scores))) for s, k, e in found]
-            out.append([{"kind": KINDS[k], "start": s, "end": e, "score": round(p, 6)} for s, k, e, p in sorted(scored) if k < 3 or p >= net.threshold])
+            out.append([{"kind": KINDS[k], "start": s, "end": e, "score": round(p, 6)} for s, k, e, p in sorted(scored) if k < 3 or p >= net.levels[shape_of(text[s:e])]])
         return {"doc_id": rows["doc_id"], "findings": out}
 
     return common.map_rows(docs, ["doc_id", "text"], "doc_id long, findings array<struct<kind: string, start: long, end: long, score: double>>", lambda: f)

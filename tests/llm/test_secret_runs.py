@@ -26,3 +26,27 @@ def test_windows_cover_a_run():
     text = "a1" * 500
     starts = secrets.heads(text, 3, 990)
     assert starts[0] == 3 and starts[-1] == 990 - secrets.HEAD and max(b - a for a, b in zip(starts, starts[1:])) <= secrets.STEP
+
+
+def test_uuids_are_no_secrets():
+    import uuid
+
+    import numpy as np
+
+    net, rng = secrets.trained_network(), np.random.default_rng(8)
+    texts = [f"see record {uuid.UUID(bytes=rng.bytes(16), version=4)} of the list" for _ in range(300)]
+    found = [secrets.candidates(t, []) for t in texts]
+    cases = [(t, s, e) for t, c in zip(texts, found) for s, _, e in c]
+    p = secrets.span_scores(net, cases)
+    assert len(cases) == 300 and (p >= [net.levels[secrets.shape_of(t[s:e])] for t, s, e in cases]).mean() < 0.05
+
+
+def test_time_grows_with_length_alone():
+    import time
+
+    began = time.time()
+    assert secrets.candidates("a" * 1_000_000, []) == [] and secrets.base_spans("g" * 1_000_000) == []
+    many = "0123456789abcdef01234567 " * 20_000
+    base = secrets.base_spans(many)
+    assert len(base) == 20_000 and secrets.candidates(many, base) == []
+    assert time.time() - began < 2
