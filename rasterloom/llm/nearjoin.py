@@ -14,6 +14,8 @@ from .decontam import words_of
 WIDTH = 5
 #: Trees of the forest and hash values in a tree's label (one byte each, so that a label is a sortable 64-bit key).
 TREES, DEPTH = 32, 8
+#: Shortest prefix that the first pass over the sorted labels looks at; a search that needs a shorter one passes again.
+SHORTEST = 6
 #: Distinct texts, and their shingles, of a candidate group's block; a task holds two blocks at a time.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Rows of a trie bucket that one task holds at a time.
@@ -160,6 +162,19 @@ def estimated_recall(bins: dict[int, int], depth: int) -> float:
     return found / total if total else 1.0
 
 
+def first_depth(bins: dict[int, int], target: float) -> int:
+    """The longest prefix at which links of such estimated similarities, in hundredths, would be found with the target recall.
+
+    Estimates are lowered by one standard deviation, to the threshold at least.
+    """
+    total = sum(bins.values())
+    for depth in range(DEPTH, SHORTEST, -1):
+        p = sum(n * (1 - (1 - (max(80.0, s - 2.5) / 100) ** depth) ** TREES) for s, n in bins.items())
+        if p >= target * total:
+            return depth
+    return SHORTEST
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``edges`` (a, b), comp being the smallest node connected to it.
 
@@ -361,10 +376,12 @@ def exact_links(comps: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
     return ordered.mapInArrow(run, "comp long, kind string, a long, b long, links long, root long")
 
 
-def candidate_groups(nodes: DataFrame, depth: int, least: float) -> DataFrame:
-    """(node, comp): texts that share a prefix of ``depth`` bytes in some tree, and whose labels allow the threshold, are in one group."""
-    edges = with_estimates(neighbours(nodes, depth), nodes, least).select("a", "b")
-    comps = common.cut(components(edges))
+def candidate_groups(nodes: DataFrame, near: DataFrame, depth: int, least: float) -> DataFrame:
+    """(node, comp): texts that share a prefix of ``depth`` bytes in some tree, and whose labels allow the threshold, are in one group.
+
+    ``near`` has neighbours in the sorted labels with the depth they share.
+    """
+    comps = common.cut(components(near.where(F.col("depth") >= depth).select("a", "b")))
 
     # Texts that share a prefix but not a group: neighbours in the trie that other texts stand between.
     labelled = nodes.select("node", "n", "labels").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.posexplode("labels").alias("tree", "label"))
@@ -382,15 +399,20 @@ def candidate_groups(nodes: DataFrame, depth: int, least: float) -> DataFrame:
 def verified_links(nodes: DataFrame, docs: DataFrame, threshold: float, target: float, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The rows of ``exact_links`` at the longest prefix that reaches the target, and its depth.
 
-    Search begins with whole labels. What they find is verified; if the estimated recall over
-    the verified links is below the target, prefixes are shortened by a byte and the groups that
+    One pass over the sorted labels finds neighbours of all depths. The labels' own estimates say
+    which prefix should do; what it finds is verified, and while the recall estimated over the
+    verified links is below the target, prefixes are shortened by a byte and the groups that
     gained texts are verified anew.
     """
     # Five standard deviations below the threshold: a true link fails this with a probability under one in a million.
     least = threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+    near = common.cut(with_estimates(neighbours(nodes, SHORTEST), nodes, least))
+    likely = near.where(F.col("same") >= threshold).groupBy(F.floor(F.col("same") * 100).cast("int").alias("s")).count().collect()
     solved = sizes = None
-    for depth in range(DEPTH, 0, -1):
-        groups = candidate_groups(nodes, depth, least)
+    for depth in range(first_depth({r.s: r["count"] for r in likely}, target), 0, -1):
+        if depth < SHORTEST:
+            near = common.cut(with_estimates(neighbours(nodes, depth), nodes, least))
+        groups = candidate_groups(nodes, near, depth, least)
         now = common.cut(groups.groupBy("comp").agg(F.count("*").alias("size")))
         if solved is None:
             solved = common.cut(exact_links(groups, nodes, docs, id_col, text_col))

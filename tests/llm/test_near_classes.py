@@ -42,3 +42,4 @@ def test_estimated_recall():
     assert nearjoin.estimated_recall({}, 8) == 1.0
     assert nearjoin.estimated_recall({95: 100}, 8) > 0.9999 > nearjoin.estimated_recall({80: 100}, 8) > 0.99
     assert nearjoin.estimated_recall({80: 100}, 6) > 0.9999
+    assert nearjoin.first_depth({99: 100}, 0.9995) == nearjoin.first_depth({}, 0.9995) == 8 > nearjoin.first_depth({81: 100}, 0.9995)
