@@ -32,8 +32,8 @@ UNDRAWN = dict.fromkeys("defs desc metadata symbol clippath mask marker pattern"
 APART = frozenset("option optgroup text".split())
 #: Parts of a table that hold rows.
 GROUPS = frozenset("tbody thead tfoot colgroup form".split())
-#: Rows that a cell may take.
-ROWS = 65534
+# The columns and rows that a cell may take at most, as HTML has it.
+COLUMNS, ROWS = 1000, 65534
 
 
 class Node:
@@ -269,42 +269,48 @@ def render_table(node: Node, out: Layout):
     for child in loose:
         yield render([child], out)
     out.end_line()
-    rows, held, last = [], {}, None
+    rows: list[dict[int, list[str]]] = []  # column -> lines of the cell that starts there
+    held: dict[int, int] = {}
+    last = None
     for group, tr in found:
         if group is not last:
             held, last = {}, group
-        cells: list = []
+        cells: dict[int, list[str]] = {}
         taken = {k for k, n in held.items() if n > 0}
         held = {k: n - 1 for k, n in held.items() if n > 1}
-
-        def fill():
-            while len(cells) in taken:
-                cells.append([])
-
+        at = 0
         for c in tr.children:
+            inner = Layout()
             if isinstance(c, str) or (c.tag not in ("td", "th") and visible(c)):
-                inner = Layout()
                 yield render([c], inner)
-                if x := inner.done():
-                    fill()
-                    cells.append(x)
+                if not (lines := inner.done()):
+                    continue
+                width = height = 1
             elif visible(c):
-                inner = Layout()
                 yield render(c.children, inner)
-                fill()
+                lines = inner.done()
                 span, down = c.attrs.get("colspan", "1"), c.attrs.get("rowspan", "1")
-                width = max(1, min(100, int(span))) if re.fullmatch(r"[0-9]{1,4}", span) else 1
+                width = max(1, min(COLUMNS, int(span))) if re.fullmatch(r"[0-9]{1,9}", span) else 1
                 height = min(ROWS, int(down) or ROWS) if re.fullmatch(r"[0-9]{1,9}", down) else 1
-                if height > 1:
-                    held |= dict.fromkeys(range(len(cells), len(cells) + width), height - 1)
-                cells += [inner.done()] + [[]] * (width - 1)
-        if any(cells):
+            else:
+                continue
+            while at in taken:
+                at += 1
+            if height > 1:
+                held |= dict.fromkeys(range(at, at + width), height - 1)
+            cells[at] = lines
+            at += width
+        if any(cells.values()):
             rows.append(cells)
-    n = max((len(r) for r in rows), default=0)
-    widths = [max((cell_width(s) for r in rows if k < len(r) for s in r[k]), default=0) for k in range(n)]
+    # A column in which no cell starts is only spanned, and takes no room.
+    starts = sorted({k for r in rows for k in r})
+    widths = dict.fromkeys(starts, 0)
+    for r in rows:
+        for k, lines in r.items():
+            widths[k] = max([widths[k], *map(cell_width, lines)])
     for r in rows:
-        for i in range(max(len(c) for c in r)):
-            parts = [(c[i] if i < len(c) else "", widths[k]) for k, c in enumerate(r)]
+        for i in range(max(map(len, r.values()))):
+            parts = [(r[k][i] if k in r and i < len(r[k]) else "", widths[k]) for k in starts]
             out.raw(["  ".join(s + " " * (w - cell_width(s)) for s, w in parts).rstrip()])
 
 
