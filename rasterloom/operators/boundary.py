@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .graph import cut
 from .palette import palette_array
 
 
@@ -64,36 +64,42 @@ def lattice_area(edges: DataFrame) -> DataFrame:
     return edges.groupBy("image_id", "region").agg((F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area"))
 
 
-def trace(edges: DataFrame) -> DataFrame:
-    """Add ``loop`` and ``seq`` to a region's edges: closed walks, each from its topmost edge.
+def successors(edges: DataFrame) -> DataFrame:
+    """Add ``next``: the edge id at which a region's walk goes on.
 
-    Where two edges of a region leave a vertex the walk takes the one that turns clockwise. The
-    edges of one region, bounded by the image, are ordered in one task.
+    Where two edges of a region leave a vertex the walk takes the one that turns clockwise.
     """
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    out = edges.select("image_id", "region", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("edge_id").alias("to"), dx.alias("ox"), dy.alias("oy"))
+    turn = dx * F.col("oy") - dy * F.col("ox")
+    return edges.join(out, ["image_id", "region", "x1", "y1"]).groupBy("image_id", "region", "edge_id").agg(F.max_by("to", turn).alias("next"))
+
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
-        out: dict = {}
-        order = sorted(range(len(pdf)), key=lambda i: (y0[i] != y1[i], min(y0[i], y1[i]), min(x0[i], x1[i])))
-        for i in order:
-            out.setdefault((x0[i], y0[i]), []).append(i)
-        loop, seq, n = [-1] * len(pdf), [0] * len(pdf), 0
-        for first in order:
-            if loop[first] >= 0:
-                continue
-            i, k = first, 0
-            while loop[i] < 0:
-                loop[i], seq[i], k = n, k, k + 1
-                dx, dy = x1[i] - x0[i], y1[i] - y0[i]
-                ways = [j for j in out[(x1[i], y1[i])] if loop[j] < 0 or j == first]
-                if not ways:
-                    break
-                i = max(ways, key=lambda j: dx * (y1[j] - y0[j]) - dy * (x1[j] - x0[j]))
-            n += 1
-        return pdf.assign(loop=loop, seq=seq)[["image_id", "region", "edge_id", "nbr", "x0", "y0", "x1", "y1", "loop", "seq"]]
-
-    cols = edges.select("image_id", "region", "edge_id", "nbr", "x0", "y0", "x1", "y1")
-    return cols.groupBy("image_id", "region").applyInPandas(walk, "image_id long, region long, edge_id long, nbr long, x0 int, y0 int, x1 int, y1 int, loop int, seq int")
+def trace(edges: DataFrame) -> DataFrame:
+    """Add ``loop`` and ``seq`` to a region's edges: closed walks, each from its topmost edge, whose id names the loop.
+
+    Every edge looks ahead for the first edge of its loop, twice as far in each round; rounds end
+    when no edge finds an earlier one. Edges are joined by their own key, so a region with very
+    many edges is spread like any other.
+    """
+    edges = cut(edges.select("image_id", "region", "edge_id", "nbr", "x0", "y0", "x1", "y1"))
+    # Horizontal edges, which have even ids, come before vertical ones.
+    order = F.struct((F.col("edge_id") % 2).alias("k"), F.col("edge_id").alias("e"))
+    ahead = cut(successors(edges).select("image_id", "region", "edge_id", "next", order.alias("least"), F.lit(0).cast("long").alias("dist")))
+    reach = 1
+    while True:
+        far = ahead.select("image_id", "region", F.col("edge_id").alias("next"), F.col("next").alias("far"), F.col("least").alias("far_least"), F.col("dist").alias("far_dist"))
+        better = F.col("far_least") < F.col("least")
+        ahead = cut(ahead.join(far, ["image_id", "region", "next"]).select(
+            "image_id", "region", "edge_id", F.col("far").alias("next"), F.when(better, F.col("far_least")).otherwise(F.col("least")).alias("least"),
+            F.when(better, F.col("far_dist") + reach).otherwise(F.col("dist")).alias("dist"), better.alias("better")))
+        reach *= 2
+        if ahead.where("better").limit(1).count() == 0:
+            break
+    named = ahead.select("image_id", "region", "edge_id", F.col("least.e").alias("loop"), "dist")
+    sizes = named.groupBy("image_id", "region", "loop").agg(F.count("*").alias("m"))
+    placed = edges.join(named, ["image_id", "region", "edge_id"]).join(sizes, ["image_id", "region", "loop"])
+    return placed.select("image_id", "region", "edge_id", "nbr", "x0", "y0", "x1", "y1", "loop", F.pmod(F.col("m") - F.col("dist"), F.col("m")).cast("int").alias("seq"))
 
 
 def traversals(traced: DataFrame, points: DataFrame) -> DataFrame:
@@ -135,10 +141,15 @@ def polygon_area(points: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2)
 
 
-def region_areas(arcs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(image_id, region, area): the largest absolute area of the region's refined loops; holes are not subtracted."""
+def loop_areas(arcs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(image_id, region, loop, area): the absolute area of each refined loop."""
     walked = refs.join(arcs, ["image_id", "arc_id"])
     way = F.when(F.col("reversed"), F.reverse("points")).otherwise(F.col("points"))
     way = F.when(F.col("closed"), way).otherwise(F.slice(way, F.lit(2), F.size(way) - 1))
     loops = walked.select("image_id", "region", "loop", "part", way.alias("w")).groupBy("image_id", "region", "loop").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "w"))), lambda v: v["w"])).alias("p"))
-    return loops.groupBy("image_id", "region").agg(F.max(F.abs(polygon_area(F.col("p")))).alias("area"))
+    return loops.select("image_id", "region", "loop", F.abs(polygon_area(F.col("p"))).alias("area"))
+
+
+def region_areas(areas: DataFrame) -> DataFrame:
+    """(image_id, region, area, outer): the largest area of a region's loops and the first loop that has it; holes are not subtracted."""
+    return areas.groupBy("image_id", "region").agg(F.max("area").alias("area"), F.max_by("loop", F.struct("area", -F.col("loop"))).alias("outer"))

@@ -26,7 +26,7 @@ def closed_corners(points: Column) -> Column:
 
     places = F.sequence(F.lit(0), n - 1)
     dev = F.transform(places, deviation)
-    return F.when(n < 8, F.array().cast("array<int>")).otherwise(_suppress(dev, places, n, lambda i, d: F.pmod(i + d, n), lambda j: F.lit(True)))
+    return F.when(n < 8, F.array().cast("array<int>")).otherwise(_suppress(dev, places, lambda i, d: F.pmod(i + d, n), lambda j: F.lit(True)))
 
 
 def open_corners(points: Column) -> Column:
@@ -44,18 +44,22 @@ def open_corners(points: Column) -> Column:
     places = F.sequence(F.lit(0), n - 1)
     dev = F.transform(places, deviation)
     inner = lambda j: (j >= 1) & (j <= n - 2)
-    return F.when(n < 5, F.array().cast("array<int>")).otherwise(_suppress(dev, F.filter(places, inner), n, lambda i, d: i + d, inner))
+    return F.when(n < 5, F.array().cast("array<int>")).otherwise(_suppress(dev, F.filter(places, inner), lambda i, d: i + d, inner))
 
 
-def _suppress(dev: Column, places: Column, n: Column, move, valid) -> Column:
-    value = lambda i: F.element_at(dev, i + 1)
+def _suppress(deviations: Column, places: Column, move, valid) -> Column:
+    def largest(dev: Column) -> Column:
+        value = lambda i: F.element_at(dev, i + 1)
 
-    def beaten(i):
-        def by(d):
-            j = move(i, d)
-            other = F.when(valid(j), F.get(dev, j))
-            return (d != 0) & F.coalesce((other > value(i)) | ((other == value(i)) & (j < i)), F.lit(False))
+        def beaten(i):
+            def by(d):
+                j = move(i, d)
+                other = F.when(valid(j), F.get(dev, j))
+                return (d != 0) & F.coalesce((other > value(i)) | ((other == value(i)) & (j < i)), F.lit(False))
 
-        return F.exists(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)), by)
+            return F.exists(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)), by)
 
-    return F.filter(places, lambda i: (value(i) >= LEAST) & ~beaten(i))
+        return F.filter(places, lambda i: (value(i) >= LEAST) & ~beaten(i))
+
+    # As a lambda's variable the deviations are made once for a polyline, not once for each look at one of them.
+    return F.get(F.transform(F.array(deviations), largest), F.lit(0))

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names, or one of the session's own where it is unset."""
+    """Checkpoint in the folder that spark.checkpoint.dir names, or, on a local master, one of the session's own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/rasterloom-checkpoints/{uuid.uuid4().hex}")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or f"/tmp/rasterloom-checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rasterloom.functions.numeric import u8
+
+from .graph import cut
+
 # Fixed values of the estimator: gradient bound, sample cap, near radius and cap, blend and dead distances, RMS goal, seed.
 GRADIENT, CAP, NEAR, NEAR_CAP, BLEND, DEAD, RMS, SEED = 24, 50_000, 24, 20_000, 8, 4, 8, 12345
 
@@ -111,8 +113,8 @@ def blend_colors(palette: DataFrame, tol: float = BLEND) -> DataFrame:
     return pairs.select("image_id", "color_idx", "r", "g", "b", hit.alias("blend"))
 
 
-def random_unit(seed: int):
-    """32-bit counter-based generator of numbers in [0, 1)."""
+def mulberry32(seed: int):
+    """The public generator of that name: numbers in [0, 1) from a 32-bit counter. Its constants are fixed values."""
     state = seed & 0xFFFFFFFF
 
     def draw() -> float:
@@ -125,90 +127,157 @@ def random_unit(seed: int):
     return draw
 
 
-def _squared(a: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+def _gap2(p: Column, q: Column) -> Column:
+    return (p["r"] - q["r"]) * (p["r"] - q["r"]) + (p["g"] - q["g"]) * (p["g"] - q["g"]) + (p["b"] - q["b"]) * (p["b"] - q["b"])
+
 
+def _center(k, r, g, b, n=None, sse=None) -> Column:
+    kinds = {"color_idx": (k, "int"), "r": (r, "double"), "g": (g, "double"), "b": (b, "double"), "n": (n if n is not None else F.lit(0), "long"), "sse": (sse if sse is not None else F.lit(0), "double")}
+    return F.struct(*[v.cast(kind).alias(name) for name, (v, kind) in kinds.items()])
 
-def fit_centers(sample: np.ndarray, colors: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-    """k-means++ seeds by the generator's draws, 20 moves, and up to 4 repairs of empty or doubled centres; RMS too.
 
-    ``sample`` is in raster order; ``colors`` are the image's distinct colours by first pixel,
-    with their counts, from which repairs take new centres and the pixels near them.
+def add_seed(sample: DataFrame, state: DataFrame | None, u: float) -> DataFrame:
+    """(image_id, colors) with one more centre: a place in the sample drawn by squared distance from the others.
+
+    ``u`` in [0, 1) is drawn for all images alike. The window spans an image's sample, which has
+    fewer than twice CAP pixels.
     """
-    draw = random_unit(SEED)
-    seeds = [sample[int(draw() * len(sample))]]
-    near = np.full(len(sample), np.inf)
-    while len(seeds) < k:
-        near = np.minimum(near, ((sample - seeds[-1]) ** 2).sum(axis=1))
-        at = int(np.searchsorted(np.cumsum(near), draw() * near.sum()))
-        seeds.append(sample[min(at, len(sample) - 1)])
-    centers = np.array(seeds, dtype=float)
-    data, weight = np.unique(sample, axis=0, return_counts=True)
-    weight = weight.astype(float)
-
-    def move(rounds):
-        for _ in range(rounds):
-            d = _squared(data, centers)
-            to = d.argmin(axis=1)
-            n = np.bincount(to, weight, k)
-            for c in np.nonzero(n)[0]:
-                centers[c] = (data[to == c] * weight[to == c, None]).sum(axis=0) / n[c]
-        return n, (d.min(axis=1) * weight).sum() / weight.sum()
-
-    n, mse = move(20)
-    for _ in range(4):
-        alive: list[int] = []
-        for c in range(k):
-            if n[c] and all(((centers[c] - centers[e]) ** 2).sum() >= DEAD**2 for e in alive):
-                alive.append(c)
-        changed = False
-        for c in [c for c in range(k) if c not in alive]:
-            d = _squared(colors, centers[alive]).min(axis=1)
-            far = colors[int(d.argmax())]
-            if d.max() < 16 or _is_blend(far, centers[alive]):
+    line = W.partitionBy("image_id").orderBy("i")
+    if state is None:
+        placed = sample.withColumn("at", F.floor(u * F.count("*").over(W.partitionBy("image_id"))))
+        return placed.where("i = at").select("image_id", F.array(_center(F.lit(0), F.col("r"), F.col("g"), F.col("b"))).alias("colors"))
+    d2 = F.array_min(F.transform("colors", lambda p: distance2("r", "g", "b", p)))
+    run = sample.join(state, "image_id").withColumn("d2", d2).withColumn("sum", F.sum("d2").over(line)).withColumn("all", F.sum("d2").over(W.partitionBy("image_id")))
+    here = F.struct(F.when(F.col("sum") >= u * F.col("all"), F.col("i")).otherwise(F.lit(1 << 40) - F.col("i")).alias("order"), "r", "g", "b")
+    found = run.groupBy("image_id").agg(F.min(here).alias("m"), F.first("colors").alias("colors"))
+    return found.select("image_id", F.concat("colors", F.array(_center(F.size("colors"), *[F.col(f"m.{c}") for c in "rgb"]))).alias("colors"))
+
+
+def lloyd(hist: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
+    """(image_id, colors) after ``rounds`` moves of the centres; n and sse are those of the last assignment.
+
+    A centre without pixels stays. Rounds are chained in one plan, five at a time; where five
+    change nothing, neither would more.
+    """
+    begun = state.select("image_id", F.col("colors").alias("was"))
+    best = F.array_min(F.transform("colors", lambda p: F.struct(distance2("r", "g", "b", p).alias("d"), p["color_idx"].alias("k"))))
+    for k in range(rounds):
+        near = hist.join(state, "image_id").withColumn("m", best)
+        sums = near.groupBy("image_id", F.col("m.k").alias("k")).agg(
+            F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in "rgb"], F.sum(F.col("m.d") * F.col("n")).alias("sse"), F.first("colors").alias("colors"))
+        moved = sums.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("n", "r", "g", "b", "sse")))).alias("t"), F.first("colors").alias("colors"))
+
+        def move(c):
+            t = F.element_at("t", c["color_idx"])
+            return _center(c["color_idx"], *[F.coalesce(t[x] / t["n"], c[x]) for x in "rgb"], F.coalesce(t["n"], F.lit(0)), F.coalesce(t["sse"], F.lit(0.0)))
+
+        state = moved.select("image_id", F.transform("colors", move).alias("colors"))
+        if k % 5 == 4 or k == rounds - 1:
+            state = cut(state)
+            if k < rounds - 1 and state.join(begun, "image_id").where("colors <> was").limit(1).count() == 0:
                 break
-            centers[c] = far
-            alive.append(c)
-            close = ((colors - far) ** 2).sum(axis=1) <= NEAR**2
-            stride = max(1.0, np.ceil(counts[close].sum() / NEAR_CAP))
-            data, weight = np.vstack([data, colors[close]]), np.concatenate([weight, counts[close] / stride])
-            changed = True
-        if not changed:
-            break
-        n, mse = move(10)
-    return centers, float(np.sqrt(mse))
+            begun = state.select("image_id", F.col("colors").alias("was"))
+    return state
+
+
+def live_centers(colors: Column) -> Column:
+    """Centres with pixels that are not within DEAD of a live one before them."""
+
+    def add(live, c):
+        return F.when((c["n"] > 0) & ~F.exists(live, lambda x: _gap2(x, c) < DEAD**2), F.concat(live, F.array(c))).otherwise(live)
 
+    return F.aggregate(colors, F.filter(colors, lambda c: F.lit(False)), add)
 
-def _is_blend(p: np.ndarray, centers: np.ndarray) -> bool:
-    for i in range(len(centers)):
-        for j in range(i + 1, len(centers)):
-            a = centers[j] - centers[i]
-            t = np.clip((p - centers[i]) @ a / max(a @ a, 1e-12), 0, 1)
-            if ((p - centers[i] - t * a) ** 2).sum() < BLEND**2:
-                return True
-    return False
+
+def _is_blend(p: Column, live: Column) -> Column:
+    def between(x, y):
+        ax, ay, az = (y[c] - x[c] for c in "rgb")
+        dx, dy, dz = (p[c] - x[c] for c in "rgb")
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dx * ax + dy * ay + dz * az) / F.greatest(F.lit(1e-12), ax * ax + ay * ay + az * az)))
+        ex, ey, ez = dx - t * ax, dy - t * ay, dz - t * az
+        return (x["color_idx"] < y["color_idx"]) & (ex * ex + ey * ey + ez * ez < BLEND * BLEND)
+
+    return F.exists(live, lambda x: F.exists(live, lambda y: between(x, y)))
+
+
+def reseed(state: DataFrame, colors: DataFrame) -> DataFrame:
+    """(image_id, colors, added): dead centres replaced, in order, by the colours farthest from the live ones.
+
+    An image's replacing ends where the farthest colour is too near or a blend of live ones.
+    ``colors`` has the distinct colours of an image and the first place ``i`` of each.
+    """
+    live = live_centers(F.col("colors"))
+    dead = F.filter("colors", lambda c: ~F.exists("live", lambda x: x["color_idx"] == c["color_idx"]))
+    st = state.withColumn("live", live).withColumn("dead", F.transform(dead, lambda c: c["color_idx"])).withColumn("added", F.filter("colors", lambda c: F.lit(False)))
+    st = cut(st)
+    while st.where(F.size("dead") > 0).limit(1).count():
+        open_ = st.where(F.size("dead") > 0)
+        d = F.array_min(F.transform("live", lambda p: distance2("r", "g", "b", p)))
+        far = colors.join(open_.select("image_id", "live"), "image_id").groupBy("image_id").agg(F.max(F.struct(d.alias("d"), (-F.col("i")).alias("i"), "r", "g", "b")).alias("far"))
+        one = open_.join(far, "image_id")
+        p = F.col("far")
+        new = _center(F.get("dead", F.lit(0)), p["r"], p["g"], p["b"])
+        one = one.withColumn("new", new).withColumn("ok", (p["d"] >= DEAD * DEAD) & ~_is_blend(p, F.col("live")))
+        put = F.transform("colors", lambda c: F.when(F.col("ok") & (c["color_idx"] == F.col("new.color_idx")), F.col("new")).otherwise(c))
+        grown = lambda c: F.when(F.col("ok"), F.concat(c, F.array("new"))).otherwise(F.col(c))
+        rest = F.when(F.col("ok"), F.slice("dead", F.lit(2), F.greatest(F.lit(0), F.size("dead") - 1))).otherwise(F.slice("dead", F.lit(1), F.lit(0)))
+        one = one.select("image_id", put.alias("colors"), grown("live").alias("live"), rest.alias("dead"), grown("added").alias("added"))
+        st = cut(st.where(F.size("dead") == 0).unionByName(one))
+    return st.select("image_id", "colors", "added")
+
+
+def near_samples(px: DataFrame, added: DataFrame) -> DataFrame:
+    """(image_id, r, g, b, n): pixels near each added centre, every k-th in raster order so that NEAR_CAP at most remain."""
+    near = px.join(added.select("image_id", F.explode("added").alias("c")), "image_id").where(distance2("r", "g", "b", F.col("c")) <= NEAR * NEAR)
+    near = near.withColumn("k", F.col("c.color_idx"))
+    rows = near.groupBy("image_id", "k", "y").agg(F.count("*").alias("c"))
+    rows = rows.select("image_id", "k", "y", (F.sum("c").over(W.partitionBy("image_id", "k").orderBy("y")) - F.col("c")).alias("start"), F.sum("c").over(W.partitionBy("image_id", "k")).alias("n"))
+    inside = F.row_number().over(W.partitionBy("image_id", "k", "y").orderBy("x")) - 1
+    step = F.greatest(F.lit(1), F.ceil(F.col("n") / NEAR_CAP))
+    placed = near.drop("c").join(rows, ["image_id", "k", "y"]).withColumn("o", F.col("start") + inside).withColumn("step", step)
+    return placed.where(F.col("o") % F.col("step") == 0).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+
+
+def fit_palettes(px: DataFrame, hist: DataFrame, colors: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(image_id, colors) by 20 moves from the seeds and up to 4 repairs of empty or doubled centres, 10 moves each."""
+    state = lloyd(hist, seeds, 20)
+    done = None
+    for _ in range(4):
+        tried = cut(reseed(state, colors))
+        same, changed = tried.where(F.size("added") == 0).select("image_id", "colors"), tried.where(F.size("added") > 0)
+        done = same if done is None else done.unionByName(same)
+        if changed.limit(1).count() == 0:
+            return cut(done)
+        hist = hist.join(changed.select("image_id"), "image_id", "left_semi").unionByName(near_samples(px, changed))
+        hist = cut(hist.groupBy("image_id", "r", "g", "b").agg(F.sum("n").alias("n")))
+        state = lloyd(hist, changed.select("image_id", "colors"), 10)
+    return cut(done.unionByName(state))
 
 
 def estimate_palette(px: DataFrame, k: int | str = "auto") -> DataFrame:
     """(image_id, color_idx, r, g, b): k colours (2..16), or the fewest whose RMS distance is under 8, darkest first.
 
-    Sampling and counting run over the pixel relation; an image's sample, bounded by twice the
-    cap, and its distinct colours are clustered in one task. Where more than NEAR_CAP pixels are
-    near a repaired centre, they weigh as NEAR_CAP by colour and are not picked one by one.
+    Seeds are drawn from a strided sample of flat pixels; centres move over the sample's colour
+    histogram, and repairs look at all colours of the image. All images go through each step
+    together; what is kept between steps is 16 centres of an image at most.
     """
-    sample = stride_sample(flat_interior(px)).select("image_id", "i", F.lit(0).alias("n"), "r", "g", "b")
-    hist = px.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"), F.min(ordinal()).alias("i")).select("image_id", "i", "n", "r", "g", "b")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        rgb, n = pdf[["r", "g", "b"]].to_numpy(dtype=float), pdf.n.to_numpy()
-        for m in range(2, 17) if k == "auto" else [min(16, max(2, int(k)))]:
-            centers, rms = fit_centers(rgb[n == 0], rgb[n > 0], n[n > 0], m)
-            if k != "auto" or rms < RMS:
-                break
-        order = np.argsort(centers @ np.array([3.0, 6.0, 1.0]), kind="stable")
-        rounded = np.rint(np.clip(centers[order], 0, 255)).astype(int)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "color_idx": range(len(order)), "r": rounded[:, 0], "g": rounded[:, 1], "b": rounded[:, 2]})
-
-    both = sample.unionByName(hist)
-    return both.groupBy("image_id").applyInPandas(one, "image_id long, color_idx int, r int, g int, b int")
+    sample = cut(stride_sample(flat_interior(px)).select("image_id", F.col("i").cast("long").alias("i"), "r", "g", "b"))
+    hist = cut(sample.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n")))
+    colors = cut(px.groupBy("image_id", "r", "g", "b").agg(F.min(ordinal()).alias("i")))
+    draw, seeds, found = mulberry32(SEED), None, None
+    counts = range(2, 17) if k == "auto" else [min(16, max(2, int(k)))]
+    drawn = 0
+    for m in counts:
+        while drawn < m:  # the draws of fewer centres are the first ones of more
+            seeds, drawn = cut(add_seed(sample, seeds, draw())), drawn + 1
+        start = seeds if found is None else seeds.join(found.select("image_id"), "image_id", "left_anti")
+        fitted = fit_palettes(px, hist, colors, start)
+        sums = lambda name: F.aggregate("colors", F.lit(0.0), lambda a, c: a + c[name])
+        if m != counts[-1]:
+            fitted = fitted.where(F.sqrt(sums("sse") / sums("n")) < RMS)
+        found = cut(fitted if found is None else found.unionByName(fitted))
+        if m == counts[-1] or seeds.join(found.select("image_id"), "image_id", "left_anti").limit(1).count() == 0:
+            break
+    dark = F.transform("colors", lambda c: F.struct((3 * c["r"] + 6 * c["g"] + c["b"]).alias("w"), c["color_idx"].alias("k"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b")))
+    rows = found.select("image_id", F.posexplode(F.sort_array(dark)).alias("color_idx", "c"))
+    return rows.select("image_id", F.col("color_idx").cast("int").alias("color_idx"), *[u8(F.col(f"c.{c}")).alias(c) for c in "rgb"])

@@ -67,3 +67,9 @@ def assemble(paths: DataFrame, palette: DataFrame, images: DataFrame, stacked: b
     lines = F.coalesce(F.array_join(F.transform("p", lambda v: v["t"]), "\n  "), F.lit(""))
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"), F.lit('">\n  '))
     return out.select("image_id", F.concat(head, lines, F.lit("\n</svg>\n")).alias("svg"), F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("path_count"))
+
+
+def with_size(svg: Column, width: Column, height: Column) -> Column:
+    """The document with its size in pixels as attributes of its first tag."""
+    size = F.concat(F.lit('<svg width="'), width.cast("string"), F.lit('" height="'), height.cast("string"), F.lit('" '))
+    return F.concat(size, F.substring(svg, F.lit(len("<svg ") + 1), F.length(svg)))

@@ -45,7 +45,7 @@ def _circle(spark: SparkSession) -> DataFrame:
 
 def _polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A polyline for each customer nation: points ordered by customer, coordinates from its balance."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 5 = 0")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     point = F.struct(F.col("c_custkey").alias("k"), F.floor(F.pmod(F.col("c_custkey") * 37, F.lit(101))).cast("double").alias("x"), F.floor(F.pmod(F.col("c_custkey") * 53, F.lit(89))).cast("double").alias("y"))
     return c.groupBy(F.col("c_nationkey").alias("arc")).agg(F.sort_array(F.collect_list(point)).alias("points"))
 
@@ -78,7 +78,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _old_palette(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 96")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     image, idx = F.floor(F.col("p_partkey") / 8).cast("long"), (F.col("p_partkey") % 8).cast("int")
     k = F.col("p_partkey")
     base = p.select(image.alias("image_id"), idx.alias("color_idx"), (k * 41 % 256).cast("int").alias("r"), (k * 67 % 256).cast("int").alias("g"), (k * 29 % 256).cast("int").alias("b"), k.alias("k"))
@@ -298,6 +298,27 @@ def queries() -> dict:
     def upscale_bilinear(s, d):
         return raster.resample(raster.raster_events(s, d), 2)
 
+    @add
+    def fingerprint(s, d):
+        return raster.fingerprint(raster.raster_embeddings(s, d))
+
+    @add
+    def channel_stats(s, d):
+        found = raster.channel_stats(raster.raster_embeddings(s, d))
+        return found.select("image_id", "n", *[half_up(F.col(f"{name}_{c}") * 1000).cast("long").alias(f"{name}_{c}") for c in "rgb" for name in ("mean", "var")])
+
+    @add
+    def loops(s, d):
+        traced = boundary.trace(_edges(s, d)[1])
+        area = F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2
+        return traced.groupBy("image_id", "region", "loop").agg(F.count("*").alias("n"), area.cast("long").alias("area"))
+
+    @add
+    def svg_size(s, d):
+        p = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"))
+        doc = F.concat(F.lit('<svg viewBox="0 0 '), F.col("k").cast("string"), F.lit(' 9">'), F.lit("</svg>"))
+        return p.select("k", svg.with_size(doc, F.col("k"), F.lit(9)).alias("svg"))
+
     @add
     def flatten(s, d):
         return pre.with_channels(pre.flatten(L(s, d), 1.0), lambda c: half_up(F.col(c).cast("double") * 100).cast("long"))
@@ -344,10 +365,10 @@ U8 = "CAST(round_even(greatest(0.0, least(255.0, {})), 0) AS INT)"
 MASK = LAB + f", m AS (SELECT image_id, y, x, CAST(color_idx = {GREY} AS INT) AS m FROM lab)"
 DIL = """, {o}h AS (SELECT image_id, y, x, {f}(m) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS m FROM {i}),
 {o} AS (SELECT image_id, y, x, {f}(m) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS m FROM {o}h)"""
-OLD = """p0 AS (SELECT p_partkey // 8 AS image_id, p_partkey % 8 AS i, p_partkey * 41 % 256 AS r, p_partkey * 67 % 256 AS g, p_partkey * 29 % 256 AS b, p_partkey AS k FROM part WHERE p_partkey < 96),
+OLD = """p0 AS (SELECT p_partkey // 8 AS image_id, p_partkey % 8 AS i, p_partkey * 41 % 256 AS r, p_partkey * 67 % 256 AS g, p_partkey * 29 % 256 AS b, p_partkey AS k FROM part),
 old AS (SELECT image_id, i, r, g, b, CASE WHEN k % 3 <> 0 THEN '#' || k END AS override FROM p0),
 new AS (SELECT image_id, CAST(7 - i AS INT) AS color_idx, CAST(least(255, r + k % 15) AS INT) AS r, CAST(least(255, g + k % 15) AS INT) AS g, CAST(least(255, b + k % 15) AS INT) AS b FROM p0)"""
-LINES = """c AS (SELECT c_nationkey AS arc, c_custkey AS k, CAST(c_custkey * 37 % 101 AS DOUBLE) AS x, CAST(c_custkey * 53 % 89 AS DOUBLE) AS y FROM customer WHERE c_custkey % 5 = 0),
+LINES = """c AS (SELECT c_nationkey AS arc, c_custkey AS k, CAST(c_custkey * 37 % 101 AS DOUBLE) AS x, CAST(c_custkey * 53 % 89 AS DOUBLE) AS y FROM customer),
 p AS (SELECT arc, row_number() OVER (PARTITION BY arc ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY arc) AS n, x, y FROM c)"""
 SQUARES = "s AS (SELECT CAST(s_nationkey AS BIGINT) AS image_id, CAST(s_suppkey % 4 AS INT) AS color_idx, (s_suppkey % 17 + 1) * (s_suppkey % 17 + 1) AS area, s_suppkey AS fp, 'M' || (s_suppkey % 17 + 1) || ' 0z' AS d FROM supplier)"
 JOBS = "j AS (SELECT user_id AS session, event_id AS job_id, CAST(event_id // 40 AS VARCHAR) AS image_fp, floor(value / 40) AS bp, event_type AS cc, floor(value / 25) AS ds FROM events)"
@@ -440,6 +461,27 @@ SELECT arc, i AS corner FROM dv a WHERE v >= {corners.LEAST!r} AND NOT EXISTS (S
     q["palette_remap"] = f"""WITH {OLD}, m AS (SELECT o.image_id, o.i, o.override, n.color_idx AS j, (o.r-n.r)*(o.r-n.r)+(o.g-n.g)*(o.g-n.g)+(o.b-n.b)*(o.b-n.b) AS d FROM old o JOIN new n USING (image_id) WHERE o.override IS NOT NULL),
 a AS (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS rn FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY image_id, j ORDER BY d, i) AS rk FROM a WHERE rn = 1 AND d <= 400)
 SELECT n.image_id, n.color_idx, b.override FROM new n LEFT JOIN b ON b.image_id = n.image_id AND b.j = n.color_idx AND b.rk = 1"""
+    q["fingerprint"] = "WITH z AS (" + q["raster_embeddings"] + """), w AS (SELECT image_id, width, height, y, sha256(string_agg(printf('%X', r * 65536 + g * 256 + b), ',' ORDER BY x)) AS h FROM z GROUP BY image_id, width, height, y)
+SELECT image_id, width, height, sha256(width || ':' || height || ':' || string_agg(h, ',' ORDER BY y)) AS print FROM w GROUP BY image_id, width, height"""
+    sums = {"mean": "sum({c})::DOUBLE / count(*)", "var": "(count(*) * sum({c} * {c}) - sum({c}) * sum({c}))::DOUBLE / (count(*) * count(*))"}
+    q["channel_stats"] = "WITH z AS (" + q["raster_embeddings"] + ") SELECT image_id, count(*) AS n, " + ", ".join(f"CAST(floor({f.format(c=c)} * 1000 + 0.5) AS BIGINT) AS {n}_{c}" for c in "rgb" for n, f in sums.items()) + " FROM z GROUP BY 1"
+    q["svg_size"] = """SELECT p_partkey AS k, '<svg width="' || p_partkey || '" height="9" viewBox="0 0 ' || p_partkey || ' 9"></svg>' AS svg FROM part"""
+    # A loop's edges reach each other by steps to the next edge, which turns clockwise where two leave a vertex.
+    q["loops"] = f"""WITH {EDGES}, st AS (SELECT a.image_id, a.region, a.edge_id, arg_max(b.edge_id, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0)) AS nxt FROM e a JOIN e b ON b.image_id = a.image_id AND b.region = a.region AND b.x0 = a.x1 AND b.y0 = a.y1 GROUP BY 1, 2, 3),
+lp(image_id, region, edge_id, least) USING KEY (image_id, region, edge_id) AS (SELECT image_id, region, edge_id, (edge_id % 2) * 1000000 + edge_id FROM e
+  UNION SELECT s.image_id, s.region, s.nxt, min(l.least) FROM lp l JOIN st s ON s.image_id = l.image_id AND s.region = l.region AND s.edge_id = l.edge_id JOIN recurring.lp o ON o.image_id = s.image_id AND o.region = s.region AND o.edge_id = s.nxt WHERE l.least < o.least GROUP BY 1, 2, 3)
+SELECT l.image_id, l.region, CAST(l.least % 1000000 AS BIGINT) AS loop, count(*) AS n, CAST(sum(e.x0 * e.y1 - e.x1 * e.y0) / 2 AS BIGINT) AS area FROM lp l JOIN e ON e.image_id = l.image_id AND e.region = l.region AND e.edge_id = l.edge_id GROUP BY 1, 2, 3"""
+    weights = lambda c: " + ".join(f"{c}{i}{j}.{c} * {'ax' if i else '(1 - ax)'} * {'ay' if j else '(1 - ay)'}" for i in (0, 1) for j in (0, 1))
+    q["upscale_bilinear"] = "WITH z AS (" + q["raster_events"] + """), t AS (SELECT ty, tx, (tx + 0.5::DOUBLE) * 30 / 60 - 0.5 AS fx, (ty + 0.5::DOUBLE) * 24 / 48 - 0.5 AS fy FROM range(48) a(ty), range(60) b(tx)),
+u AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0, fx - floor(fx) AS ax, fy - floor(fy) AS ay FROM t) SELECT 0 AS image_id, 60 AS width, 48 AS height, ty AS y, tx AS x, """ + ", ".join(U8.format("round(" + weights(c).replace(f"{c}0", "p0").replace(f"{c}1", "p1") + ", 9)") + f" AS {c}" for c in "rgb") + " FROM u " + " ".join(
+        f"JOIN z p{i}{j} ON p{i}{j}.x = greatest(0, least(29, x0 + {i})) AND p{i}{j}.y = greatest(0, least(23, y0 + {j}))" for i in (0, 1) for j in (0, 1))
+    gap = LAB + """, fo AS (SELECT image_id, color_idx, count(*) AS n FROM lab GROUP BY 1, 2), od AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n, color_idx) - 1 AS place, count(*) OVER (PARTITION BY image_id) AS k FROM fo), s0 AS (SELECT *, false AS flipped FROM lab)"""
+    for t in range(len(COLORS) - 1):
+        near = lambda k: f"sqrt((s.r-{k}.kr)*(s.r-{k}.kr)+(s.g-{k}.kg)*(s.g-{k}.kg)+(s.b-{k}.kb)*(s.b-{k}.kb))"
+        gap += f""", i{t} AS (SELECT s.image_id, y, x, CAST(coalesce(s.color_idx = o.color_idx, false) AS INT) AS m FROM s{t} s LEFT JOIN od o ON o.image_id = s.image_id AND o.place = {t} AND o.place < o.k - 1)""" + DIL.format(o=f"d{t}", f="max", r=1, i=f"i{t}") + DIL.format(o=f"e{t}", f="min", r=1, i=f"d{t}") + f""",
+f{t} AS (SELECT s.*, o.color_idx AS c, coalesce(m.m = 1 AND s.color_idx <> o.color_idx AND NOT s.flipped AND {near('kc')} <= 1.3::DOUBLE * {near('ko')}, false) AS flip FROM s{t} s JOIN e{t} m USING (image_id, y, x) LEFT JOIN od o ON o.image_id = s.image_id AND o.place = {t} AND o.place < o.k - 1 LEFT JOIN {_PAL.replace(') k(', ') kc(')} ON kc.color_idx = o.color_idx JOIN {_PAL.replace(') k(', ') ko(')} ON ko.color_idx = s.color_idx),
+s{t + 1} AS (SELECT image_id, y, x, r, g, b, CASE WHEN flip THEN c ELSE color_idx END AS color_idx, flipped OR flip AS flipped FROM f{t})"""
+    q["gap_close"] = f"WITH {gap} SELECT image_id, y, x, CAST(color_idx AS INT) AS color_idx FROM s{len(COLORS) - 1}"
     q["compute_fit"] = """WITH v AS (SELECT p_partkey AS k, (p_partkey * 31 % 997 + 3)::DOUBLE AS iw, (p_partkey * 57 % 997 + 3)::DOUBLE AS ih, (p_partkey * 83 % 997 + 3)::DOUBLE AS cw, (p_partkey * 19 % 997 + 3)::DOUBLE AS ch FROM part), z AS (SELECT *, least(1.0::DOUBLE, cw / iw, ch / ih) AS zoom FROM v)
 SELECT k, CAST(floor(zoom * 100 + 0.5) AS BIGINT) AS zoom, CAST(floor((cw - iw * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_x, CAST(floor((ch - ih * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_y FROM z"""
     q["first_dirty_stage"] = f"WITH {JOBS} SELECT session, job_id, CASE WHEN lag(job_id) OVER w IS NULL OR image_fp IS DISTINCT FROM lag(image_fp) OVER w OR bp IS DISTINCT FROM lag(bp) OVER w THEN 'pre' WHEN cc IS DISTINCT FROM lag(cc) OVER w THEN 'palette' WHEN ds IS DISTINCT FROM lag(ds) OVER w THEN 'segment' ELSE 'fit' END AS stage FROM j WINDOW w AS (PARTITION BY session ORDER BY job_id)"

@@ -76,11 +76,12 @@ def scaled_dims(w: Column, h: Column, upscale: Column) -> tuple[Column, Column]:
     return tuple(F.greatest(F.lit(1), half_up(v * upscale * shrink)).cast("int") for v in (w, h))
 
 
-def decode_images(spark: SparkSession, path: str) -> DataFrame:
+def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Pixels of the images that Spark's image source reads, transparency composited on white.
 
-    One task decodes an image's bytes row by row; image_id is a hash of the origin. Formats that
-    the JVM cannot read are left out by the source.
+    ``path`` is a folder, a file or a list of them, read by one scan. An image's bytes are taken
+    apart row by row where they were read; image_id is a hash of the origin. Formats that the JVM
+    cannot read are left out by the source; no readable image gives no rows.
     """
     src = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     schema = pa.schema([("image_id", pa.int64())] + [(c, pa.int32()) for c in PIXEL[1:]])
@@ -121,3 +122,22 @@ def resample(px: DataFrame, upscale: int) -> DataFrame:
 def write_svg(results: DataFrame, path: str) -> None:
     """One text record for each image, in folders by image_id."""
     results.select("image_id", F.col("svg").alias("value")).write.partitionBy("image_id").text(path)
+
+
+def fingerprint(px: DataFrame) -> DataFrame:
+    """(image_id, width, height, print): images with equal prints have the same size and the same pixels.
+
+    Rows of pixels are hashed where they are, and the hashes of the rows in order.
+    """
+    pixel = F.struct("x", F.hex(F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("c"))
+    line = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(pixel)), lambda p: p["c"]), ","), 256)
+    rows = px.groupBy("image_id", "width", "height", "y").agg(line.alias("h"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "h"))), lambda v: v["h"]), ",")
+    return rows.groupBy("image_id", "width", "height").agg(F.sha2(F.concat_ws(":", F.col("width").cast("string"), F.col("height").cast("string"), ordered), 256).alias("print"))
+
+
+def channel_stats(px: DataFrame) -> DataFrame:
+    """(image_id, n, mean and variance of each channel) over all pixels of an image, from sums of whole numbers."""
+    sums = px.groupBy("image_id").agg(F.count("*").alias("n"), *[f.alias(f"{k}{c}") for c in "rgb" for k, f in (("s", F.sum(F.col(c).cast("long"))), ("q", F.sum(F.col(c).cast("long") * F.col(c))))])
+    n = F.col("n")
+    return sums.select("image_id", "n", *[v.alias(f"{k}_{c}") for c in "rgb" for k, v in (("mean", F.col(f"s{c}") / n), ("var", (n * F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}")) / (n * n)))])

@@ -11,19 +11,12 @@ from rasterloom.sources.raster import decode_images, write_svg
 
 def vectorize_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, options: Options = Options()) -> StreamingQuery:
     """Read new files with the file source's own bookkeeping and append one SVG for each."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select("path")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.png").load(folder).select("path")
 
-    def batch(df, _):
+    def batch(df, number):
         paths = [r.path for r in df.collect()]  # names of one micro-batch
         if paths:
-            results = vectorize(decode_images(spark, ",".join(paths)) if len(paths) == 1 else _union(spark, paths), options)
-            write_svg(results.withColumn("image_id", F.col("image_id").cast("string")), f"{out}/batch={_}")
+            results = vectorize(decode_images(spark, paths), options)
+            write_svg(results.withColumn("image_id", F.col("image_id").cast("string")), f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _union(spark: SparkSession, paths: list[str]):
-    out = decode_images(spark, paths[0])
-    for p in paths[1:]:
-        out = out.unionByName(decode_images(spark, p))
-    return out
