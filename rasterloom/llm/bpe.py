@@ -17,8 +17,8 @@ CHUNKS = regex.compile(r"\S+")
 END = "</w>"
 #: Stands for a symbol that was merged into the one before it.
 GONE = (1 << 20) - 1
-#: Entries kept in each of a task's two caches; a full cache is emptied.
-CACHE = 300_000
+#: Entries kept in each of a task's two caches, and the characters of the longest; a full cache is emptied.
+CACHE, CACHED = 300_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -82,7 +82,9 @@ class WordBpe:
         if ids is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            ids = self.words[word] = self.merge(word)
+            ids = self.merge(word)
+            if len(word) <= CACHED:
+                self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
@@ -91,7 +93,9 @@ class WordBpe:
         ids = [i for piece in PIECES.findall(lowered) for i in self._word(piece)]
         if len(self.chunks) >= CACHE:
             self.chunks.clear()
-        out = self.chunks[chunk] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.strings[i] for i in ids))
+        out = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.strings[i] for i in ids))
+        if len(chunk) <= CACHED:
+            self.chunks[chunk] = out
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -126,7 +130,8 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
     """Encode every whole text: doc_id, ids (array of ints), decoded.
 
     ``path`` is a file on the driver, read once and shipped as a broadcast of fixed size. Null
-    texts are empty and give no ids; repeated rows stay repeated. ``digest(ids, decoded)`` with
+    texts are empty and give no ids; very long texts are encoded whole, long words outside the
+    caches; repeated rows stay repeated; an empty table gives no rows. ``digest(ids, decoded)`` with
     ``schema`` replaces the two columns by what it returns (a dict), for callers that want a
     summary and not the tokens themselves.
     """

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
 #: Words of one window; an item of fewer words is one window.
 WINDOW = 10
-#: Windows indexed by one pass over the documents. A larger benchmark is taken in blocks of so many,
-#: one pass each, so that what is broadcast stays bounded.
-BLOCK_WINDOWS = 500_000
+#: Windows that are broadcast; those of a larger benchmark are joined with the documents' words, which gives the same result.
+MOST_WINDOWS = 500_000
+#: 64-bit words of the bitmap of prefix tokens that a join's map side tests words with.
+BITMAP = 1 << 18
 #: Distinct benchmark words up to which tasks count only those; beyond it they count all words.
 VOCABULARY = 500_000
 
@@ -94,72 +96,132 @@ class WindowIndex:
         return hit, items
 
 
-def window_search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS):
-    """What a task calls once to get its search: texts -> [(number of words, hit positions, items)]."""
-    spark = docs.sparkSession
+def indexed_windows(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """(window, word, place, items) of all item windows; an item id of null counts as the empty string."""
     windows = common.cut(item_windows(benchmark, width=width).select("window", F.coalesce("item", F.lit("")).alias("item")))
-    common.bounded_batches(spark)
-    found = common.cut(prefix_windows(windows, word_rarity(docs, windows)))
-    n = found.count()
-    blocks = []
-    for k in range(max(1, -(-n // block))):
-        part = found.where(F.pmod(F.xxhash64("window"), F.lit(max(1, -(-n // block)))) == k)
-        blocks.append(spark.sparkContext.broadcast([(bytes(r.window), bytes(r.word), r.place, list(r["items"])) for r in part.collect()]))
+    common.bounded_batches(docs.sparkSession)
+    return common.cut(prefix_windows(windows, word_rarity(docs, windows)))
+
+
+def broadcast_search(found: DataFrame):
+    """What a task calls once to get its search: texts -> [(number of words, hit positions, items)]. For MOST_WINDOWS at most."""
+    rows = [(bytes(r.window), bytes(r.word), r.place, list(r["items"])) for r in found.collect()]
+    shared = found.sparkSession.sparkContext.broadcast(rows)
 
     def make():
-        only = WindowIndex(blocks[0].value) if len(blocks) == 1 else None
+        index = WindowIndex(shared.value)
 
         def f(texts):
             words = [words_of(t) for t in texts]
-            hits = [(set(), set()) for _ in words]
-            for b in blocks:
-                index = only or WindowIndex(b.value)  # of several blocks one index at a time is in memory
-                for w, (hit, items) in zip(words, hits):
-                    h, i = index.hits(w)
-                    hit |= h
-                    items |= i
-            return [(len(w), hit, items) for w, (hit, items) in zip(words, hits)]
+            return [(len(w), *index.hits(w)) for w in words]
 
         return f
 
     return make
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+def text_keys() -> list:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), (F.octet_length(text).cast("long") * (1 << 32) + F.crc32(text.cast("binary"))).alias("k2")]
+
+
+def joined_hits(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, hit, items) of the texts with an occurring window, by a join on prefix tokens.
+
+    A document's word takes part if it is some window's prefix token, with the words around it;
+    the positional bound wants the window's start inside the text, the length bound its end, and
+    the words themselves decide. A bitmap thins out words before the shuffle and may let others through.
+    """
+    h = F.xxhash64("word")
+    at, bit = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP - 1)), F.expr("shiftleft(1L, cast(xxhash64(word) & 63 AS INT))")
+    bits = np.zeros(BITMAP, dtype=np.int64)
+    for r in found.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["at"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def tokens():
+        marks = shared.value
+
+        def f(rows):
+            out: dict[str, list] = {c: [] for c in ("k1", "k2", "n", "pos", "word", "start", "context")}
+            for k1, k2, text in zip(rows["k1"], rows["k2"], rows["text"]):
+                words = words_of(text)
+                for i, w in enumerate(words):
+                    x = xxhash.xxh64_intdigest(w, seed=42)
+                    if int(marks[x >> 6 & BITMAP - 1]) >> (x & 63) & 1:
+                        start = max(0, i - width + 1)
+                        for c, v in zip(out, (k1, k2, len(words), i, w, start, b" ".join(words[start : i + width]))):
+                            out[c].append(v)
+            return out
+
+        return f
+
+    def verify(rows):
+        out: dict[str, list] = {c: [] for c in ("k1", "k2", "at", "size", "items")}
+        for k1, k2, n, pos, start, context, window, place, items in zip(*(rows[c] for c in ("k1", "k2", "n", "pos", "start", "context", "window", "place", "items"))):
+            at, want = pos - place, window.split(b" ")
+            if 0 <= at <= n - len(want) and context.split(b" ")[at - start : at - start + len(want)] == want:
+                for c, v in zip(out, (k1, k2, at, len(want), items)):
+                    out[c].append(v)
+        return out
+
+    src = docs.select("text", *text_keys())
+    placed = common.map_rows(src, ["k1", "k2", "text"], "k1 long, k2 long, n int, pos int, word binary, start int, context binary", tokens).distinct()
+    pairs = placed.join(found, "word")
+    true = common.map_rows(pairs, ["k1", "k2", "n", "pos", "start", "context", "window", "place", "items"], "k1 long, k2 long, at int, size int, items array<string>", lambda: verify)
+    spans = F.collect_set(F.struct("at", "size"))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))))
+    return common.cut(true.groupBy("k1", "k2").agg(places.alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
     """Words of each document inside occurrences of benchmark windows.
 
     Returns doc_id, n_words, hit (sorted positions), items (sorted item ids that have occurring
     windows). Null texts and texts without words have none; equal windows of several items count
-    for all of them; an item id of null counts as the empty string; repeated document rows stay
-    repeated, so rows are not merged by doc_id; empty tables give no hits or no rows.
+    for all of them; an item id of null counts as the empty string; very long texts are searched
+    whole; repeated document rows stay repeated, so rows are not merged by doc_id; empty tables
+    give no hits or no rows.
     """
-    search = window_search(docs, benchmark, width, block)
+    found = indexed_windows(docs, benchmark, width)
+    if found.count() <= most:
+        search = broadcast_search(found)
 
-    def make():
-        find = search()
+        def make():
+            find = search()
 
-        def f(rows):
-            found = find(rows["text"])
-            return {"doc_id": rows["doc_id"], "n_words": [n for n, _, _ in found], "hit": [sorted(h) for _, h, _ in found], "items": [sorted(i) for _, _, i in found]}
+            def f(rows):
+                hits = find(rows["text"])
+                return {"doc_id": rows["doc_id"], "n_words": [n for n, _, _ in hits], "hit": [sorted(h) for _, h, _ in hits], "items": [sorted(i) for _, _, i in hits]}
 
-        return f
+            return f
 
-    return common.map_rows(docs, ["doc_id", "text"], "doc_id long, n_words long, hit array<int>, items array<string>", make)
+        return common.map_rows(docs, ["doc_id", "text"], "doc_id long, n_words long, hit array<int>, items array<string>", make)
 
+    def count(rows):
+        return {"doc_id": rows["doc_id"], "k1": rows["k1"], "k2": rows["k2"], "n_words": [len(words_of(t)) for t in rows["text"]]}
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    rows = common.map_rows(docs.select("doc_id", "text", *text_keys()), ["doc_id", "k1", "k2", "text"], "doc_id long, k1 long, k2 long, n_words long", lambda: count)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    out = rows.join(joined_hits(docs, found, width), ["k1", "k2"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("hit", none("int")).alias("hit"), F.coalesce("items", none("string")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = MOST_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without any hit word, with their own columns.
 
-    Each row is judged by its own text, so a null or repeated doc_id decides nothing.
+    Each row is judged by its own text, so a null or repeated doc_id decides nothing. Null texts
+    stay, very long ones are searched whole, and an empty benchmark or table removes nothing.
     """
-    search = window_search(docs, benchmark)
-
-    def make():
-        find = search()
-        return lambda texts: [not hit for _, hit, _ in find(texts)]
-
-    return common.filter_rows(docs, "text", make)
+    found = indexed_windows(docs, benchmark, WINDOW)
+    if found.count() <= most:
+        search = broadcast_search(found)
+
+        def make():
+            find = search()
+            return lambda texts: [not hit for _, hit, _ in find(texts)]
+
+        return common.filter_rows(docs, "text", make)
+    k1, k2 = text_keys()
+    hit = joined_hits(docs, found, WINDOW).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    return docs.join(hit, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")

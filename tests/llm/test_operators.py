@@ -166,9 +166,9 @@ def test_bpe(spark, odd):
 def test_decontamination(spark, docs, odd, none, monkeypatch):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text").union(spark.createDataFrame([("short", "Words HERE and"), ("none", None), ("dots", "...")], "item_id string, text string"))
     items = [(r.item_id, re.findall(rb"[0-9a-z\x80-\xff]+", (r.text or "").encode().lower())) for r in bench.collect()]
-    for block in (decontam.BLOCK_WINDOWS, 50):
+    for most in (decontam.MOST_WINDOWS, 0):  # by a broadcast, and by a join
         for df in (docs, odd):
-            rows = decontam.contamination(df, bench, block=block).collect()
+            rows = decontam.contamination(df, bench, most=most).collect()
             assert len(rows) == df.count()
             source = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
             for r in rows:
@@ -182,14 +182,12 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
                                 hit.update(range(at, at + len(g)))
                                 found.add(item)
                 assert (r.n_words, r.hit, r["items"]) == (len(w), sorted(hit), sorted(found))
-            break_after = block != decontam.BLOCK_WINDOWS
-            if break_after:
-                break
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(odd, bench.limit(0)).where(F.size("hit") > 0).count() == 0
     leaks = spark.createDataFrame(texts([(None, "x words here AND, y"), (7, "words here and"), (7, "nothing of it"), (None, "clean"), (9, None)]), SCHEMA)
-    kept = decontam.decontaminate(leaks, bench.where("item_id = 'short'"))
-    assert kept.columns == leaks.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == ["(7, 'nothing of it')", "(9, None)", "(None, 'clean')"]
+    for most in (decontam.MOST_WINDOWS, 0):
+        kept = decontam.decontaminate(leaks, bench.where("item_id = 'short'"), most)
+        assert kept.columns == leaks.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == ["(7, 'nothing of it')", "(9, None)", "(None, 'clean')"]
 
 
 def test_html():

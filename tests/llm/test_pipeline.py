@@ -37,3 +37,30 @@ def test_stages(spark, tmp_path):
     assert ids(after) == ids(before) - dirty
     before, after = kept["bpe_tokens"]
     assert ids(after) == ids(before) and all(len(r["ids"]) == r.n_tokens for r in after.collect())
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_removed string, hit string, row string"
+
+
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; every stage alone sees them too."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    long = " ".join(f"word{i % 1993}q{i % 37}" for i in range(40_000))
+    plain = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(3).collect()]
+    texts = [None, None, "", " \n\t\n", long, long, *plain, plain[0]]
+    ids = [None, 1, 2, 3, 4, 5, 6, 7, 8, 6]
+    rows = [(i, t, None, None, None, "a", "b", "c", "d") for i, t in zip(ids, texts)]
+    for name, part in (("odd", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        docs = spark.createDataFrame(part, AWKWARD)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            source = spark.read.parquet(f"{DATA}/{table}.parquet")
+            (source if part else source.limit(0)).write.parquet(f"{folder}/{table}.parquet")
+        out = pipeline.run(spark, folder)
+        found = out.collect()
+        assert out.columns == ["doc_id", "n_tokens", "ids"] and all(len(r["ids"]) == r.n_tokens for r in found)
+        assert (len(found) > 0) == bool(part) and len({r.doc_id for r in found}) == len(found)
+        for _, stage in pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, folder)
+            assert kept.columns == docs.columns and kept.count() <= len(part)
