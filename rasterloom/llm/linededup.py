@@ -73,7 +73,7 @@ def rarity_levels(lines: DataFrame) -> list[int]:
 
 
 def level_of(levels: list[int], bucket: Column) -> Column:
-    return F.coalesce(F.get(common.numbers(levels, "bigint"), bucket.cast("int")), F.lit(0).cast("long"))
+    return F.coalesce(F.get(common.numbers(levels, "int"), bucket.cast("int")), F.lit(0))
 
 
 def first_places(rows: DataFrame, keyed: bool) -> DataFrame:
@@ -100,8 +100,8 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int, keyed
     lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
     """
     hashes = F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    high = [level << 56 for level in levels]
-    codes = F.transform(hashes, lambda h: level_of(high, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    high = lambda h: F.shiftleft(level_of(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))).cast("long"), 56)
+    codes = F.transform(hashes, lambda h: high(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     # inline() keeps the filter below from computing the codes a second time.
     src = lines.select("doc", "line", *line_hash(F.col("text")), F.inline(F.array(F.struct(F.sort_array(codes).alias("codes")))))
     n = F.size("codes")
