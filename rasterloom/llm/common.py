@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch. Texts are whole, so a batch is bounded by rows here and by bytes below.
-BATCH_ROWS = 256
-BATCH_BYTES = 8 << 20
+from rasterloom.functions.workers import bounded_batches, reach_workers
+
 #: 64-bit words of the bitmaps that thin out rows before a join; they let through too much, never too little.
 BITMAP_WORDS = 1 << 15
 #: A key of more rows than this may be dealt to SALTS tasks; at most HOT_KEYS keys are.
@@ -23,12 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for a Python worker when texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     """Apply a per-batch function to some columns of a DataFrame.
 
@@ -37,8 +29,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     are never read, so extra columns cannot clash with the output.
     """
     bounded_batches(df.sparkSession)
-    # Workers import this package; where it is not installed on them they look where the driver found it.
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    reach_workers(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -50,6 +41,29 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_tasks(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
+    """Like ``map_rows`` for functions that keep something over batches: ``make()`` gives a pair.
+
+    The first takes a dict of lists, the second nothing, when a task's rows are over; both return
+    a dict of lists, or None for no rows.
+    """
+    bounded_batches(df.sparkSession)
+    reach_workers(df.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        add, end = make()
+        for batch in batches:
+            out = add({c: batch.column(i).to_pylist() for i, c in enumerate(columns)})
+            if out is not None:
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        out = end()
+        if out is not None:
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
 def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns and without a shuffle.
 
@@ -57,7 +71,7 @@ def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
     to a list of booleans.
     """
     bounded_batches(df.sparkSession)
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    reach_workers(df.sparkSession)
     at = df.columns.index(column)
 
     def run(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, html_text, langid, linededup, nearjoin, quality, rules, secrets, sharding
+from . import bpe, decontam, html_text, langid, lexical, linededup, nearjoin, quality, rules, secrets, sharding
 from .common import crc_mod, map_rows, table
 
 #: Where the tokenizer files are, unless a caller names another place.
@@ -117,10 +117,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS t FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS t FROM benchmark),
+sums AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM docs),
+asked AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(t) AS term FROM items) GROUP BY ALL),
+held AS (SELECT row, any_value(n) AS n, term, count(*) AS tf FROM (SELECT row, len(t) AS n, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, sums GROUP BY term),
+parts AS (SELECT row, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS part FROM held, sums),
+scores AS (SELECT item, row, CAST(sum(w * part * times) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY item, row),
+ranked AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores JOIN docs USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules)
+    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules, op11_lexical_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL}
