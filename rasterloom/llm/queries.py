@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, html_text, langid, lexical, linededup, nearjoin, quality, rules, secrets, sharding
+from . import bpe, decontam, html_text, langid, lexical, linededup, nearjoin, quality, rules, secrets, sharding, vectors
 from .common import crc_mod, map_rows, table
 
 #: Where the tokenizer files are, unless a caller names another place.
@@ -135,10 +135,27 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN it
 """
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM rows WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.93 END),
+reach AS (SELECT r AS a, r AS b FROM rows UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lows AS (SELECT reach.a AS r, min(rows.vec_id) AS component_id FROM reach JOIN rows ON rows.r = reach.b GROUP BY reach.a),
+sums AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM rows JOIN lows USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 def queries() -> dict:
-    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules, op11_lexical_search)
+    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules, op11_lexical_search, op13_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL}
+    return {"op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op13_embedding_dedup": OP13_SQL}
