@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, html_text, langid, lexical, linededup, nearjoin, quality, rules, secrets, sharding, vectors
+from . import alignment, bpe, decontam, html_text, langid, lexical, linededup, nearjoin, quality, rules, secrets, sharding, vectors
 from .common import crc_mod, map_rows, table
 
 #: Where the tokenizer files are, unless a caller names another place.
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,10 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN it
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -153,7 +157,7 @@ FROM rows JOIN lows USING (r) LEFT JOIN sums USING (r)
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules, op11_lexical_search, op13_embedding_dedup)
+    found = (op1_sharding, op2_language_id, op3_near_join, op4_secret_scan, op5_bpe, op6_decontamination, op7_html_text, op8_quality, op9_line_dedup, op10_quality_rules, op11_lexical_search, op12_token_alignment, op13_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
