@@ -4,31 +4,50 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names, or, on a local master, one of the session's own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or, on a local master, one of the session's own."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or f"/tmp/rasterloom-checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint()
+        sc.setCheckpointDir(f"/tmp/rasterloom-checkpoints/{uuid.uuid4().hex}")
+    return shared or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder, written and read again.
+
+    What follows depends neither on the executors that made the rows nor on the plan's guess of
+    their size: a table has its true size, so a small one can be broadcast. A checkpoint would
+    hand the guess on, and joins multiply guesses round by round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def size_estimate(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str = "image_id") -> DataFrame:
     """(key, node, comp): comp is the smallest node that ``node`` is connected to inside its key.
 
     Labels fall to the least label of a node's neighbours, then jump to their own label's label,
-    until nothing changes; jumping makes the number of rounds logarithmic in path length.
+    until nothing changes; jumping makes the number of rounds logarithmic in path length. Nodes
+    without edges take no part in the rounds.
     """
-    both = cut(edges.select(key, "a", "b").union(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select(key, "node", F.col("node").alias("comp")))
+    both = cut(edges.select(key, "a", "b").union(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = both.groupBy(key, F.col("a").alias("node")).agg(F.min("b").alias("low")).select(key, "node", F.least("node", "low").alias("comp"))
+    labels = cut(labels)
     while True:
         near = both.join(labels.select(key, F.col("node").alias("b"), "comp"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        hooked = labels.join(near, [key, "node"], "left").select(key, "node", "comp", F.least("comp", F.coalesce("low", "comp")).alias("low"))
+        hooked = labels.join(near, [key, "node"]).select(key, "node", "comp", F.least("comp", "low").alias("low"))
         # A label that some member lowered is lowered for all of them.
         roots = hooked.groupBy(key, "comp").agg(F.min("low").alias("root"))
         moved = hooked.join(roots, [key, "comp"]).select(key, "node", "comp", "root")
@@ -36,4 +55,5 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "image_id") -> Dat
         new = cut(moved.join(jump, [key, "root"]).select(key, "node", F.col("comp").alias("was"), F.least("root", "far").alias("comp")))
         labels = new.select(key, "node", "comp")
         if new.where("was <> comp").limit(1).count() == 0:
-            return labels
+            break
+    return nodes.select(key, "node").join(labels, [key, "node"], "left").select(key, "node", F.coalesce("comp", "node").alias("comp"))

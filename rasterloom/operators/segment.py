@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType
+
+from rasterloom.functions.workers import reach_workers
 
 from .graph import components, cut
 from .palette import distance2, ordinal, palette_array
 
 # Gap guard ratio, passes of despeckling, largest closing radius.
 GUARD, PASSES, MAX_RADIUS = 1.3, 8, 9
+#: Side of the square tiles that components are first found in.
+TILE = 256
 
 
 def dilate(mask: DataFrame, radius: int, op=F.max) -> DataFrame:
@@ -71,13 +78,71 @@ def run_adjacency(runs: DataFrame) -> DataFrame:
     return joined.select("image_id", F.col("run").alias("a"), "b")
 
 
-def regions(labelled: DataFrame) -> DataFrame:
-    """Add ``region``, the first pixel's place of the 4-connected component of equal colour."""
-    runs = cut(row_runs(labelled))
-    comp = components(run_adjacency(runs), runs.select("image_id", F.col("run").alias("node")))
-    spans = runs.join(comp.withColumnRenamed("node", "run"), ["image_id", "run"])
-    spans = spans.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("comp").alias("region"))
-    return labelled.join(spans, ["image_id", "y", "x"])
+def tile_labels(colors: np.ndarray) -> np.ndarray:
+    """The place of the first cell of each cell's 4-connected component of one colour; -1 is no colour.
+
+    Roots take the least root across their edges and then their roots' roots, until nothing changes.
+    """
+    h, w = colors.shape
+    at = np.arange(h * w).reshape(h, w)
+    right = (colors[:, 1:] == colors[:, :-1]) & (colors[:, 1:] >= 0)
+    down = (colors[1:] == colors[:-1]) & (colors[1:] >= 0)
+    a, b = np.concatenate((at[:, :-1][right], at[:-1][down])), np.concatenate((at[:, 1:][right], at[1:][down]))
+    root = at.ravel().copy()
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root.reshape(h, w)
+        root = new
+
+
+def tile_parts(labelled: DataFrame, tile: int) -> DataFrame:
+    """Add ``part``, the place of the first pixel of a pixel's component inside its tile."""
+    schema = labelled.select("*", F.lit(0).cast("long").alias("part")).schema
+    arrow = to_arrow_schema(schema)
+    names = labelled.columns
+
+    def label(table: pa.Table) -> pa.Table:
+        y, x, width, color = (table[c].to_numpy().astype(np.int64) for c in ("y", "x", "width", "color_idx"))
+        y0, x0 = y // tile * tile, x // tile * tile
+        cells = np.full((int((y - y0).max()) + 1, int((x - x0).max()) + 1), -1)
+        cells[y - y0, x - x0] = color
+        root = tile_labels(cells)[y - y0, x - x0]
+        part = (root // cells.shape[1] + y0) * width + root % cells.shape[1] + x0
+        return pa.Table.from_arrays([*(table[c].cast(arrow.field(c).type) for c in names), pa.array(part)], schema=arrow)
+
+    reach_workers(labelled.sparkSession)
+    place = [F.col("image_id"), F.floor(F.col("y") / tile), F.floor(F.col("x") / tile)]
+    return labelled.groupBy(*place).applyInArrow(label, schema)
+
+
+def border_pairs(parts: DataFrame, tile: int) -> DataFrame:
+    """(image_id, a, b): parts of one colour that touch across a border of two tiles."""
+    out = None
+    for p in ("x", "y"):
+        before = parts.where((F.col(p) + 1) % tile == 0).select("image_id", *[(F.col(c) + 1 if c == p else F.col(c)).alias(c) for c in ("y", "x")], "color_idx", F.col("part").alias("a"))
+        after = parts.where(F.col(p) % tile == 0).select("image_id", "y", "x", "color_idx", F.col("part").alias("b"))
+        pairs = before.join(after, ["image_id", "y", "x", "color_idx"]).select("image_id", "a", "b")
+        out = pairs if out is None else out.union(pairs)
+    return out.distinct()
+
+
+def regions(labelled: DataFrame, tile: int = TILE) -> DataFrame:
+    """Add ``region``, the first pixel's place of the 4-connected component of equal colour.
+
+    Components are found inside tiles, each in one task; only parts that touch a border of
+    tiles are joined with each other, so no task or join key holds more than a tile's pixels.
+    """
+    parts = cut(tile_parts(labelled, tile))
+    pairs = cut(border_pairs(parts, tile))
+    ends = pairs.select("image_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = components(pairs, ends).select("image_id", F.col("node").alias("part"), "comp")
+    return parts.join(roots, ["image_id", "part"], "left").select(*labelled.columns, F.coalesce("comp", "part").cast(LongType()).alias("region"))
 
 
 def region_sizes(px: DataFrame) -> DataFrame:
@@ -101,38 +166,46 @@ def despeckle_targets(borders: DataFrame) -> DataFrame:
     return borders.groupBy("image_id", "small").agg(F.max_by("other", F.struct("n", -F.col("first"))).alias("other"), F.min("first").alias("first"))
 
 
-def despeckle(px: DataFrame, least: int) -> DataFrame:
-    """Merge regions under ``least`` pixels into their longest neighbour, up to 8 passes.
+def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """(image_id, region, root) after each ``small`` region, in order of ``first``, went into its ``other``.
 
-    Counts and choices are joins and groupings; only the short list of an image's choices is
-    walked in order, as each merge changes sizes that later ones look at.
+    A merge looks at what earlier ones left: both regions count as what they have become, and one
+    that has grown to ``least`` pixels stays. Regions of ``least`` pixels or more never move, so
+    merges meet only in small ones. In each round those merges run that are the earliest of all
+    that touch their small regions; the others then see the grown regions. Rounds are joins.
     """
-    if least <= 1:
-        return px
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        alias, size = {}, dict(zip(pdf.small, pdf["size"])) | dict(zip(pdf.other, pdf.other_size))
-
-        def find(i):
-            while alias.get(i, i) != i:
-                i = alias[i]
-            return i
+    size = lambda c, n: sizes.select("image_id", F.col("region").alias(c), F.col("size").alias(n))
+    state = targets.join(size("small", "ns"), ["image_id", "small"]).join(size("other", "no"), ["image_id", "other"])
+    state = cut(state.select("image_id", "first", F.col("small").alias("s"), F.col("other").alias("o"), "ns", "no", F.lit(False).alias("done")))
+    open_ = lambda df: df.where(~F.col("done") & (F.col("s") != F.col("o")) & (F.col("ns") < least))
+    while open_(state).limit(1).count():
+        live = open_(state)
+        touched = live.select("image_id", "first", F.explode(F.when(F.col("no") < least, F.array("s", "o")).otherwise(F.array("s"))).alias("r")).groupBy("image_id", "r").agg(F.min("first").alias("m"))
+        turn = lambda c: touched.select("image_id", F.col("r").alias(c), F.col("m").alias(f"m{c}"))  # noqa: B023, E731
+        ready = live.join(turn("s"), ["image_id", "s"]).join(turn("o"), ["image_id", "o"], "left")
+        runs = cut(ready.where((F.col("first") == F.col("ms")) & ((F.col("no") >= least) | (F.col("first") == F.col("mo")))).select("image_id", "first", "s", "o", "ns", "no"))
+        gain = runs.groupBy("image_id", F.col("o").alias("r")).agg(F.sum("ns").alias("gain"))
+        moved = runs.select("image_id", F.col("s").alias("r"), F.col("o").alias("to"), F.col("no").alias("nt"))
+        # What a region has become, and its size, for either side of the merges that wait.
+        rest = state.join(runs.select("image_id", "first"), ["image_id", "first"], "left_anti").where(F.col("done") | ((F.col("s") != F.col("o")) & (F.col("ns") < least)))
+        for c, n in (("s", "ns"), ("o", "no")):
+            rest = rest.join(moved.withColumnRenamed("r", c), ["image_id", c], "left")
+            hit = F.col("to").isNotNull() if c == "o" else F.col("to").isNotNull() & ~F.col("done")
+            rest = rest.withColumn(c, F.when(hit, F.col("to")).otherwise(F.col(c))).withColumn(n, F.when(hit, F.col("nt")).otherwise(F.col(n))).drop("to", "nt")
+            rest = rest.join(gain.withColumnRenamed("r", c), ["image_id", c], "left").withColumn(n, F.col(n) + F.coalesce("gain", F.lit(0))).drop("gain")
+        state = cut(rest.unionByName(runs.withColumn("done", F.lit(True))))
+    return state.where("done").select("image_id", F.col("s").alias("region"), F.col("o").alias("root"))
 
-        for r in pdf.sort_values("first").itertuples():
-            s, o = find(r.small), find(r.other)
-            if s != o and size[s] < least:
-                alias[s] = o
-                size[o] += size[s]
-        keys = sorted(alias)
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]] * len(keys), "region": keys, "root": [find(k) for k in keys]})
 
+def despeckle(px: DataFrame, least: int) -> DataFrame:
+    """Merge regions under ``least`` pixels into their longest neighbour, up to 8 passes; see ``ordered_merges``."""
+    if least <= 1:
+        return px
     for _ in range(PASSES):
-        sizes = region_sizes(px).select("image_id", "region", "size")
-        targets = despeckle_targets(border_counts(px, least))
-        rows = targets.join(sizes.withColumnRenamed("region", "small"), ["image_id", "small"]).join(sizes.select("image_id", F.col("region").alias("other"), F.col("size").alias("other_size")), ["image_id", "other"])
-        moves = cut(rows.groupBy("image_id").applyInPandas(merge, "image_id long, region long, root long"))
-        if moves.limit(1).count() == 0:
+        targets = cut(despeckle_targets(border_counts(px, least)))
+        if targets.limit(1).count() == 0:
             break
+        moves = ordered_merges(targets, region_sizes(px).select("image_id", "region", "size"), least)
         px = cut(px.join(moves, ["image_id", "region"], "left").withColumn("region", F.coalesce("root", "region")).drop("root"))
     # A region's colour is its root's, whatever its absorbed pixels had.
     roots = px.where(ordinal() == F.col("region")).select("image_id", "region", F.col("color_idx").alias("root_color"))
