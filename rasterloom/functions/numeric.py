@@ -25,7 +25,7 @@ def centi(v: Column) -> Column:
 
 
 def fmt_centi(c: Column) -> Column:
-    """Hundredths as the shortest decimal without a leading zero: 1234 -> 12.34, -50 -> -.5, 0 -> 0."""
+    """Hundredths in the fewest characters: no zero before the point nor at the end, so 705 gives 7.05 and -40 gives -.4."""
     a = F.abs(c)
     whole, part = F.floor(a / 100).cast("long"), (a % 100).cast("int")
     digits = F.lpad(part.cast("string"), 2, "0")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from rasterloom.functions.workers import reach_workers
+
 ROUNDS = 4
 CUBIC = ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1")
 
@@ -61,7 +63,7 @@ def fit_chain(p: np.ndarray, t1: np.ndarray, t2: np.ndarray, error2: float) -> l
             b = _solve(p, u, t1, t2)
             far = ((_weights(u) @ b - p) ** 2).sum(axis=1)[1:-1]
             split = int(far.argmax()) + 1 if far.max() > 0 else len(p) // 2
-            if far.max() < error2:
+            if far.max() <= error2:
                 out.append(b)
                 break
             if turn < ROUNDS:
@@ -111,6 +113,7 @@ def fit_arcs(arcs: DataFrame, tolerance: float) -> DataFrame:
             cubics = [[dict(zip(CUBIC, map(float, b.ravel()))) for b in f] for f in fitted]
             yield pa.RecordBatch.from_pydict({"image_id": image, "arc_id": arc, "cubics": cubics}, schema=arrow)
 
+    reach_workers(arcs.sparkSession)
     return arcs.select("image_id", "arc_id", "closed", "corners", "points").mapInArrow(run, schema)
 
 

@@ -64,55 +64,6 @@ def nearest_palette(px: DataFrame, palette: DataFrame) -> DataFrame:
     return px.join(matched, ["image_id", "r", "g", "b"]).select(*px.columns, "color_idx")
 
 
-def kmeans_step(hist: DataFrame, centers: DataFrame) -> DataFrame:
-    """One assignment and centre move over a colour histogram: (image_id, color_idx, n, r, g, b, sse).
-
-    ``centers`` has real-valued r, g, b. A centre without pixels stays. Sums are of integers, so
-    they don't depend on the order of rows.
-    """
-    near = hist.join(palette_array(centers), "image_id")
-    best = F.array_min(F.transform("colors", lambda p: F.struct(distance2("r", "g", "b", p).alias("d"), p["color_idx"].alias("k"))))
-    moved = near.withColumn("m", best).groupBy("image_id", F.col("m.k").alias("color_idx")).agg(
-        F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(f"s{c}") for c in "rgb"], F.sum(F.col("m.d") * F.col("n")).alias("sse"))
-    out = centers.join(moved, ["image_id", "color_idx"], "left")
-    return out.select("image_id", "color_idx", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(F.col(f"s{c}") / F.col("n"), F.col(c)).alias(c) for c in "rgb"], F.coalesce("sse", F.lit(0.0)).alias("sse"))
-
-
-def farthest_pixel(px: DataFrame, centers: DataFrame) -> DataFrame:
-    """(image_id, p, d): the pixel farthest from its nearest centre; the first in raster order of equal ones."""
-    near = px.join(palette_array(centers), "image_id")
-    d = F.array_min(F.transform("colors", lambda p: distance2("r", "g", "b", p)))
-    return near.select("image_id", ordinal().alias("p"), d.alias("d")).groupBy("image_id").agg(F.max(F.struct("d", (-F.col("p")).alias("q"))).alias("m")).select("image_id", (-F.col("m.q")).alias("p"), F.col("m.d").alias("d"))
-
-
-def pixels_near(px: DataFrame, r: float, g: float, b: float, radius: float = NEAR, cap: int = NEAR_CAP) -> DataFrame:
-    """Pixels within a radius of a colour, every ceil(n / cap)-th in raster order."""
-    d = (F.col("r") - r) ** 2 + (F.col("g") - g) ** 2 + (F.col("b") - b) ** 2
-    near = px.where(d <= radius * radius)
-    rows = near.groupBy("image_id", "y").agg(F.count("*").alias("c"))
-    rows = rows.select("image_id", "y", (F.sum("c").over(W.partitionBy("image_id").orderBy("y")) - F.col("c")).alias("start"), F.sum("c").over(W.partitionBy("image_id")).alias("n"))
-    inside = F.row_number().over(W.partitionBy("image_id", "y").orderBy("x")) - 1
-    step = F.greatest(F.lit(1), F.ceil(F.col("n") / cap))
-    placed = near.join(rows, ["image_id", "y"]).withColumn("o", F.col("start") + inside).withColumn("step", step)
-    return placed.where(F.col("o") % F.col("step") == 0).select(*px.columns)
-
-
-def blend_colors(palette: DataFrame, tol: float = BLEND) -> DataFrame:
-    """Add ``blend``: the colour lies within ``tol`` of a segment between two other colours of its palette."""
-    pairs = palette.join(palette_array(palette), "image_id")
-
-    def on_segment(p, q):
-        ax, ay, az = (q[c] - p[c] for c in "rgb")
-        dx, dy, dz = (F.col(c) - p[c] for c in "rgb")
-        len2 = ax * ax + ay * ay + az * az
-        t = F.when(len2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dx * ax + dy * ay + dz * az) / F.when(len2 == 0, 1).otherwise(len2))))
-        ex, ey, ez = dx - t * ax, dy - t * ay, dz - t * az
-        return (p["color_idx"] < q["color_idx"]) & (p["color_idx"] != F.col("color_idx")) & (q["color_idx"] != F.col("color_idx")) & (ex * ex + ey * ey + ez * ez < tol * tol)
-
-    hit = F.exists("colors", lambda p: F.exists("colors", lambda q: on_segment(p, q)))
-    return pairs.select("image_id", "color_idx", "r", "g", "b", hit.alias("blend"))
-
-
 def mulberry32(seed: int):
     """The public generator of that name: numbers in [0, 1) from a 32-bit counter. Its constants are fixed values."""
     state = seed & 0xFFFFFFFF
@@ -131,7 +82,7 @@ def _gap2(p: Column, q: Column) -> Column:
     return (p["r"] - q["r"]) * (p["r"] - q["r"]) + (p["g"] - q["g"]) * (p["g"] - q["g"]) + (p["b"] - q["b"]) * (p["b"] - q["b"])
 
 
-def _center(k, r, g, b, n=None, sse=None) -> Column:
+def center(k, r, g, b, n=None, sse=None) -> Column:
     kinds = {"color_idx": (k, "int"), "r": (r, "double"), "g": (g, "double"), "b": (b, "double"), "n": (n if n is not None else F.lit(0), "long"), "sse": (sse if sse is not None else F.lit(0), "double")}
     return F.struct(*[v.cast(kind).alias(name) for name, (v, kind) in kinds.items()])
 
@@ -145,12 +96,12 @@ def add_seed(sample: DataFrame, state: DataFrame | None, u: float) -> DataFrame:
     line = W.partitionBy("image_id").orderBy("i")
     if state is None:
         placed = sample.withColumn("at", F.floor(u * F.count("*").over(W.partitionBy("image_id"))))
-        return placed.where("i = at").select("image_id", F.array(_center(F.lit(0), F.col("r"), F.col("g"), F.col("b"))).alias("colors"))
+        return placed.where("i = at").select("image_id", F.array(center(F.lit(0), F.col("r"), F.col("g"), F.col("b"))).alias("colors"))
     d2 = F.array_min(F.transform("colors", lambda p: distance2("r", "g", "b", p)))
     run = sample.join(state, "image_id").withColumn("d2", d2).withColumn("sum", F.sum("d2").over(line)).withColumn("all", F.sum("d2").over(W.partitionBy("image_id")))
     here = F.struct(F.when(F.col("sum") >= u * F.col("all"), F.col("i")).otherwise(F.lit(1 << 40) - F.col("i")).alias("order"), "r", "g", "b")
     found = run.groupBy("image_id").agg(F.min(here).alias("m"), F.first("colors").alias("colors"))
-    return found.select("image_id", F.concat("colors", F.array(_center(F.size("colors"), *[F.col(f"m.{c}") for c in "rgb"]))).alias("colors"))
+    return found.select("image_id", F.concat("colors", F.array(center(F.size("colors"), *[F.col(f"m.{c}") for c in "rgb"]))).alias("colors"))
 
 
 def lloyd(hist: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
@@ -169,7 +120,7 @@ def lloyd(hist: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
 
         def move(c):
             t = F.element_at("t", c["color_idx"])
-            return _center(c["color_idx"], *[F.coalesce(t[x] / t["n"], c[x]) for x in "rgb"], F.coalesce(t["n"], F.lit(0)), F.coalesce(t["sse"], F.lit(0.0)))
+            return center(c["color_idx"], *[F.coalesce(t[x] / t["n"], c[x]) for x in "rgb"], F.coalesce(t["n"], F.lit(0)), F.coalesce(t["sse"], F.lit(0.0)))
 
         state = moved.select("image_id", F.transform("colors", move).alias("colors"))
         if k % 5 == 4 or k == rounds - 1:
@@ -189,17 +140,30 @@ def live_centers(colors: Column) -> Column:
     return F.aggregate(colors, F.filter(colors, lambda c: F.lit(False)), add)
 
 
-def _is_blend(p: Column, live: Column) -> Column:
+def is_blend(p: Column, live: Column, tol: float = BLEND) -> Column:
+    """The colour lies within ``tol`` of a segment between two of the colours ``live``."""
+
     def between(x, y):
         ax, ay, az = (y[c] - x[c] for c in "rgb")
         dx, dy, dz = (p[c] - x[c] for c in "rgb")
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dx * ax + dy * ay + dz * az) / F.greatest(F.lit(1e-12), ax * ax + ay * ay + az * az)))
         ex, ey, ez = dx - t * ax, dy - t * ay, dz - t * az
-        return (x["color_idx"] < y["color_idx"]) & (ex * ex + ey * ey + ez * ez < BLEND * BLEND)
+        return (x["color_idx"] < y["color_idx"]) & (ex * ex + ey * ey + ez * ez < tol * tol)
 
     return F.exists(live, lambda x: F.exists(live, lambda y: between(x, y)))
 
 
+def first_places(px: DataFrame) -> DataFrame:
+    """(image_id, r, g, b, i): distinct colours of an image and the first place of each."""
+    return px.groupBy("image_id", "r", "g", "b").agg(F.min(ordinal()).alias("i"))
+
+
+def farthest_color(colors: DataFrame, live: DataFrame) -> DataFrame:
+    """(image_id, far): the colour farthest from its nearest live centre, the first in raster order of equal ones; ``far.i`` is the negative place."""
+    d = F.array_min(F.transform("live", lambda p: distance2("r", "g", "b", p)))
+    return colors.join(live, "image_id").groupBy("image_id").agg(F.max(F.struct(d.alias("d"), (-F.col("i")).alias("i"), "r", "g", "b")).alias("far"))
+
+
 def reseed(state: DataFrame, colors: DataFrame) -> DataFrame:
     """(image_id, colors, added): dead centres replaced, in order, by the colours farthest from the live ones.
 
@@ -212,12 +176,10 @@ def reseed(state: DataFrame, colors: DataFrame) -> DataFrame:
     st = cut(st)
     while st.where(F.size("dead") > 0).limit(1).count():
         open_ = st.where(F.size("dead") > 0)
-        d = F.array_min(F.transform("live", lambda p: distance2("r", "g", "b", p)))
-        far = colors.join(open_.select("image_id", "live"), "image_id").groupBy("image_id").agg(F.max(F.struct(d.alias("d"), (-F.col("i")).alias("i"), "r", "g", "b")).alias("far"))
-        one = open_.join(far, "image_id")
+        one = open_.join(farthest_color(colors, open_.select("image_id", "live")), "image_id")
         p = F.col("far")
-        new = _center(F.get("dead", F.lit(0)), p["r"], p["g"], p["b"])
-        one = one.withColumn("new", new).withColumn("ok", (p["d"] >= DEAD * DEAD) & ~_is_blend(p, F.col("live")))
+        new = center(F.get("dead", F.lit(0)), p["r"], p["g"], p["b"])
+        one = one.withColumn("new", new).withColumn("ok", (p["d"] >= DEAD * DEAD) & ~is_blend(p, F.col("live")))
         put = F.transform("colors", lambda c: F.when(F.col("ok") & (c["color_idx"] == F.col("new.color_idx")), F.col("new")).otherwise(c))
         grown = lambda c: F.when(F.col("ok"), F.concat(c, F.array("new"))).otherwise(F.col(c))
         rest = F.when(F.col("ok"), F.slice("dead", F.lit(2), F.greatest(F.lit(0), F.size("dead") - 1))).otherwise(F.slice("dead", F.lit(1), F.lit(0)))
@@ -226,14 +188,14 @@ def reseed(state: DataFrame, colors: DataFrame) -> DataFrame:
     return st.select("image_id", "colors", "added")
 
 
-def near_samples(px: DataFrame, added: DataFrame) -> DataFrame:
-    """(image_id, r, g, b, n): pixels near each added centre, every k-th in raster order so that NEAR_CAP at most remain."""
-    near = px.join(added.select("image_id", F.explode("added").alias("c")), "image_id").where(distance2("r", "g", "b", F.col("c")) <= NEAR * NEAR)
+def near_samples(px: DataFrame, added: DataFrame, radius: float = NEAR, cap: int = NEAR_CAP) -> DataFrame:
+    """(image_id, r, g, b, n): pixels near each added centre, every k-th in raster order so that ``cap`` at most remain."""
+    near = px.join(added.select("image_id", F.explode("added").alias("c")), "image_id").where(distance2("r", "g", "b", F.col("c")) <= radius * radius)
     near = near.withColumn("k", F.col("c.color_idx"))
     rows = near.groupBy("image_id", "k", "y").agg(F.count("*").alias("c"))
     rows = rows.select("image_id", "k", "y", (F.sum("c").over(W.partitionBy("image_id", "k").orderBy("y")) - F.col("c")).alias("start"), F.sum("c").over(W.partitionBy("image_id", "k")).alias("n"))
     inside = F.row_number().over(W.partitionBy("image_id", "k", "y").orderBy("x")) - 1
-    step = F.greatest(F.lit(1), F.ceil(F.col("n") / NEAR_CAP))
+    step = F.greatest(F.lit(1), F.ceil(F.col("n") / cap))
     placed = near.drop("c").join(rows, ["image_id", "k", "y"]).withColumn("o", F.col("start") + inside).withColumn("step", step)
     return placed.where(F.col("o") % F.col("step") == 0).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
 
@@ -263,7 +225,7 @@ def estimate_palette(px: DataFrame, k: int | str = "auto") -> DataFrame:
     """
     sample = cut(stride_sample(flat_interior(px)).select("image_id", F.col("i").cast("long").alias("i"), "r", "g", "b"))
     hist = cut(sample.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n")))
-    colors = cut(px.groupBy("image_id", "r", "g", "b").agg(F.min(ordinal()).alias("i")))
+    colors = cut(first_places(px))
     draw, seeds, found = mulberry32(SEED), None, None
     counts = range(2, 17) if k == "auto" else [min(16, max(2, int(k)))]
     drawn = 0

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rasterloom.functions.numeric import half_up, u8
 
-# Luma weights; grid, basis size and acceptance windows of the illumination fit.
+# Luma weights; grid, basis size, acceptance windows and least pivot of the illumination fit.
 LUMA = (0.2126, 0.7152, 0.0722)
-GRID, BASIS, WINDOWS = 32, 6, (40, 30, 25, 25)
+GRID, BASIS, WINDOWS, PIVOT = 32, 6, (40, 30, 25, 25), 1e-9
 
 
 def luma(r="r", g="g", b="b") -> Column:
@@ -46,14 +44,23 @@ def box_widths(sigma: float, n: int = 3) -> list[int]:
 
 
 def box_pass(px: DataFrame, radius: int, along: str) -> DataFrame:
-    """Sliding mean of width 2 radius + 1 with replicated edges, stored as 32-bit floats."""
+    """Sliding mean of width 2 radius + 1 with replicated edges, stored as 32-bit floats.
+
+    A mean is the difference of two running sums, so the work does not grow with the radius; sums
+    of bytes or 32-bit floats of a line are exact in doubles.
+    """
     other, size = ("y", "width") if along == "x" else ("x", "height")
     line = W.partitionBy("image_id", other).orderBy(along)
-    frame, whole = line.rowsBetween(-radius, radius), line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    run = px.select("image_id", "width", "height", "y", "x", *[e for c in "rgb" for e in (F.col(c).cast("double").alias(c), F.sum(F.col(c).cast("double")).over(line.rowsBetween(W.unboundedPreceding, 0)).alias(f"s{c}"))])
     before = F.greatest(F.lit(0), radius - F.col(along))
     after = F.greatest(F.lit(0), F.col(along) + radius - (F.col(size) - 1))
-    v = lambda c: F.col(c).cast("double")
-    return with_channels(px, lambda c: ((F.sum(v(c)).over(frame) + before * F.first(v(c)).over(whole) + after * F.last(v(c)).over(whole)) / (2 * radius + 1)).cast("float"))
+
+    def mean(c):
+        upto, short = F.coalesce(F.lead(f"s{c}", radius).over(line), F.last(f"s{c}").over(whole)), F.coalesce(F.lag(f"s{c}", radius + 1).over(line), F.lit(0.0))
+        return ((upto - short + before * F.first(c).over(whole) + after * F.last(c).over(whole)) / (2 * radius + 1)).cast("float")
+
+    return with_channels(run, mean)
 
 
 def blur(px: DataFrame, sigma: float) -> DataFrame:
@@ -83,6 +90,31 @@ def basis(u, v) -> list:
     return [u * 0 + 1.0, u, v, u * u, u * v, v * v]
 
 
+def solve(sums: Column, n: int = BASIS) -> Column:
+    """Unknowns of n linear equations, given as n * n coefficients by rows and then n right sides; null where a pivot is under 1e-9.
+
+    Each step takes the row with the largest coefficient of the step's unknown, the first of
+    equal ones, and clears that unknown from all other rows.
+    """
+    rows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.slice(sums, i * n + 1, n), F.array(F.get(sums, n * n + i))))
+
+    def clear(state, k):
+        rows = state["rows"]
+        best = -F.array_max(F.transform(F.sequence(k, F.lit(n - 1)), lambda i: F.struct(F.abs(F.get(F.get(rows, i), k)).alias("size"), (-i).alias("i"))))["i"]
+        pivot = F.get(rows, best)
+
+        def row(r, i):
+            mine = F.when(i == best, F.get(rows, k)).otherwise(r)
+            cleared = F.zip_with(mine, pivot, lambda a, p: a - p * (F.get(mine, k) / F.get(pivot, k)))
+            return F.when(i == k, F.transform(pivot, lambda p: p / F.get(pivot, k))).otherwise(cleared)
+
+        ok = state["ok"] & (F.abs(F.get(pivot, k)) >= PIVOT)
+        return F.struct(F.when(ok, F.transform(rows, row)).otherwise(rows).alias("rows"), ok.alias("ok"))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.struct(rows.alias("rows"), F.lit(True).alias("ok")), clear)
+    return F.when(done["ok"], F.transform(done["rows"], lambda r: F.get(r, n)))
+
+
 def illumination(px: DataFrame) -> DataFrame:
     """(image_id, coef, mid): bi-quadratic surface through the modes near their median; only images that have one.
 
@@ -95,17 +127,9 @@ def illumination(px: DataFrame) -> DataFrame:
     f = basis(F.col("u"), F.col("v"))
     terms = [f[i] * f[k] for i in range(BASIS) for k in range(BASIS)] + [f[i] * F.col("m") for i in range(BASIS)]
 
-    @F.pandas_udf("array<double>")
-    def solve(sums: pd.Series) -> pd.Series:
-        def one(s):
-            a, b = np.array(s[: BASIS * BASIS]).reshape(BASIS, BASIS), np.array(s[BASIS * BASIS :])
-            return np.linalg.solve(a, b).tolist() if np.linalg.cond(a) < 1e12 else None
-
-        return sums.map(one)
-
     for window in WINDOWS:
         sums = cells.where(F.abs(F.col("m") - F.col("centre")) <= window).groupBy("image_id").agg(F.count("*").alias("used"), F.array(*[F.sum(t) for t in terms]).alias("sums"))
-        coef = sums.where(F.col("used") >= 3 * BASIS).select("image_id", solve("sums").alias("coef")).where("coef IS NOT NULL")
+        coef = sums.where(F.col("used") >= 3 * BASIS).select("image_id", solve(F.col("sums")).alias("coef")).where("coef IS NOT NULL")
         cells = cells.drop("coef").join(coef, "image_id").withColumn("centre", surface(F.col("u"), F.col("v")))
     found = cells.groupBy("image_id").agg(F.first("coef").alias("coef"))
     steps = [i / 8 - 0.5 for i in range(9)]

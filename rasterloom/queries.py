@@ -5,6 +5,7 @@ Queries return integers or text where engines could differ in the last bit of a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.numeric import centi, fmt_centi, half_up, hex_color
@@ -23,6 +24,13 @@ def fixed_palette(spark: SparkSession, images: int) -> DataFrame:
     return spark.range(images).select(F.col("id").alias("image_id")).crossJoin(F.broadcast(one))
 
 
+def _centers(spark: SparkSession, images: int) -> DataFrame:
+    """The fixed palette as centres of each image."""
+    c = lambda p, n: p[n].cast("double")
+    colors = F.transform("colors", lambda p: pal.center(p["color_idx"], *[c(p, n) for n in "rgb"]))
+    return pal.palette_array(fixed_palette(spark, images)).select("image_id", colors.alias("colors"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pal.nearest_palette(raster.raster_lineitem(spark, sf_dir), fixed_palette(spark, 3))
 
@@ -39,10 +47,6 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("image_id", "y", "x", (F.col("color_idx") == 3).cast("int").alias("m"))
 
 
-def _circle(spark: SparkSession) -> DataFrame:
-    return raster.render_shape(spark, 96, 96, lambda x, y: raster.inside_circle(x, y, 48, 48, 30), (200, 30, 30), (245, 245, 245))
-
-
 def _polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A polyline for each customer nation: points ordered by customer, coordinates from its balance."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -109,7 +113,15 @@ def queries() -> dict:
 
     @add
     def render_circle(s, d):
-        return raster.render_shape(s, 64, 64, lambda x, y: raster.inside_circle(x, y, 32, 32, 20), (200, 30, 30), (245, 245, 245)).select("y", "x", "r", "g", "b")
+        """A 16 x 16 raster for each supplier: by its key a circle, a ring or a turned square."""
+        k = F.col("k")
+        shapes = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("image_id"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.col("s_suppkey").alias("k"))
+        cx, cy, r = 6 + k % 5, 7 + k % 3, 3 + k % 4
+
+        def inside(x, y):
+            return F.when(k % 3 == 0, raster.inside_circle(x, y, cx, cy, r)).when(k % 3 == 1, raster.inside_ring(x, y, cx, cy, r, 1.25)).otherwise(raster.inside_square(x, y, cx, cy, r, 0.5))
+
+        return raster.render_shapes(shapes, inside, (200, 30, 30), (245, 245, 245)).select("image_id", "y", "x", "r", "g", "b")
 
     @add
     def scaled_dims(s, d):
@@ -172,20 +184,26 @@ def queries() -> dict:
 
     @add
     def kmeans_one_step(s, d):
-        out = pal.kmeans_step(pal.color_histogram(L(s, d)), fixed_palette(s, 3).select("image_id", "color_idx", *[F.col(c).cast("double").alias(c) for c in "rgb"]))
-        return out.select("image_id", "color_idx", F.col("n").cast("long").alias("n"), *[centi(F.col(c)).alias(c) for c in "rgb"], F.col("sse").cast("long").alias("sse"))
+        out = pal.lloyd(pal.color_histogram(L(s, d)), _centers(s, 3), 1).select("image_id", F.explode("colors").alias("c"))
+        return out.select("image_id", "c.color_idx", F.col("c.n").alias("n"), *[centi(F.col(f"c.{c}")).alias(c) for c in "rgb"], F.col("c.sse").cast("long").alias("sse"))
 
     @add
     def farthest_pixel(s, d):
-        return pal.farthest_pixel(L(s, d), fixed_palette(s, 3)).select("image_id", "p", F.col("d").cast("long").alias("d"))
+        found = pal.farthest_color(pal.first_places(L(s, d)), _centers(s, 3).withColumnRenamed("colors", "live"))
+        return found.select("image_id", (-F.col("far.i")).alias("p"), F.col("far.d").cast("long").alias("d"))
 
     @add
     def pixels_near(s, d):
-        return pal.pixels_near(L(s, d), 128, 128, 128, 60, 100).select("image_id", "y", "x", "r", "g", "b")
+        grey = F.array(pal.center(F.lit(0), F.lit(128), F.lit(128), F.lit(128)))
+        return pal.near_samples(L(s, d), s.range(3).select(F.col("id").alias("image_id"), grey.alias("added")), 60, 100)
 
     @add
     def blend_test(s, d):
-        return pal.blend_colors(_old_palette(s, d)[1], 20)
+        new = _old_palette(s, d)[1]
+        own = F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"])
+        rows = new.join(pal.palette_array(new), "image_id")
+        others = F.filter("colors", lambda c: c["color_idx"] != F.col("color_idx"))
+        return rows.select("image_id", "color_idx", "r", "g", "b", pal.is_blend(own, others, 20).alias("blend"))
 
     @add
     def row_runs(s, d):
@@ -288,7 +306,7 @@ def queries() -> dict:
 
     @add
     def despeckle(s, d):
-        return segment.region_sizes(segment.despeckle(_regions(s, d), 6))
+        return segment.region_sizes(segment.despeckle(_regions(s, d), 6)).withColumn("color_idx", F.col("color_idx").cast("int"))
 
     @add
     def gap_close(s, d):
@@ -388,8 +406,12 @@ def oracle_sql() -> dict[str, str]:
     q["raster_events"] = """WITH c AS (SELECT hour(ts) AS y, day(ts) - 1 AS x, least(255, 20 * count(*) FILTER (event_type = 'view')) AS r, least(255, 20 * count(*) FILTER (event_type = 'click')) AS g, least(255, 20 * count(*) FILTER (event_type = 'purchase')) AS b FROM events GROUP BY 1, 2)
 SELECT 0 AS image_id, 30 AS width, 24 AS height, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT y, x FROM range(24) a(y), range(30) b(x)) LEFT JOIN c USING (y, x)"""
     q["region_summary"] = f"WITH {COMP}, z AS (SELECT image_id, region, any_value(color_idx) AS color_idx, count(*) AS size FROM reg GROUP BY 1, 2) SELECT image_id, color_idx, count(*) AS n_regions, CAST(sum(size) AS BIGINT) AS n_pixels, max(size) AS largest FROM z GROUP BY 1, 2"
-    q["render_circle"] = f"""WITH a AS (SELECT y, x, avg(CAST((x + (sx + 0.5) / 8 - 32) * (x + (sx + 0.5) / 8 - 32) + (y + (sy + 0.5) / 8 - 32) * (y + (sy + 0.5) / 8 - 32) <= 400 AS INT)) AS a FROM range(64) p(y), range(64) q(x), range(8) u(sx), range(8) v(sy) GROUP BY 1, 2)
-SELECT y, x, {U8.format('200 * a + 245 * (1 - a)')} AS r, {U8.format('30 * a + 245 * (1 - a)')} AS g, {U8.format('30 * a + 245 * (1 - a)')} AS b FROM a"""
+    c, n = float(np.cos(-0.5)), float(np.sin(-0.5))
+    px0, py0 = "(x + (sx + 0.5::DOUBLE) / 8 - cx)", "(y + (sy + 0.5::DOUBLE) / 8 - cy)"
+    q["render_circle"] = f"""WITH k AS (SELECT s_suppkey AS k, 6 + s_suppkey % 5 AS cx, 7 + s_suppkey % 3 AS cy, 3 + s_suppkey % 4 AS r FROM supplier),
+a AS (SELECT k, y, x, sum(CAST(CASE k % 3 WHEN 0 THEN {px0} * {px0} + {py0} * {py0} <= r * r WHEN 1 THEN abs(sqrt({px0} * {px0} + {py0} * {py0}) - r) <= 1.25
+  ELSE abs({px0} * {c!r}::DOUBLE - {py0} * {n!r}::DOUBLE) <= r AND abs({px0} * {n!r}::DOUBLE + {py0} * {c!r}::DOUBLE) <= r END AS INT)) / 64.0::DOUBLE AS a FROM k, range(16) p(y), range(16) q(x), range(8) u(sx), range(8) v(sy) GROUP BY 1, 2, 3)
+SELECT k AS image_id, y, x, {U8.format('200 * a + 245 * (1 - a)')} AS r, {U8.format('30 * a + 245 * (1 - a)')} AS g, {U8.format('30 * a + 245 * (1 - a)')} AS b FROM a"""
     q["scaled_dims"] = """WITH p AS (SELECT p_partkey AS k, p_partkey * 37 % 6000 + 1 AS w, p_partkey * 91 % 5000 + 1 AS h, p_partkey % 3 + 1 AS u FROM part), s AS (SELECT *, least(1.0::DOUBLE, 4096.0::DOUBLE / greatest(w * u, h * u)) AS z FROM p)
 SELECT k, CAST(greatest(1, floor(w * u * z + 0.5)) AS INT) AS w, CAST(greatest(1, floor(h * u * z + 0.5)) AS INT) AS h FROM s"""
     q["levels"] = f"WITH {RL} SELECT {px} " + ", ".join(U8.format(f"({c} - 40) * 255.0::DOUBLE / 160") + f" AS {c}" for c in "rgb") + " FROM rl"
@@ -419,7 +441,7 @@ SELECT image_id, y, x, r, r AS g, r AS b FROM f JOIN s USING (image_id) WHERE fl
     q["kmeans_one_step"] = f"""WITH {LAB}, s AS (SELECT image_id, l.color_idx, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum((r-kr)*(r-kr)+(g-kg)*(g-kg)+(b-kb)*(b-kb)) AS sse FROM lab l JOIN {_PAL} ON k.color_idx = l.color_idx GROUP BY 1, 2)
 SELECT i AS image_id, k.color_idx, CAST(coalesce(n, 0) AS BIGINT) AS n, {', '.join(f"CAST(floor(coalesce(CAST(s{c} AS DOUBLE) / n, k{c}) * 100 + 0.5) AS BIGINT) AS {c}" for c in 'rgb')}, CAST(coalesce(sse, 0) AS BIGINT) AS sse FROM range(3) t(i) CROSS JOIN {_PAL} LEFT JOIN s ON s.image_id = i AND s.color_idx = k.color_idx"""
     q["farthest_pixel"] = f"WITH {LAB}, m AS (SELECT image_id, y * 48 + x AS p, min(dist) AS d FROM d GROUP BY image_id, y, x) SELECT image_id, arg_max(p, (d, -p)) AS p, max(d) AS d FROM m GROUP BY 1"
-    q["pixels_near"] = f"WITH {RL}, z AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS o, count(*) OVER (PARTITION BY image_id) AS n FROM rl WHERE (r-128)*(r-128)+(g-128)*(g-128)+(b-128)*(b-128) <= 3600) SELECT image_id, y, x, r, g, b FROM z WHERE o % greatest(1, CAST(ceil(n / 100.0) AS BIGINT)) = 0"
+    q["pixels_near"] = f"WITH {RL}, z AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS o, count(*) OVER (PARTITION BY image_id) AS n FROM rl WHERE (r-128)*(r-128)+(g-128)*(g-128)+(b-128)*(b-128) <= 3600) SELECT image_id, r, g, b, count(*) AS n FROM z WHERE o % greatest(1, CAST(ceil(n / 100.0) AS BIGINT)) = 0 GROUP BY ALL"
     q["blend_test"] = f"""WITH {OLD}, t AS (SELECT c.image_id, c.color_idx, least(1.0, greatest(0.0, ((c.r-p.r)*(q.r-p.r)+(c.g-p.g)*(q.g-p.g)+(c.b-p.b)*(q.b-p.b))::DOUBLE / ((q.r-p.r)*(q.r-p.r)+(q.g-p.g)*(q.g-p.g)+(q.b-p.b)*(q.b-p.b)))) AS t,
  c.r-p.r AS dx, c.g-p.g AS dy, c.b-p.b AS dz, q.r-p.r AS ax, q.g-p.g AS ay, q.b-p.b AS az FROM new c JOIN new p ON p.image_id = c.image_id AND p.color_idx <> c.color_idx JOIN new q ON q.image_id = c.image_id AND q.color_idx <> c.color_idx AND p.color_idx < q.color_idx),
 h AS (SELECT image_id, color_idx, max(CAST((dx-t*ax)*(dx-t*ax)+(dy-t*ay)*(dy-t*ay)+(dz-t*az)*(dz-t*az) < 400 AS INT)) AS hit FROM t GROUP BY 1, 2) SELECT n.*, coalesce(hit, 0) = 1 AS blend FROM new n LEFT JOIN h USING (image_id, color_idx)"""
@@ -482,6 +504,54 @@ u AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0, fx - floor(fx) AS ax, fy - flo
 f{t} AS (SELECT s.*, o.color_idx AS c, coalesce(m.m = 1 AND s.color_idx <> o.color_idx AND NOT s.flipped AND {near('kc')} <= 1.3::DOUBLE * {near('ko')}, false) AS flip FROM s{t} s JOIN e{t} m USING (image_id, y, x) LEFT JOIN od o ON o.image_id = s.image_id AND o.place = {t} AND o.place < o.k - 1 LEFT JOIN {_PAL.replace(') k(', ') kc(')} ON kc.color_idx = o.color_idx JOIN {_PAL.replace(') k(', ') ko(')} ON ko.color_idx = s.color_idx),
 s{t + 1} AS (SELECT image_id, y, x, r, g, b, CASE WHEN flip THEN c ELSE color_idx END AS color_idx, flipped OR flip AS flipped FROM f{t})"""
     q["gap_close"] = f"WITH {gap} SELECT image_id, y, x, CAST(color_idx AS INT) AS color_idx FROM s{len(COLORS) - 1}"
+    surface = lambda u, v, c="c": f"({c}[1] + {c}[2] * {u} + {c}[3] * {v} + {c}[4] * ({u}) * ({u}) + {c}[5] * ({u}) * ({v}) + {c}[6] * ({v}) * ({v}))"
+    fit_sql = f"""WITH {HIST}, s AS (SELECT image_id, g, cell_y, cell_x, b AS bin, sum(n) AS s FROM h, unnest(generate_series(greatest(0, bin - 2), least(255, bin + 2))) t(b) GROUP BY ALL),
+md AS (SELECT image_id, g, cell_y, cell_x, arg_max(bin, (s, -bin)) AS m FROM s GROUP BY ALL),
+w0 AS (SELECT image_id, (cell_x + 0.5::DOUBLE) / g - 0.5 AS u, (cell_y + 0.5::DOUBLE) / g - 0.5 AS v, CAST(m AS DOUBLE) AS m, list_sort(list(CAST(m AS DOUBLE)) OVER (PARTITION BY image_id))[count(*) OVER (PARTITION BY image_id) // 2 + 1] AS centre FROM md)"""
+    for p, window in enumerate(pre.WINDOWS):
+        base = ", ".join(f"sum(f[r] * f[{k}])" for k in range(1, 7))
+        fit_sql += f""", a{p} AS (SELECT image_id, [1.0::DOUBLE, u, v, u * u, u * v, v * v] AS f, m FROM w{p} WHERE abs(m - centre) <= {window}),
+x{p}_0 AS (SELECT image_id, r, 0 AS var, [{base}, sum(f[r] * m)] AS c FROM a{p}, range(1, 7) t(r) GROUP BY image_id, r HAVING count(*) >= 18)"""
+        for k in range(1, 7):
+            fit_sql += f""", p{p}_{k} AS (SELECT image_id, arg_max(r, (abs(c[{k}]), -r)) AS pr, arg_max(c, (abs(c[{k}]), -r)) AS pc FROM x{p}_{k - 1} WHERE var = 0 GROUP BY image_id),
+x{p}_{k} AS (SELECT image_id, r, CASE WHEN r = pr THEN {k} ELSE var END AS var, CASE WHEN r = pr THEN list_transform(pc, lambda x: x / pc[{k}]) ELSE list_transform(c, lambda x, i: x - pc[i] * (c[{k}] / pc[{k}])) END AS c FROM x{p}_{k - 1} JOIN p{p}_{k} USING (image_id) WHERE abs(pc[{k}]) >= 1e-9)"""
+        fit_sql += f""", k{p} AS (SELECT image_id, list(c[7] ORDER BY var) AS c FROM x{p}_6 GROUP BY image_id),
+w{p + 1} AS (SELECT w{p}.image_id, u, v, m, {surface("u", "v")} AS centre FROM w{p} JOIN k{p} USING (image_id))"""
+    last = len(pre.WINDOWS) - 1
+    probe = f"list_sort(list_transform(range(81), lambda i: {surface('((i % 9) / 8.0::DOUBLE - 0.5)', '((i // 9) / 8.0::DOUBLE - 0.5)')}))[41]"
+    fit_sql += f""", lit AS (SELECT image_id, c, {probe} AS mid FROM k{last}),
+ga AS (SELECT rl.*, mid, {surface("((x + 0.5::DOUBLE) / 48 - 0.5)", "((y + 0.5::DOUBLE) / 48 - 0.5)")} AS l FROM rl LEFT JOIN lit USING (image_id)),
+gn AS (SELECT *, CASE WHEN mid IS NULL OR mid <= 1 THEN 1.0::DOUBLE WHEN mid + (l - mid) * 1.0 <= 1 THEN 4.0::DOUBLE ELSE least(4.0::DOUBLE, greatest(0.25::DOUBLE, mid / (mid + (l - mid) * 1.0))) END AS gain FROM ga)"""
+    q["flatten"] = f"{fit_sql} SELECT {px} " + ", ".join(f"CAST(floor(CAST(CAST({c} * gain AS FLOAT) AS DOUBLE) * 100 + 0.5) AS BIGINT) AS {c}" for c in "rgb") + " FROM gn"
+    # Loops from their topmost edge, step by step; parts begin where the region across changes.
+    q["arcs"] = f"""WITH {EDGES}, st AS (SELECT a.image_id, a.region, a.edge_id, any_value(a.nbr) AS nbr, arg_max(b.edge_id, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0)) AS nxt FROM e a JOIN e b ON b.image_id = a.image_id AND b.region = a.region AND b.x0 = a.x1 AND b.y0 = a.y1 GROUP BY 1, 2, 3),
+lp(image_id, region, edge_id, least) USING KEY (image_id, region, edge_id) AS (SELECT image_id, region, edge_id, (edge_id % 2) * 1000000 + edge_id FROM e
+  UNION SELECT s.image_id, s.region, s.nxt, min(l.least) FROM lp l JOIN st s ON s.image_id = l.image_id AND s.region = l.region AND s.edge_id = l.edge_id JOIN recurring.lp o ON o.image_id = s.image_id AND o.region = s.region AND o.edge_id = s.nxt WHERE l.least < o.least GROUP BY 1, 2, 3),
+tops AS (SELECT DISTINCT image_id, region, least % 1000000 AS loop FROM lp),
+wk AS (SELECT image_id, region, loop, loop AS edge_id, 0 AS seq FROM tops UNION ALL SELECT w.image_id, w.region, w.loop, s.nxt, w.seq + 1 FROM wk w JOIN st s USING (image_id, region, edge_id) WHERE s.nxt <> w.loop),
+wn AS (SELECT wk.*, s.nbr, count(*) OVER l AS m, lag(s.nbr) OVER (PARTITION BY image_id, region, loop ORDER BY seq) AS bf, last_value(s.nbr) OVER (PARTITION BY image_id, region, loop ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ls FROM wk JOIN st s USING (image_id, region, edge_id) WINDOW l AS (PARTITION BY image_id, region, loop)),
+wc AS (SELECT *, CAST(nbr <> coalesce(bf, ls) AS INT) AS ch FROM wn),
+wp AS (SELECT *, (seq - coalesce(min(seq) FILTER (ch = 1) OVER (PARTITION BY image_id, region, loop), 0) + m) % m AS place FROM wc),
+wa AS (SELECT image_id, region, loop, edge_id, CAST(sum(ch) OVER (PARTITION BY image_id, region, loop ORDER BY place) AS BIGINT) AS part FROM wp),
+pt AS (SELECT image_id, region, loop, part, min(edge_id) AS arc_id FROM wa GROUP BY 1, 2, 3, 4),
+fp AS (SELECT image_id, region, min(y * 48 + x) AS first_pixel FROM reg GROUP BY 1, 2),
+ow AS (SELECT image_id, arc_id, min(first_pixel) AS owner FROM pt JOIN fp USING (image_id, region) GROUP BY 1, 2)
+SELECT image_id, region, CAST(first_pixel AS BIGINT) AS first_pixel, CAST(loop AS BIGINT) AS loop, part, CAST(arc_id AS BIGINT) AS arc_id, first_pixel <> owner AS reversed FROM pt JOIN fp USING (image_id, region) JOIN ow USING (image_id, arc_id)"""
+    # Despeckling: in each pass the small regions merge one after the other; lists hold what each region has become and its size.
+    speck = COMP + ", g0 AS (SELECT image_id, y, x, region FROM reg)"
+    for p in range(segment.PASSES):
+        speck += f""", z{p} AS (SELECT image_id, region, count(*) AS size, row_number() OVER (PARTITION BY image_id ORDER BY region) AS no FROM g{p} GROUP BY 1, 2),
+q{p} AS (SELECT image_id, y * 48 + x AS p, region AS a, lead(region) OVER (PARTITION BY image_id, y ORDER BY x) AS b, 0 AS k FROM g{p} UNION ALL SELECT image_id, y * 48 + x, region, lead(region) OVER (PARTITION BY image_id, x ORDER BY y), 1 FROM g{p}),
+b{p} AS (SELECT image_id, a AS small, b AS other, p * 4 + k * 2 AS f FROM q{p} WHERE a <> b UNION ALL SELECT image_id, b, a, p * 4 + k * 2 + 1 FROM q{p} WHERE a <> b),
+n{p} AS (SELECT b.image_id, small, other, count(*) AS n, min(f) AS f FROM b{p} b JOIN z{p} z ON z.image_id = b.image_id AND z.region = small WHERE z.size < 6 GROUP BY 1, 2, 3),
+t{p} AS (SELECT image_id, small, arg_max(other, (n, -f)) AS other, min(f) AS f FROM n{p} GROUP BY 1, 2),
+o{p} AS (SELECT t.image_id, a.no AS s, b.no AS o, row_number() OVER (PARTITION BY t.image_id ORDER BY t.f) AS i FROM t{p} t JOIN z{p} a ON a.image_id = t.image_id AND a.region = small JOIN z{p} b ON b.image_id = t.image_id AND b.region = other),
+m{p}(image_id, i, root, size) AS (SELECT image_id, 0::BIGINT, list(no ORDER BY no), list(size ORDER BY no) FROM z{p} GROUP BY 1
+  UNION ALL SELECT image_id, i, CASE WHEN go THEN list_transform(root, lambda v: CASE WHEN v = s THEN o ELSE v END) ELSE root END, CASE WHEN go THEN list_transform(size, lambda v, j: CASE WHEN j = o THEN v + size[s] ELSE v END) ELSE size END
+  FROM (SELECT m.image_id, x.i, root, size, root[x.s] AS s, root[x.o] AS o, root[x.s] <> root[x.o] AND size[root[x.s]] < 6 AS go FROM m{p} m JOIN o{p} x ON x.image_id = m.image_id AND x.i = m.i + 1)),
+l{p} AS (SELECT image_id, arg_max(root, i) AS root FROM m{p} GROUP BY 1),
+g{p + 1} AS (SELECT g.image_id, g.y, g.x, r.region FROM g{p} g JOIN z{p} z USING (image_id, region) JOIN l{p} l USING (image_id) JOIN z{p} r ON r.image_id = g.image_id AND r.no = l.root[z.no])"""
+    q["despeckle"] = f"WITH {speck} SELECT g.image_id, g.region, count(*) AS size, CAST(any_value(r.color_idx) AS INT) AS color_idx, CAST(min(g.y * 48 + g.x) AS BIGINT) AS first_pixel FROM g{segment.PASSES} g JOIN reg r ON r.image_id = g.image_id AND r.y * 48 + r.x = g.region GROUP BY 1, 2"
     q["compute_fit"] = """WITH v AS (SELECT p_partkey AS k, (p_partkey * 31 % 997 + 3)::DOUBLE AS iw, (p_partkey * 57 % 997 + 3)::DOUBLE AS ih, (p_partkey * 83 % 997 + 3)::DOUBLE AS cw, (p_partkey * 19 % 997 + 3)::DOUBLE AS ch FROM part), z AS (SELECT *, least(1.0::DOUBLE, cw / iw, ch / ih) AS zoom FROM v)
 SELECT k, CAST(floor(zoom * 100 + 0.5) AS BIGINT) AS zoom, CAST(floor((cw - iw * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_x, CAST(floor((ch - ih * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_y FROM z"""
     q["first_dirty_stage"] = f"WITH {JOBS} SELECT session, job_id, CASE WHEN lag(job_id) OVER w IS NULL OR image_fp IS DISTINCT FROM lag(image_fp) OVER w OR bp IS DISTINCT FROM lag(bp) OVER w THEN 'pre' WHEN cc IS DISTINCT FROM lag(cc) OVER w THEN 'palette' WHEN ds IS DISTINCT FROM lag(ds) OVER w THEN 'segment' ELSE 'fit' END AS stage FROM j WINDOW w AS (PARTITION BY session ORDER BY job_id)"

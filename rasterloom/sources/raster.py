@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.numeric import half_up, u8
+from rasterloom.functions.workers import reach_workers
 
 PIXEL = ("image_id", "width", "height", "y", "x", "r", "g", "b")
 MAX_SIDE = 4096
@@ -47,7 +48,7 @@ def raster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ints(px)
 
 
-def inside_circle(x: Column, y: Column, cx: float, cy: float, r: float) -> Column:
+def inside_circle(x: Column, y: Column, cx: Column | float, cy: Column | float, r: Column | float) -> Column:
     return (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r
 
 
@@ -61,13 +62,24 @@ def inside_square(x: Column, y: Column, cx: float, cy: float, half: float, angle
     return (F.abs(dx * c - dy * s) <= half) & (F.abs(dx * s + dy * c) <= half)
 
 
+def render_shapes(shapes: DataFrame, inside, fg=(0, 0, 0), bg=(255, 255, 255), ss: int = 8) -> DataFrame:
+    """Anti-aliased rasters, one for each row (image_id, width, height and what ``inside`` looks at).
+
+    ``inside`` is a predicate on (x, y) columns; a pixel's share is that of ss x ss samples, taken
+    where the pixel is made, without a shuffle.
+    """
+    cells = shapes.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    at = lambda p, s: F.col(p) + (s + 0.5) / ss
+    hits = F.transform(F.sequence(F.lit(0), F.lit(ss * ss - 1)), lambda s: inside(at("x", s % ss), at("y", F.floor(s / ss))).cast("int"))
+    share = F.aggregate(hits, F.lit(0), lambda a, v: a + v) / (ss * ss)
+    covered = cells.select("image_id", "width", "height", "y", "x", share.alias("a"))
+    return _ints(covered.select("image_id", "width", "height", "y", "x", *[u8(f * F.col("a") + b * (1 - F.col("a"))).alias(c) for c, f, b in zip("rgb", fg, bg)]))
+
+
 def render_shape(spark: SparkSession, width: int, height: int, inside, fg=(0, 0, 0), bg=(255, 255, 255), ss: int = 8, image_id: int = 0) -> DataFrame:
-    """Anti-aliased raster of a predicate on (x, y) columns, from ss x ss samples of each pixel."""
-    sub = spark.range(ss * ss).select((F.col("id") % ss).alias("sx"), (F.col("id") / ss).cast("int").alias("sy"))
-    at = lambda p, s: F.col(p) + (F.col(s) + 0.5) / ss
-    cover = grid(spark, width, height).crossJoin(F.broadcast(sub)).groupBy("y", "x").agg(F.avg(inside(at("x", "sx"), at("y", "sy")).cast("int")).alias("a"))
-    return _ints(cover.select(F.lit(image_id).alias("image_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), "y", "x",
-                              *[u8(f * F.col("a") + b * (1 - F.col("a"))).alias(c) for c, f, b in zip("rgb", fg, bg)]))
+    """One raster of ``render_shapes``."""
+    one = spark.range(1).select(F.lit(image_id).alias("image_id"), F.lit(width).alias("width"), F.lit(height).alias("height"))
+    return render_shapes(one, inside, fg, bg, ss)
 
 
 def scaled_dims(w: Column, h: Column, upscale: Column) -> tuple[Column, Column]:
@@ -99,6 +111,7 @@ def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     cols = [np.full(w, image_id, dtype=np.int64), *(np.full(w, v, dtype=np.int32) for v in (w, h, y)), np.arange(w, dtype=np.int32), bgr[y, :, 2], bgr[y, :, 1], bgr[y, :, 0]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
+    reach_workers(spark)
     keyed = src.select(F.xxhash64("origin").alias("image_id"), "height", "width", "nChannels", "data")
     return keyed.mapInArrow(run, "image_id long, " + ", ".join(f"{c} int" for c in PIXEL[1:]))
 
