@@ -24,6 +24,23 @@ def first_dirty_stage(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("stage", stage.otherwise("fit"))
 
 
+def debounced(changes: DataFrame, wait: int) -> DataFrame:
+    """(session, job_id, run_ms, ran, stage) of changes (session, job_id, ts, image_fp, options...).
+
+    A change runs ``wait`` milliseconds after it came unless the session's next one, by time and
+    job_id, comes before that; the stage of one that runs is the first that differs from the run
+    before.
+    """
+    w = W.partitionBy("session").orderBy("ms", "job_id")
+    placed = changes.withColumn("ms", F.unix_millis("ts"))
+    next_ms = F.lead("ms").over(w)
+    placed = placed.withColumn("ran", next_ms.isNull() | (next_ms - F.col("ms") >= wait))
+    # Jobs are compared in the order in which they run.
+    ranked = placed.where("ran").withColumn("job", F.col("job_id")).withColumn("job_id", F.row_number().over(w))
+    stages = first_dirty_stage(ranked).select("session", F.col("job").alias("job_id"), "stage")
+    return placed.join(stages, ["session", "job_id"], "left").select("session", "job_id", (F.col("ms") + wait).alias("run_ms"), "ran", "stage")
+
+
 def job_superseded(jobs: DataFrame) -> DataFrame:
     """Add ``superseded``: a later job of the session exists."""
     return jobs.withColumn("superseded", F.lead("job_id").over(W.partitionBy("session").orderBy("job_id")).isNotNull())

@@ -5,14 +5,17 @@ Queries return integers or text where engines could differ in the last bit of a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.numeric import centi, fmt_centi, half_up, hex_color
 from rasterloom.operators import boundary, corners, fit, jobs, palette as pal, pre, segment, svg
-from rasterloom.operators.graph import cut
+from rasterloom.operators.graph import cut, shared_folder
 from rasterloom.plans.vectorize import Options, vectorize
 from rasterloom.sources import raster
+from rasterloom.streaming import jobs as job_events
 
 #: Palette of the fixed-palette queries, darkest first.
 COLORS = ((20, 30, 40), (200, 40, 60), (60, 180, 90), (128, 128, 128), (250, 240, 230))
@@ -81,6 +84,17 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.floor(F.col("value") / 40).cast("long").alias("black_point"), F.col("event_type").alias("color_count"), F.floor(F.col("value") / 25).cast("long").alias("despeckle_size"))
 
 
+#: Milliseconds that a change of the events' sessions waits for the next one.
+CHANGE_WAIT = 6 * 3_600_000
+
+
+def _changes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as changes of options, a session for each user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
+    return e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").cast("long").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("user_id") / 7 + F.dayofmonth("ts") / 9).cast("string").alias("image_fp"),
+                    F.floor(F.col("value") / 60).cast("long").alias("black_point"), F.col("event_type").alias("color_count"), F.floor(F.col("value") / 25).cast("long").alias("despeckle_size"))
+
+
 def _old_palette(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     image, idx = F.floor(F.col("p_partkey") / 8).cast("long"), (F.col("p_partkey") % 8).cast("int")
@@ -300,6 +314,21 @@ def queries() -> dict:
     def job_superseded(s, d):
         return jobs.job_superseded(_jobs(s, d)).select("session", "job_id", "superseded")
 
+    @add
+    def job_debounce(s, d):
+        return jobs.debounced(_changes(s, d), CHANGE_WAIT)
+
+    @add
+    def job_stream(s, d):
+        """The same rule over the events as a stream, all that is there now; decided are changes whose time is over."""
+        # A stream's source is a folder or a pattern; this one matches the table alone.
+        source = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
+        out = f"{shared_folder(s)}/jobs-{uuid.uuid4().hex}"
+        with job_events.state_store(s):
+            rows = job_events.job_stream(_changes(s, d, source), CHANGE_WAIT)
+            rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+        return s.read.schema(rows.schema).parquet(f"{out}/rows")
+
     @add
     def kmeans_palette(s, d):
         return pal.estimate_palette(raster.raster_events(s, d), 4)
@@ -555,5 +584,10 @@ g{p + 1} AS (SELECT g.image_id, g.y, g.x, r.region FROM g{p} g JOIN z{p} z USING
     q["compute_fit"] = """WITH v AS (SELECT p_partkey AS k, (p_partkey * 31 % 997 + 3)::DOUBLE AS iw, (p_partkey * 57 % 997 + 3)::DOUBLE AS ih, (p_partkey * 83 % 997 + 3)::DOUBLE AS cw, (p_partkey * 19 % 997 + 3)::DOUBLE AS ch FROM part), z AS (SELECT *, least(1.0::DOUBLE, cw / iw, ch / ih) AS zoom FROM v)
 SELECT k, CAST(floor(zoom * 100 + 0.5) AS BIGINT) AS zoom, CAST(floor((cw - iw * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_x, CAST(floor((ch - ih * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_y FROM z"""
     q["first_dirty_stage"] = f"WITH {JOBS} SELECT session, job_id, CASE WHEN lag(job_id) OVER w IS NULL OR image_fp IS DISTINCT FROM lag(image_fp) OVER w OR bp IS DISTINCT FROM lag(bp) OVER w THEN 'pre' WHEN cc IS DISTINCT FROM lag(cc) OVER w THEN 'palette' WHEN ds IS DISTINCT FROM lag(ds) OVER w THEN 'segment' ELSE 'fit' END AS stage FROM j WINDOW w AS (PARTITION BY session ORDER BY job_id)"
+    q["job_debounce"] = f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS job_id, epoch_us(ts) // 1000 AS ms, floor(user_id / 7.0::DOUBLE + day(ts) / 9.0::DOUBLE) AS fp, floor(value / 60) AS bp, event_type AS cc, floor(value / 25) AS ds FROM events),
+r AS (SELECT *, coalesce(lead(ms) OVER w - ms >= {CHANGE_WAIT}, true) AS ran FROM c WINDOW w AS (PARTITION BY session ORDER BY ms, job_id)),
+s AS (SELECT session, job_id, CASE WHEN lag(job_id) OVER w IS NULL OR fp <> lag(fp) OVER w OR bp <> lag(bp) OVER w THEN 'pre' WHEN cc <> lag(cc) OVER w THEN 'palette' WHEN ds <> lag(ds) OVER w THEN 'segment' ELSE 'fit' END AS stage FROM r WHERE ran WINDOW w AS (PARTITION BY session ORDER BY ms, job_id))
+SELECT r.session, r.job_id, ms + {CHANGE_WAIT} AS run_ms, ran, stage FROM r LEFT JOIN s USING (session, job_id)"""
+    q["job_stream"] = q["job_debounce"] + f" WHERE ms + {CHANGE_WAIT} <= (SELECT max(ms) FROM c)"
     q["job_superseded"] = f"WITH {JOBS} SELECT session, job_id, lead(job_id) OVER (PARTITION BY session ORDER BY job_id) IS NOT NULL AS superseded FROM j"
     return q
