@@ -101,20 +101,21 @@ def fit_arc(points: np.ndarray, corners: list[int], closed: bool, tolerance: flo
     return [b for s, (t1, t2) in zip(spans, ends) for b in fit_chain(s, t1, t2, tolerance * tolerance)]
 
 
-def fit_arcs(arcs: DataFrame, tolerance: float) -> DataFrame:
+def fit_arcs(arcs: DataFrame, tolerance: float | Column) -> DataFrame:
     """(image_id, arc_id, cubics) of arcs with points, corners and closed; each arc is fitted once, whoever uses it."""
     schema = "image_id long, arc_id long, cubics array<struct<" + ", ".join(f"{c}: double" for c in CUBIC) + ">>"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
-            image, arc, closed, corners, points = (batch.column(i).to_pylist() for i in range(5))
-            fitted = [fit_arc(np.array([(q["x"], q["y"]) for q in p]).reshape(-1, 2), c, k, tolerance) for p, c, k in zip(points, corners, closed)]
+            image, arc, closed, corners, points, bound = (batch.column(i).to_pylist() for i in range(6))
+            fitted = [fit_arc(np.array([(q["x"], q["y"]) for q in p]).reshape(-1, 2), c, k, t) for p, c, k, t in zip(points, corners, closed, bound)]
             cubics = [[dict(zip(CUBIC, map(float, b.ravel()))) for b in f] for f in fitted]
             yield pa.RecordBatch.from_pydict({"image_id": image, "arc_id": arc, "cubics": cubics}, schema=arrow)
 
     reach_workers(arcs.sparkSession)
-    return arcs.select("image_id", "arc_id", "closed", "corners", "points").mapInArrow(run, schema)
+    bound = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
+    return arcs.select("image_id", "arc_id", "closed", "corners", "points", bound.cast("double").alias("tolerance")).mapInArrow(run, schema)
 
 
 def reverse_cubics(cubics: Column) -> Column:

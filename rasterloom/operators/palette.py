@@ -216,30 +216,36 @@ def fit_palettes(px: DataFrame, hist: DataFrame, colors: DataFrame, seeds: DataF
     return cut(done.unionByName(state))
 
 
-def estimate_palette(px: DataFrame, k: int | str = "auto") -> DataFrame:
+def estimate_palette(px: DataFrame, k: int | str | DataFrame = "auto") -> DataFrame:
     """(image_id, color_idx, r, g, b): k colours (2..16), or the fewest whose RMS distance is under 8, darkest first.
 
-    Seeds are drawn from a strided sample of flat pixels; centres move over the sample's colour
-    histogram, and repairs look at all colours of the image. All images go through each step
-    together; what is kept between steps is 16 centres of an image at most.
+    ``k`` is a number, 'auto', or rows (image_id, k) with a number or null, for auto, for each
+    image. Seeds are drawn from a strided sample of flat pixels; centres move over the sample's
+    colour histogram, and repairs look at all colours of the image. All images go through each
+    step together; what is kept between steps is 16 centres of an image at most.
     """
     sample = cut(stride_sample(flat_interior(px)).select("image_id", F.col("i").cast("long").alias("i"), "r", "g", "b"))
     hist = cut(sample.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n")))
     colors = cut(first_places(px))
-    draw, seeds, found = mulberry32(SEED), None, None
-    counts = range(2, 17) if k == "auto" else [min(16, max(2, int(k)))]
-    drawn = 0
-    for m in counts:
+    images = hist.select("image_id").distinct()
+    wanted = images.join(k, "image_id", "left") if isinstance(k, DataFrame) else images.withColumn("k", F.lit(None if k == "auto" else int(k)))
+    wanted = cut(wanted.select("image_id", F.when(F.col("k").isNotNull(), F.greatest(F.lit(2), F.least(F.lit(16), F.col("k")))).cast("int").alias("k")))
+    draw, seeds, found, drawn = mulberry32(SEED), None, None, 0
+    counts = sorted(r.k for r in wanted.select("k").distinct().collect() if r.k is not None)
+    auto = wanted.where("k IS NULL").limit(1).count() > 0
+    for m in range(2, 17) if auto else counts:
         while drawn < m:  # the draws of fewer centres are the first ones of more
             seeds, drawn = cut(add_seed(sample, seeds, draw())), drawn + 1
-        start = seeds if found is None else seeds.join(found.select("image_id"), "image_id", "left_anti")
-        fitted = fit_palettes(px, hist, colors, start)
+        open_ = wanted if found is None else wanted.join(found.select("image_id"), "image_id", "left_anti")
+        fitted = fit_palettes(px, hist, colors, seeds.join(open_.where((F.col("k") == m) | F.col("k").isNull()).select("image_id"), "image_id", "left_semi"))
         sums = lambda name: F.aggregate("colors", F.lit(0.0), lambda a, c: a + c[name])
-        if m != counts[-1]:
-            fitted = fitted.where(F.sqrt(sums("sse") / sums("n")) < RMS)
+        if auto and m < 16:
+            fitted = fitted.join(wanted, "image_id").where((F.col("k") == m) | (F.sqrt(sums("sse") / sums("n")) < RMS)).select("image_id", "colors")
         found = cut(fitted if found is None else found.unionByName(fitted))
-        if m == counts[-1] or seeds.join(found.select("image_id"), "image_id", "left_anti").limit(1).count() == 0:
+        if wanted.join(found.select("image_id"), "image_id", "left_anti").limit(1).count() == 0:
             break
     dark = F.transform("colors", lambda c: F.struct((3 * c["r"] + 6 * c["g"] + c["b"]).alias("w"), c["color_idx"].alias("k"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b")))
+    if found is None:  # no images
+        found = seeds if seeds is not None else add_seed(sample, None, 0.0)
     rows = found.select("image_id", F.posexplode(F.sort_array(dark)).alias("color_idx", "c"))
     return rows.select("image_id", F.col("color_idx").cast("int").alias("color_idx"), *[u8(F.col(f"c.{c}")).alias(c) for c in "rgb"])

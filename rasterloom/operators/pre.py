@@ -17,8 +17,8 @@ def luma(r="r", g="g", b="b") -> Column:
     return LUMA[0] * F.col(r) + LUMA[1] * F.col(g) + LUMA[2] * F.col(b)
 
 
-def with_channels(px: DataFrame, f) -> DataFrame:
-    return px.select("image_id", "width", "height", "y", "x", *[f(c).alias(c) for c in "rgb"])
+def with_channels(px: DataFrame, f, *kept: str) -> DataFrame:
+    return px.select("image_id", "width", "height", "y", "x", *kept, *[f(c).alias(c) for c in "rgb"])
 
 
 def saturation(px: DataFrame, s: float) -> DataFrame:
@@ -26,9 +26,9 @@ def saturation(px: DataFrame, s: float) -> DataFrame:
     return with_channels(px, lambda c: luma() + (F.col(c) - luma()) * s)
 
 
-def levels(px: DataFrame, black: float, white: float) -> DataFrame:
+def levels(px: DataFrame, black: float | Column, white: float | Column) -> DataFrame:
     """Stretch black..white to 0..255 and store as bytes; a white point not above black counts as black + 1."""
-    span = max(white, black + 1) - black
+    span = F.greatest(F.lit(white) if not isinstance(white, Column) else white, F.lit(1) + black) - black
     return with_channels(px, lambda c: u8((F.col(c) - black) * 255.0 / span))
 
 
@@ -144,7 +144,7 @@ def surface(u: Column, v: Column) -> Column:
     return out
 
 
-def flatten(px: DataFrame, strength: float) -> DataFrame:
+def flatten(px: DataFrame, strength: float | Column) -> DataFrame:
     """Divide out the illumination surface; gains lie in 1/4..4 and images without a surface stay."""
     lit = px.join(illumination(px), "image_id", "left")
     level = surface((F.col("x") + 0.5) / F.col("width") - 0.5, (F.col("y") + 0.5) / F.col("height") - 0.5)
@@ -162,3 +162,34 @@ def preprocess(px: DataFrame, flatten_strength: float = 0.0, blur_radius: float
     if blur_radius > 0:
         px = blur(px, blur_radius)
     return levels(saturation(px, saturate), black, white)
+
+
+def preprocess_each(px: DataFrame, options: DataFrame) -> DataFrame:
+    """``preprocess`` with each image's own options: rows (image_id, flatten, blur_radius, saturation, black_point, white_point).
+
+    Options are columns of the pixels; an image that a step does not touch passes by it. Blurs
+    run once for each list of box widths that some image asks for, of which there are a few tens
+    in the options' domain of 0 to 10.
+    """
+    names = ["flatten", "blur_radius", "saturation", "black_point", "white_point"]
+    fixed = ["image_id", "width", "height", "y", "x", "r", "g", "b"]
+    set_ = options.select("image_id", *[F.col(c).cast("double").alias(c) for c in names])
+    asked = set_.select("flatten", "blur_radius").distinct().collect()
+    if any(r.flatten > 0 for r in asked):
+        strong = set_.where("flatten > 0").select("image_id", F.col("flatten").alias("strength"))
+        flat = flatten(px.join(strong, "image_id"), F.col("strength"))
+        px = flat.unionByName(px.select(*fixed).join(strong, "image_id", "left_anti"))
+    widths: dict[tuple, set] = {}
+    for r in asked:
+        if r.blur_radius > 0:
+            widths.setdefault(tuple(box_widths(r.blur_radius)), set()).add(r.blur_radius)
+    if widths:
+        parts = [px.join(set_.where("blur_radius <= 0").select("image_id"), "image_id", "left_semi").select(*fixed)]
+        for radii in widths.values():
+            parts.append(blur(px.join(set_.where(F.col("blur_radius").isin(*radii)).select("image_id"), "image_id", "left_semi"), min(radii)))
+        px = parts[0]
+        for p in parts[1:]:
+            px = px.unionByName(p)
+    px = px.join(set_.select("image_id", F.col("saturation").alias("s"), "black_point", "white_point"), "image_id")
+    toned = with_channels(px, lambda c: luma() + (F.col(c) - luma()) * F.col("s"), "black_point", "white_point")
+    return levels(toned, F.col("black_point"), F.col("white_point"))

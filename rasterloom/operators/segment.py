@@ -149,16 +149,21 @@ def region_sizes(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id", "region").agg(F.count("*").alias("size"), F.min("color_idx").alias("color_idx"), F.min(ordinal()).alias("first_pixel"))
 
 
-def border_counts(px: DataFrame, least: int) -> DataFrame:
+def with_least(rows: DataFrame, least: int | DataFrame) -> DataFrame:
+    """Add ``least``, one number for all images or from rows (image_id, least)."""
+    return rows.join(least.select("image_id", "least"), "image_id") if isinstance(least, DataFrame) else rows.withColumn("least", F.lit(least))
+
+
+def border_counts(px: DataFrame, least: int | DataFrame) -> DataFrame:
     """(image_id, small, other, n, first): shared edges of regions under ``least`` pixels, and where the first was met."""
-    sizes = region_sizes(px).select("image_id", "region", "size")
+    sizes = with_least(region_sizes(px).select("image_id", "region", "size"), least)
     row, col = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
     near = px.select("image_id", ordinal().alias("p"), F.col("region").alias("a"), F.array(F.struct(F.lead("region").over(row).alias("b"), F.lit(0).alias("k")), F.struct(F.lead("region").over(col).alias("b"), F.lit(1).alias("k"))).alias("near"))
     edges = near.select("image_id", "p", "a", F.explode("near").alias("e")).where("e.b <> a")
     sides = F.array(F.struct(F.col("a").alias("small"), F.col("e.b").alias("other"), F.lit(0).alias("s")), F.struct(F.col("e.b").alias("small"), F.col("a").alias("other"), F.lit(1).alias("s")))
     flat = edges.select("image_id", "p", F.col("e.k").alias("k"), F.explode(sides).alias("v")).select("image_id", "v.small", "v.other", (F.col("p") * 4 + F.col("k") * 2 + F.col("v.s")).alias("at"))
     counted = flat.groupBy("image_id", "small", "other").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    return counted.join(sizes.withColumnRenamed("region", "small"), ["image_id", "small"]).where(F.col("size") < least).drop("size")
+    return counted.join(sizes.withColumnRenamed("region", "small"), ["image_id", "small"]).where("size < least").drop("size", "least")
 
 
 def despeckle_targets(borders: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def despeckle_targets(borders: DataFrame) -> DataFrame:
     return borders.groupBy("image_id", "small").agg(F.max_by("other", F.struct("n", -F.col("first"))).alias("other"), F.min("first").alias("first"))
 
 
-def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int | DataFrame) -> DataFrame:
     """(image_id, region, root) after each ``small`` region, in order of ``first``, went into its ``other``.
 
     A merge looks at what earlier ones left: both regions count as what they have become, and one
@@ -176,18 +181,18 @@ def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int) -> DataFram
     """
     size = lambda c, n: sizes.select("image_id", F.col("region").alias(c), F.col("size").alias(n))
     state = targets.join(size("small", "ns"), ["image_id", "small"]).join(size("other", "no"), ["image_id", "other"])
-    state = cut(state.select("image_id", "first", F.col("small").alias("s"), F.col("other").alias("o"), "ns", "no", F.lit(False).alias("done")))
-    open_ = lambda df: df.where(~F.col("done") & (F.col("s") != F.col("o")) & (F.col("ns") < least))
+    state = cut(with_least(state.select("image_id", "first", F.col("small").alias("s"), F.col("other").alias("o"), "ns", "no", F.lit(False).alias("done")), least))
+    open_ = lambda df: df.where("NOT done AND s <> o AND ns < least")
     while open_(state).limit(1).count():
         live = open_(state)
-        touched = live.select("image_id", "first", F.explode(F.when(F.col("no") < least, F.array("s", "o")).otherwise(F.array("s"))).alias("r")).groupBy("image_id", "r").agg(F.min("first").alias("m"))
+        touched = live.select("image_id", "first", F.explode(F.when(F.col("no") < F.col("least"), F.array("s", "o")).otherwise(F.array("s"))).alias("r")).groupBy("image_id", "r").agg(F.min("first").alias("m"))
         turn = lambda c: touched.select("image_id", F.col("r").alias(c), F.col("m").alias(f"m{c}"))  # noqa: B023, E731
         ready = live.join(turn("s"), ["image_id", "s"]).join(turn("o"), ["image_id", "o"], "left")
-        runs = cut(ready.where((F.col("first") == F.col("ms")) & ((F.col("no") >= least) | (F.col("first") == F.col("mo")))).select("image_id", "first", "s", "o", "ns", "no"))
+        runs = cut(ready.where("first = ms AND (no >= least OR first = mo)").select("image_id", "first", "s", "o", "ns", "no", "least"))
         gain = runs.groupBy("image_id", F.col("o").alias("r")).agg(F.sum("ns").alias("gain"))
         moved = runs.select("image_id", F.col("s").alias("r"), F.col("o").alias("to"), F.col("no").alias("nt"))
         # What a region has become, and its size, for either side of the merges that wait.
-        rest = state.join(runs.select("image_id", "first"), ["image_id", "first"], "left_anti").where(F.col("done") | ((F.col("s") != F.col("o")) & (F.col("ns") < least)))
+        rest = state.join(runs.select("image_id", "first"), ["image_id", "first"], "left_anti").where("done OR (s <> o AND ns < least)")
         for c, n in (("s", "ns"), ("o", "no")):
             rest = rest.join(moved.withColumnRenamed("r", c), ["image_id", c], "left")
             hit = F.col("to").isNotNull() if c == "o" else F.col("to").isNotNull() & ~F.col("done")
@@ -197,9 +202,9 @@ def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int) -> DataFram
     return state.where("done").select("image_id", F.col("s").alias("region"), F.col("o").alias("root"))
 
 
-def despeckle(px: DataFrame, least: int) -> DataFrame:
+def despeckle(px: DataFrame, least: int | DataFrame) -> DataFrame:
     """Merge regions under ``least`` pixels into their longest neighbour, up to 8 passes; see ``ordered_merges``."""
-    if least <= 1:
+    if not isinstance(least, DataFrame) and least <= 1:
         return px
     for _ in range(PASSES):
         targets = cut(despeckle_targets(border_counts(px, least)))

@@ -42,33 +42,43 @@ def background(paths: DataFrame) -> DataFrame:
     return paths.groupBy("image_id").agg(F.max_by("color_idx", F.struct("area", -F.col("first_pixel"))).alias("color_idx"))
 
 
-def fills(palette: DataFrame, overrides: list | None = None) -> DataFrame:
-    """(image_id, color_idx, fill): an override where one is given for the index, else the colour."""
-    given = F.array(*[F.lit(o).cast("string") for o in overrides or []]).cast("array<string>")
-    return palette.select("image_id", "color_idx", F.coalesce(F.get(given, F.col("color_idx")), hex_color(F.col("r"), F.col("g"), F.col("b"))).alias("fill"))
+def fill(overrides: Column) -> Column:
+    """A colour's override where one is given for its index, else its own value."""
+    return F.coalesce(F.get(overrides, F.col("color_idx")), hex_color(F.col("r"), F.col("g"), F.col("b")))
 
 
-def assemble(paths: DataFrame, palette: DataFrame, images: DataFrame, stacked: bool = False, merge: bool = True, transparent: bool = False, overrides: list | None = None) -> DataFrame:
+def assemble_flagged(paths: DataFrame, palette: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, svg, path_count) of paths (image_id, color_idx, area, first_pixel, d).
 
-    Largest first, equal areas by first pixel; stacked shapes in order of their first pixel.
+    ``images`` has image_id, width, height, and each image's own flags: stacked, merge,
+    transparent and overrides, an array of colours or null by index. Largest first, equal areas by
+    first pixel; stacked shapes in order of their first pixel, and neither merged nor dropped.
     """
-    items = paths
-    if not stacked:
-        if merge:
-            items = merge_by_color(paths)
-        if transparent:
-            items = items.join(background(paths), ["image_id", "color_idx"], "left_anti")
-    rule = "" if stacked else ' fill-rule="evenodd"'
-    text = F.concat(F.lit('<path fill="'), F.col("fill"), F.lit(f'"{rule} d="'), F.col("d"), F.lit('"/>'))
-    key = F.struct("first_pixel", F.lit(0.0).alias("k"), text.alias("t")) if stacked else F.struct((-F.col("area")).alias("k"), "first_pixel", text.alias("t"))
-    body = items.join(fills(palette, overrides), ["image_id", "color_idx"]).groupBy("image_id").agg(F.sort_array(F.collect_list(key)).alias("p"))
+    flags = ["stacked", "merge", "transparent"]
+    # A path that is not merged is a group of its own.
+    own = F.when(F.col("merge") & ~F.col("stacked"), F.lit(-1).cast("long")).otherwise(F.col("first_pixel"))
+    one = paths.join(images.select("image_id", *flags), "image_id").withColumn("own", own).groupBy("image_id", *flags, "own", "color_idx")
+    items = one.agg(F.sum("area").alias("area"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_pixel", "d"))), lambda p: p["d"]), "").alias("d"), F.min("first_pixel").alias("first_pixel"))
+    items = items.join(background(items).withColumnRenamed("color_idx", "bg"), "image_id")
+    items = items.where(F.col("stacked") | ~F.col("transparent") | (F.col("color_idx") != F.col("bg")))
+    fills = palette.join(images.select("image_id", "overrides"), "image_id").select("image_id", "color_idx", fill(F.col("overrides")).alias("fill"))
+    rule = F.when(F.col("stacked"), "").otherwise(' fill-rule="evenodd"')
+    text = F.concat(F.lit('<path fill="'), F.col("fill"), F.lit('"'), rule, F.lit(' d="'), F.col("d"), F.lit('"/>'))
+    key = F.struct(F.when(F.col("stacked"), 0.0).otherwise(-F.col("area")).alias("k"), "first_pixel", text.alias("t"))
+    body = items.join(fills, ["image_id", "color_idx"]).groupBy("image_id").agg(F.sort_array(F.collect_list(key)).alias("p"))
     out = images.join(body, "image_id", "left")
     lines = F.coalesce(F.array_join(F.transform("p", lambda v: v["t"]), "\n  "), F.lit(""))
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"), F.lit('">\n  '))
     return out.select("image_id", F.concat(head, lines, F.lit("\n</svg>\n")).alias("svg"), F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("path_count"))
 
 
+def assemble(paths: DataFrame, palette: DataFrame, images: DataFrame, stacked: bool = False, merge: bool = True, transparent: bool = False, overrides: list | None = None) -> DataFrame:
+    """``assemble_flagged`` with the same flags for all images."""
+    given = F.array(*[F.lit(o).cast("string") for o in overrides or []]).cast("array<string>")
+    flags = images.select("image_id", "width", "height", F.lit(stacked).alias("stacked"), F.lit(merge).alias("merge"), F.lit(transparent).alias("transparent"), given.alias("overrides"))
+    return assemble_flagged(paths, palette, flags)
+
+
 def with_size(svg: Column, width: Column, height: Column) -> Column:
     """The document with its size in pixels as attributes of its first tag."""
     size = F.concat(F.lit('<svg width="'), width.cast("string"), F.lit('" height="'), height.cast("string"), F.lit('" '))
