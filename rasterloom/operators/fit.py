@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -118,6 +118,28 @@ def fit_arcs(arcs: DataFrame, tolerance: float | Column) -> DataFrame:
     return arcs.select("image_id", "arc_id", "closed", "corners", "points", bound.cast("double").alias("tolerance")).mapInArrow(run, schema)
 
 
+CUBIC_ROW = "seq int, " + ", ".join(f"{c} double" for c in CUBIC)
+
+
+def register_fit(spark: SparkSession, name: str = "fit_curve") -> None:
+    """A table function for SQL: ``LATERAL fit_curve(points, corners, closed, tolerance)`` gives a row for each cubic of a polyline.
+
+    Points are an array of structs (x, y), corners an array of places. A null or shorter than two
+    points gives no rows.
+    """
+
+    class Curve:
+        def eval(self, points, corners, closed, tolerance):
+            if points is None or tolerance is None:
+                return
+            chain = fit_arc(np.array([(p["x"], p["y"]) for p in points], dtype=float).reshape(-1, 2), list(corners or []), bool(closed), float(tolerance))
+            for seq, b in enumerate(chain):
+                yield (seq, *map(float, b.ravel()))
+
+    reach_workers(spark)
+    spark.udtf.register(name, F.udtf(Curve, returnType=CUBIC_ROW))
+
+
 def reverse_cubics(cubics: Column) -> Column:
     """The same curve walked backwards, without arithmetic."""
     return F.reverse(F.transform(cubics, lambda c: F.struct(*[c[f].alias(t) for t, f in zip(CUBIC, ("x1", "y1", "c2x", "c2y", "c1x", "c1y", "x0", "y0"))])))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from rasterloom.operators.graph import cut, shared_folder
 
@@ -14,11 +16,14 @@ class StageStore:
 
     A unit is an image's content under the options that the stage and those before it look at; its
     key is a hash of both. Rows of a run count only if the run is in the index, which is written
-    last, so a run that fails leaves nothing behind that is read. Any session may use the folder.
+    last, so a run that fails leaves nothing behind that is read. Each run has folders of its own, so
+    any session may use the store, and several at once.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, progress: Callable[[str, dict], None] | None = None):
+        """``progress`` gets a stage's name and nothing when it begins, and the rows of its tables, counted as they are written, when it ends."""
         self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+        self.progress = progress or (lambda stage, rows: None)
 
     def _exists(self, path: str) -> bool:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,10 +44,14 @@ class StageStore:
         index = self.index(stage)
         missing = cut(units.join(index, "image_id", "left_anti"))
         if missing.limit(1).count():
-            run = uuid.uuid4().hex
+            run, rows = uuid.uuid4().hex, {}
+            self.progress(stage, {})
             for name, df in make(missing).items():
-                df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{self.folder}/{stage}/{name}")
-            missing.select("image_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{self.folder}/{stage}/index")
+                seen = Observation()
+                df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.folder}/{stage}/{name}/run={run}")
+                rows[name] = seen.get["rows"]
+            missing.select("image_id").write.parquet(f"{self.folder}/{stage}/index/run={run}")
+            self.progress(stage, rows)
             index = self.index(stage)
         wanted = index.join(units.select("image_id"), "image_id", "left_semi")
         return _Tables(self, stage, wanted)

@@ -8,11 +8,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from rasterloom.functions.numeric import centi, fmt_centi, half_up, hex_color
 from rasterloom.operators import boundary, corners, fit, jobs, palette as pal, pre, segment, svg
 from rasterloom.operators.graph import cut, shared_folder
+from rasterloom.plans import jobs as job_plans
 from rasterloom.plans.vectorize import Options, vectorize
 from rasterloom.sources import raster
 from rasterloom.streaming import jobs as job_events
@@ -95,6 +96,15 @@ def _changes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
                     F.floor(F.col("value") / 60).cast("long").alias("black_point"), F.col("event_type").alias("color_count"), F.floor(F.col("value") / 25).cast("long").alias("despeckle_size"))
 
 
+def _job_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each event, on the image of a vector, with a few options that vary."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = [f.split()[0] for f in job_plans.SCHEMA.split(",")]
+    varied = {"job_id": F.col("event_id"), "image_id": F.col("event_id") % 300, "color_count": F.col("user_id") % 3 + 2, "despeckle_size": F.floor(F.col("value") / 30), "smoothness": F.col("user_id") % 2 / 2, "black_point": F.col("user_id") % 5}
+    kinds = dict(f.split(" ", 1) for f in (x.strip() for x in job_plans.SCHEMA.split(",")))
+    return e.select(*[varied.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+
+
 def _old_palette(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     image, idx = F.floor(F.col("p_partkey") / 8).cast("long"), (F.col("p_partkey") % 8).cast("int")
@@ -263,8 +273,6 @@ def queries() -> dict:
     @add
     def first_pixel_order(s, d):
         sizes = segment.region_sizes(_regions(s, d))
-        from pyspark.sql import Window as W
-
         return sizes.select("image_id", "region", F.row_number().over(W.partitionBy("image_id").orderBy("first_pixel")).cast("long").alias("place"))
 
     @add
@@ -376,6 +384,19 @@ def queries() -> dict:
         walks = cut(boundary.traversals(boundary.trace(e), boundary.refined_edges(e, px, fixed_palette(s, 3))))
         return boundary.shared_arcs(walks, segment.region_sizes(px))[1]
 
+    @add
+    def stage_units(s, d):
+        """For each job the first one whose image's content and options so far agree with its own, stage by stage."""
+        keyed = job_plans.units(_job_options(s, d), raster.fingerprint(raster.raster_embeddings(s, d)))
+        firsts = [F.min("job_id").over(W.partitionBy(f"{stage}_unit")).alias(stage) for stage in job_plans.OWN]
+        return keyed.select("job_id", *firsts)
+
+    @add
+    def vectorize_many(s, d):
+        """Three jobs with options of their own over one raster."""
+        sets = [Options(color_count=4, despeckle_size=2), Options(color_count=4, despeckle_size=2, smoothness=1, optimize=False), Options(color_count=4, despeckle_size=5, stacked_shapes=True)]
+        return job_plans.vectorize_jobs(raster.raster_events(s, d), job_plans.job_rows(s, [(k, 0, o) for k, o in enumerate(sets)]))
+
     @add
     def vectorize_svg(s, d):
         return _vector_rows(vectorize(raster.raster_events(s, d), Options(color_count=4, despeckle_size=2)))
@@ -584,6 +605,9 @@ g{p + 1} AS (SELECT g.image_id, g.y, g.x, r.region FROM g{p} g JOIN z{p} z USING
     q["compute_fit"] = """WITH v AS (SELECT p_partkey AS k, (p_partkey * 31 % 997 + 3)::DOUBLE AS iw, (p_partkey * 57 % 997 + 3)::DOUBLE AS ih, (p_partkey * 83 % 997 + 3)::DOUBLE AS cw, (p_partkey * 19 % 997 + 3)::DOUBLE AS ch FROM part), z AS (SELECT *, least(1.0::DOUBLE, cw / iw, ch / ih) AS zoom FROM v)
 SELECT k, CAST(floor(zoom * 100 + 0.5) AS BIGINT) AS zoom, CAST(floor((cw - iw * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_x, CAST(floor((ch - ih * zoom) / 2 * 100 + 0.5) AS BIGINT) AS pan_y FROM z"""
     q["first_dirty_stage"] = f"WITH {JOBS} SELECT session, job_id, CASE WHEN lag(job_id) OVER w IS NULL OR image_fp IS DISTINCT FROM lag(image_fp) OVER w OR bp IS DISTINCT FROM lag(bp) OVER w THEN 'pre' WHEN cc IS DISTINCT FROM lag(cc) OVER w THEN 'palette' WHEN ds IS DISTINCT FROM lag(ds) OVER w THEN 'segment' ELSE 'fit' END AS stage FROM j WINDOW w AS (PARTITION BY session ORDER BY job_id)"
+    q["stage_units"] = "WITH z AS (" + q["raster_embeddings"] + """), f AS (SELECT image_id, string_agg(r * 65536 + g * 256 + b, ',' ORDER BY y, x) AS print FROM z GROUP BY 1),
+j AS (SELECT event_id AS job_id, print, user_id % 5 AS bp, user_id % 3 AS cc, floor(value / 30) AS ds, user_id % 2 AS sm FROM events JOIN f ON image_id = event_id % 300)
+SELECT job_id, min(job_id) OVER (PARTITION BY print, bp) AS pre, min(job_id) OVER (PARTITION BY print, bp, cc) AS palette, min(job_id) OVER (PARTITION BY print, bp, cc, ds) AS segment, min(job_id) OVER (PARTITION BY print, bp, cc, ds, sm) AS fit FROM j"""
     q["job_debounce"] = f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS job_id, epoch_us(ts) // 1000 AS ms, floor(user_id / 7.0::DOUBLE + day(ts) / 9.0::DOUBLE) AS fp, floor(value / 60) AS bp, event_type AS cc, floor(value / 25) AS ds FROM events),
 r AS (SELECT *, coalesce(lead(ms) OVER w - ms >= {CHANGE_WAIT}, true) AS ran FROM c WINDOW w AS (PARTITION BY session ORDER BY ms, job_id)),
 s AS (SELECT session, job_id, CASE WHEN lag(job_id) OVER w IS NULL OR fp <> lag(fp) OVER w OR bp <> lag(bp) OVER w THEN 'pre' WHEN cc <> lag(cc) OVER w THEN 'palette' WHEN ds <> lag(ds) OVER w THEN 'segment' ELSE 'fit' END AS stage FROM r WHERE ran WINDOW w AS (PARTITION BY session ORDER BY ms, job_id))

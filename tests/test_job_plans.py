@@ -1,5 +1,8 @@
 """Jobs with options of their own in one plan against a run for each, and stages that are not computed again."""
 
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import palette, segment
 from rasterloom.operators.graph import cut
 from rasterloom.plans.jobs import job_rows, units, vectorize_jobs
+from rasterloom.plans.runner import JobRunner, Superseded
 from rasterloom.plans.store import StageStore
 from rasterloom.plans.vectorize import Options, Vectorizer
 from rasterloom.sources.raster import fingerprint
@@ -82,3 +86,33 @@ def test_a_failed_run_leaves_nothing_to_read(spark, tmp_path):
     assert [r.v for r in made["a"].collect()] == [7, 7] and [r.v for r in made["b"].collect()] == [8, 8]
     more = store.results("x", wanted.union(spark.createDataFrame([(3,)], "image_id long")), lambda m: {"a": m.withColumn("v", F.lit(9)), "b": m.withColumn("v", F.lit(9))})
     assert sorted((r.image_id, r.v) for r in more["a"].collect()) == [(1, 7), (2, 7), (3, 9)]
+
+
+def test_a_newer_job_stops_an_older_one(spark, pictures, tmp_path):
+    told, slow_began = [], threading.Event()
+
+    def progress(session, number, stage, rows):
+        told.append((session, number, stage, dict(rows)))
+        slow_began.set()
+
+    @F.udf("int")
+    def slowly(v):
+        time.sleep(0.05)
+        return v
+
+    runner = JobRunner(spark, str(tmp_path / "stages"), progress)
+    slow = pictures.where("image_id = 3").withColumn("r", slowly("r"))  # over 30 seconds whenever it is read
+    old = runner.submit("s", slow, job_rows(spark, [(1, 3, SETS[0])]))
+    time.sleep(3)  # it is in its first Spark job
+    other = runner.submit("t", pictures, job_rows(spark, [(7, 4, SETS[3])]))
+    began = time.time()
+    new = runner.submit("s", pictures, job_rows(spark, [(2, 4, SETS[3])]))
+    with pytest.raises(Superseded):
+        old.result(timeout=25)
+    assert time.time() - began < 25
+    assert [r.job_id for r in new.result(timeout=240)] == [2] and [r.job_id for r in other.result(timeout=240)] == [7]
+    rows = {(n, stage): r for s, n, stage, r in told if s == "s" and r}
+    assert {stage for n, stage in rows if n == 2} <= {"pre", "palette", "segment", "fit"} and not any(n == 1 and stage == "fit" for n, stage in rows)
+    whole = [r for s, n, stage, r in told if stage == "pre" and r]
+    assert whole and all(r == {"pixels": 26 * 30} for r in whole)
+    runner.cancel("nobody")

@@ -94,3 +94,16 @@ def test_despeckle_absorbs_a_pixel(spark):
     assert segment.region_sizes(parts).count() == 2
     left = segment.region_sizes(segment.despeckle(parts, 4)).collect()
     assert [r["size"] for r in left] == [400]
+
+
+def test_fit_as_a_table_function(spark):
+    t = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    bend = [(float(i), 0.0) for i in range(21)] + [(20.0, float(i)) for i in range(1, 21)]
+    rows = [(0, 1, True, [], [(float(50 + 30 * np.cos(a)), float(50 + 30 * np.sin(a))) for a in t]), (0, 2, False, [20], bend), (0, 3, False, [], [(1.0, 1.0)]), (0, 4, False, None, None)]
+    df = spark.createDataFrame(rows, "image_id long, arc_id long, closed boolean, corners array<int>, points array<struct<x: double, y: double>>")
+    df.createOrReplaceTempView("polylines")
+    fit.register_fit(spark)
+    got = spark.sql("SELECT arc_id, q.* FROM polylines, LATERAL fit_curve(points, corners, closed, 0.5) q").collect()
+    found = {a: [tuple(r)[2:] for r in sorted((r for r in got if r.arc_id == a), key=lambda r: r.seq)] for a in {r.arc_id for r in got}}
+    want = {r.arc_id: [tuple(c) for c in r.cubics] for r in fit.fit_arcs(df.where("points IS NOT NULL"), 0.5).collect() if r.cubics}
+    assert found == want and set(want) == {1, 2}
