@@ -138,9 +138,10 @@ def test_secret_network_held_out():
     cases, y = secrets.labelled_findings(1000, seed=77)
     import numpy as np
 
-    p = net.probability(net.score(np.stack([secrets.window(*c) for c in cases])))
-    hit = np.array([v >= net.levels[secrets.shape_of(t[s:e])] for v, (t, s, e) in zip(p, cases)])
-    assert hit[y == 1].mean() > 0.93 and hit[y == 0].mean() < 0.1
+    z = secrets.span_scores(net, cases)
+    hit = np.array([v >= net.levels[secrets.shape_of(t[s:e])] for v, (t, s, e) in zip(z, cases)])
+    assert hit[y == 1].mean() > 0.95 and hit[y == 0].mean() < 0.02
+    p = net.probability(z)
     for low, high in ((0, 0.2), (0.8, 1.01)):  # probabilities mean what they say
         near = (p >= low) & (p < high)
         assert abs(y[near].mean() - p[near].mean()) < 0.1
