@@ -22,7 +22,10 @@ ENDS = {
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "caption", "legend", "summary"}
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+UNDISPLAYED = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Kinds of input whose value is shown.
+VALUED = frozenset(("", "text", "search", "email", "tel", "url", "number", "submit", "button", "reset"))
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: What may be inside head; any other tag, and text, ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -34,6 +37,8 @@ APART = frozenset("option optgroup text".split())
 GROUPS = frozenset("tbody thead tfoot colgroup form".split())
 # The columns and rows that a cell may take at most, as HTML has it.
 COLUMNS, ROWS = 1000, 65534
+#: Width of a line beyond which it does not widen its column, and how much longer than its text a table may become by aligning.
+WIDE, STRETCH = 60, 4
 
 
 class Node:
@@ -113,8 +118,30 @@ class TreeBuilder(HTMLParser):
 
 
 def visible(node: Node) -> bool:
+    """The node takes part in the layout."""
     a = node.attrs
-    return not (node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or INVISIBLE.search(a.get("style", "")))
+    return not (node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() not in VALUED) or UNDISPLAYED.search(a.get("style", "")))
+
+
+def prune(root: Node) -> None:
+    """Leave what is seen: no text where visibility is hidden, which what is inside may turn back on, and of closed details the summary alone."""
+    stack = [(root, True)]
+    while stack:
+        node, seen = stack.pop()
+        if node.tag == "details" and "open" not in node.attrs:
+            node.children = next(([c] for c in node.children if isinstance(c, Node) and c.tag == "summary"), [])
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                if seen:
+                    kept.append(c)
+            elif visible(c):
+                set_ = VISIBILITY.findall(c.attrs.get("style", ""))
+                own = set_[-1].lower() == "visible" if set_ else seen
+                if own or c.tag not in ("img", "input"):
+                    kept.append(c)
+                    stack.append((c, own))
+        node.children = kept
 
 
 def cell_width(s: str) -> int:
@@ -186,6 +213,8 @@ def render(children: list, out: Layout, nested: bool = False):
         elif child.tag == "img":
             if child.attrs.get("alt"):
                 out.text(child.attrs["alt"])
+        elif child.tag == "input":
+            out.text(f" {child.attrs.get('value', '')} ")
         elif child.tag == "pre":
             out.space()
             parts: list[str] = []
@@ -264,21 +293,22 @@ def render_table(node: Node, out: Layout):
     """Cells of a column start at the same column of text; a cell of several lines takes several rows.
 
     A cell that spans rows keeps its columns empty in the rows below, to the end of their group.
+    A line of over WIDE characters pushes what follows it aside and does not widen its column. A
+    table that would become over STRETCH times as long as its text is not aligned.
     """
     loose, found = table_parts(node)
     for child in loose:
         yield render([child], out)
     out.end_line()
     rows: list[dict[int, list[str]]] = []  # column -> lines of the cell that starts there
-    held: dict[int, int] = {}
-    last = None
-    for group, tr in found:
-        if group is not last:
-            held, last = {}, group
+    left = [0] * len(found)  # rows of a row's group from it on
+    for i in range(len(found) - 1, -1, -1):
+        left[i] = 1 + (left[i + 1] if i + 1 < len(found) and found[i + 1][0] is found[i][0] else 0)
+    held: list[tuple[int, int, int]] = []  # columns from, to, and the row before which they are free, in order
+    for i, (_, tr) in enumerate(found):
         cells: dict[int, list[str]] = {}
-        taken = {k for k, n in held.items() if n > 0}
-        held = {k: n - 1 for k, n in held.items() if n > 1}
-        at = 0
+        held = [h for h in held if h[2] > i]
+        new, at, k = [], 0, 0
         for c in tr.children:
             inner = Layout()
             if isinstance(c, str) or (c.tag not in ("td", "th") and visible(c)):
@@ -294,12 +324,15 @@ def render_table(node: Node, out: Layout):
                 height = min(ROWS, int(down) or ROWS) if re.fullmatch(r"[0-9]{1,9}", down) else 1
             else:
                 continue
-            while at in taken:
-                at += 1
+            while k < len(held) and held[k][0] <= at:
+                at = max(at, held[k][1])
+                k += 1
             if height > 1:
-                held |= dict.fromkeys(range(at, at + width), height - 1)
+                new.append((at, at + width, i + min(height, left[i])))
             cells[at] = lines
             at += width
+        if new:
+            held = joined(sorted(held + new))
         if any(cells.values()):
             rows.append(cells)
     # A column in which no cell starts is only spanned, and takes no room.
@@ -307,11 +340,33 @@ def render_table(node: Node, out: Layout):
     widths = dict.fromkeys(starts, 0)
     for r in rows:
         for k, lines in r.items():
-            widths[k] = max([widths[k], *map(cell_width, lines)])
+            widths[k] = max([widths[k], *(w for w in map(cell_width, lines) if w <= WIDE)])
+    place, at = {}, 0
+    for k in starts:
+        place[k] = at
+        at += widths[k] + 2
+    text = sum(len(s) for r in rows for lines in r.values() for s in lines)
+    aligned = sum(max((place[k] for k, lines in r.items() if i < len(lines)), default=0) for r in rows for i in range(max(map(len, r.values()))))
     for r in rows:
         for i in range(max(map(len, r.values()))):
-            parts = [(r[k][i] if k in r and i < len(r[k]) else "", widths[k]) for k in starts]
-            out.raw(["  ".join(s + " " * (w - cell_width(s)) for s, w in parts).rstrip()])
+            parts = [(k, lines[i]) for k, lines in sorted(r.items()) if i < len(lines) and lines[i]]
+            line, used = [], 0
+            for k, s in parts:
+                gap = max(place[k] - used, 2 if line else 0) if aligned <= STRETCH * text + 1000 else 2 if line else 0
+                line += [" " * gap, s]
+                used += gap + cell_width(s)
+            out.raw(["".join(line).rstrip()])
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in order, neighbours that end in the same row as one."""
+    out = [spans[0]]
+    for a, b, row in spans[1:]:
+        if a <= out[-1][1] and row == out[-1][2]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), row)
+        else:
+            out.append((a, b, row))
+    return out
 
 
 def html_to_text(html: str | None) -> str:
@@ -319,13 +374,19 @@ def html_to_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
+    prune(builder.root)
     out = Layout()
     run(render(builder.root.children, out))
     return "\n".join(out.done())
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, text, n_chars) of every whole page; repeated rows stay repeated, an empty table gives no rows."""
+    """(page_id, text, n_chars) of every whole page.
+
+    Null pages, empty ones and those without visible text give the empty string; very long pages
+    are read whole, in time that grows with their tags and cells. Repeated rows stay repeated, ids
+    may be null, an empty table gives no rows, and other columns are never read.
+    """
 
     def f(rows):
         texts = [html_to_text(h) for h in rows[html_col]]
