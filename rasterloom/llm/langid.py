@@ -13,6 +13,8 @@ TRAIN_DOCS = 3_000
 #: Of longer training texts the model also learns pieces of these lengths, as it has to know short texts too.
 PIECES, LONG = (40, 150, 2000), 400
 BUCKETS = 1 << 15
+#: Entries that are learnt of a text's bag, at most.
+MOST = 4096
 DIM = 16
 GRAMS = (1, 2, 3, 4)
 #: Characters hashed at a time, so that memory does not grow with a text's length.
@@ -92,11 +94,20 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, (total[at] / max(1, total.sum())).astype(np.float32)
 
 
+def learnt_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's bag, or of a larger one its MOST largest shares, scaled to the same sum."""
+    h, c = bag(text)
+    if len(h) <= MOST:
+        return h, c
+    top = np.sort(np.argpartition(-c, MOST)[:MOST])
+    return h[top], c[top] * np.float32(c.sum() / c[top].sum())
+
+
 def cases_of(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """What is learnt of a text: the whole of it, and of a long one a piece of each length of PIECES as well."""
     rng = np.random.default_rng(seed & 0x7FFFFFFF)
     cuts = [int(rng.integers(0, max(1, len(text) - n))) for n in PIECES] if len(text) >= LONG else []
-    return [bag(text)] + [b for n, k in zip(PIECES, cuts) if len((b := bag(text[k : k + n]))[0])]
+    return [learnt_bag(text)] + [b for n, k in zip(PIECES, cuts) if len((b := bag(text[k : k + n]))[0])]
 
 
 def fit_language(rows: list[tuple[str, bool, list]], epochs: int = 4, rate: float = 0.6, precision: float = 0.99, seed: int = 5) -> LangModel:
@@ -145,8 +156,8 @@ def fit_language(rows: list[tuple[str, bool, list]], epochs: int = 4, rate: floa
 def training_rows(train: DataFrame, id_col: str, text_col: str) -> list[tuple[str, bool, list]]:
     """(language, held, bags) of at most TRAIN_DOCS labelled texts with letters, made where the texts are.
 
-    A text's bags have BUCKETS entries at most, so what the driver gets is bounded whatever the
-    texts' lengths. A fifth of the rows, by a hash, is held for calibration.
+    A text's bag has MOST entries at most and its pieces are short, so what the driver gets is
+    bounded, to about 100 MB, whatever the texts' lengths. A fifth of the rows, by a hash, is held for calibration.
     """
     key = F.xxhash64(id_col, text_col, "lang").alias("key")
     known = train.where(F.col(text_col).isNotNull() & F.col("lang").isNotNull()).select(key, text_col, "lang")
