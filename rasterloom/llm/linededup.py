@@ -15,10 +15,10 @@ RARITY_BUCKETS = 1 << 16
 WIDE_WORDS = 64
 #: White space that parts tokens beside the space; the newline parts lines.
 OTHER_SPACES = "\t\x0b\x0c\r"
-#: Lines of one token that a task compares; those of more frequent tokens are dealt to several tasks.
+#: Lines of one token that a task holds; those of tokens with more are dealt to several tasks.
 TOKEN_ROWS = 1 << 15
-#: Bit of ``np`` that marks a row's own part.
-OWN = 1 << 31
+#: What a line's row of a token holds, and the places of a pair.
+COLUMNS, NAMES = ("doc", "line", "np", "sketch", "wide"), ("doc", "line", "y_doc", "y_line")
 #: Lines of a token with no more rows than this are all compared, whatever the earliest is like.
 SMALL_TOKEN = 16
 
@@ -125,7 +125,7 @@ def earlier(keyed: bool) -> Column:
 def _may_match(num: int, den: int) -> Column:
     """Length, positional and sketch filters on a pair x, y that shares a prefix token."""
     n, m = (F.shiftright(c, 32) for c in ("np", "y_np"))
-    pos, y_pos = (F.col(c).bitwiseAND(F.lit(OWN - 1)) for c in ("np", "y_np"))
+    pos, y_pos = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("np", "y_np"))
     need = F.expr(f"((shiftright(np, 32) + shiftright(y_np, 32)) * {num} + {num + den - 1}) div {num + den}")
     reach = F.least(n - pos, m - y_pos)
     both = F.col("sketch").bitwiseXOR(F.col("y_sketch"))
@@ -152,25 +152,59 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     return both.where(common_words * den >= union * num).select("doc", "line", "y_doc", "y_line")
 
 
-def token_rows(distinct: DataFrame, levels: list[int]) -> DataFrame:
-    """(token, place, np, sketch) of every prefix token of every line; np packs size, OWN and position.
-
-    The rows of a token that may have more than TOKEN_ROWS are dealt to several parts: each part
-    holds all of them, and those that are its own are the ones it finds matches for. Rows are
-    shuffled once, for the window and for both sides of the join.
-    """
+def token_rows(distinct: DataFrame) -> DataFrame:
+    """(token, place, np, sketch) of every prefix token of every line; np packs size and position."""
     rows = distinct.select("doc", "line", "n", "sketch", "wide", F.posexplode("prefix").alias("pos", "token"))
     # Columns that are known not to be null keep the plans below the exchange equal, so that it runs once.
     full = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     np = F.col("n").cast("long") * (1 << 32) + F.col("pos")
-    bound = F.pow(F.lit(2.0), level_of(levels, F.col("token").bitwiseAND(F.lit(RARITY_BUCKETS - 1))) / 2)
-    parts = F.coalesce(F.ceil(bound / TOKEN_ROWS).cast("int"), F.lit(1))
-    rows = rows.select(F.coalesce("token", F.lit(0)).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
-    rows = rows.select("*", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    own = F.when(F.pmod(F.xxhash64("doc", "line"), F.col("parts")) == F.col("part"), OWN).otherwise(0)
-    # One column for token and part, as rows are sorted faster by a single number.
-    dealt = full(F.col("token").cast("long") * (1 << 24) + F.col("part")).alias("token")
-    return rows.select(dealt, "doc", "line", full(F.col("np") + own).alias("np"), "sketch", "wide").repartition("token")
+    return rows.select(full(F.col("token").cast("long")).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
+
+
+def hot_tokens(rows: DataFrame, levels: list[int]) -> DataFrame | None:
+    """(token) of those with more than TOKEN_ROWS rows and more than a HOT_KEYS-th of all; fewer than HOT_KEYS, whatever the input.
+
+    A bucket of the rarity table bounds the rows of each token in it, so only those in buckets
+    that are large enough are counted one by one.
+    """
+    if 2 ** ((max(levels) + 1) / 2) <= TOKEN_ROWS:
+        return None
+    bound = F.pow(F.lit(2.0), (level_of(levels, F.col("token").bitwiseAND(F.lit(RARITY_BUCKETS - 1))) + 1) / 2)
+    counts = common.cut(rows.where(bound > TOKEN_ROWS).groupBy("token").count().where(F.col("count") > TOKEN_ROWS))
+    if counts.limit(1).count() == 0:
+        return None
+    least = max(TOKEN_ROWS, rows.count() // common.HOT_KEYS)
+    hot = common.cut(counts.where(F.col("count") > least).select("token"))
+    return hot if hot.limit(1).count() else None
+
+
+def other_side(rows: DataFrame) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"y_{c}") for c in COLUMNS])
+
+
+def earlier_partners(mine: DataFrame, rows: DataFrame, hot: DataFrame | None, num: int, den: int, keyed: bool) -> DataFrame:
+    """Pairs of ``mine`` with earlier ``rows`` of the same token that pass the filters.
+
+    Rows of a hot token meet in cells: by bands of sizes, as sizes that may match lie at most one
+    band apart, and in each band by parts of TOKEN_ROWS rows on either side.
+    """
+    ok = _may_match(num, den) & earlier(keyed)
+    theirs = other_side(rows)
+    if hot is None:
+        return mine.join(theirs, (mine["token"] == theirs["token"]) & ok)
+    hot = F.broadcast(hot)
+    a, b = mine.join(hot, "token", "left_anti"), theirs.join(hot, "token", "left_anti")
+    cold = a.join(b, (a["token"] == b["token"]) & ok).drop(b["token"])
+    band = lambda c: F.floor(F.log(F.shiftright(c, 32).cast("double")) / math.log(den / num) + 1e-9).cast("int")
+    a = mine.join(hot, "token", "left_semi").withColumn("band", F.explode(F.array(*[band("np") + k for k in (-1, 0, 1)])))
+    b = theirs.join(hot, "token", "left_semi").withColumn("band", band("y_np"))
+    cells = a.groupBy("token", "band").agg(F.ceil(F.count("*") / TOKEN_ROWS).cast("int").alias("ps")).join(b.groupBy("token", "band").agg(F.ceil(F.count("*") / TOKEN_ROWS).cast("int").alias("qs")), ["token", "band"])
+    cells = F.broadcast(common.cut(cells))  # a row for each hot token and band of sizes
+    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    a = a.join(cells, ["token", "band"]).withColumn("p", part("ps", "doc", "line")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).drop("ps", "qs")
+    b = b.join(cells, ["token", "band"]).withColumn("q", part("qs", "y_doc", "y_line")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).drop("ps", "qs")
+    met = a.join(b, ["token", "band", "p", "q"]).where(ok)
+    return cold.select(*NAMES, "sketch", "y_sketch").unionByName(met.select(*NAMES, "sketch", "y_sketch"))
 
 
 def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -183,18 +217,23 @@ def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[
     """
     levels = rarity_levels(lines)
     distinct = common.stored(line_prefixes(lines, levels, num, den, keyed), kept)
-    columns = ("doc", "line", "np", "sketch", "wide")
-    dealt = token_rows(distinct, levels)
-    names = ("doc", "line", "y_doc", "y_line")
+    every = token_rows(distinct)
+    hot = hot_tokens(every, levels)
+    names = NAMES
+    # Rows are shuffled once, for the window and for both sides of the join.
+    cold = (every if hot is None else every.join(F.broadcast(hot), "token", "left_anti")).repartition("token")
+    dealt = cold if hot is None else cold.unionByName(every.join(F.broadcast(hot), "token", "left_semi"))
     differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
-    own = F.col("np").bitwiseAND(F.lit(OWN)) != 0
-    headed = dealt.withColumn("h", F.min(F.struct(*columns)).over(W.partitionBy("token"))).withColumn("rows", F.count("*").over(W.partitionBy("token"))).where(own & (F.col("rows") > 1))
+    headed = cold.withColumn("h", F.min(F.struct(*COLUMNS)).over(W.partitionBy("token"))).withColumn("rows", F.count("*").over(W.partitionBy("token"))).where(F.col("rows") > 1)
+    if hot is not None:  # the earliest line of each hot token, without bringing its lines together
+        busy = every.join(F.broadcast(hot), "token", "left_semi")
+        heads = common.cut(busy.groupBy("token").agg(F.min(F.struct(*COLUMNS)).alias("h"), F.count("*").alias("rows")))
+        headed = headed.unionByName(busy.join(F.broadcast(heads), "token"))
     not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
-    tested = headed.select("token", "rows", *columns, *[F.col(f"h.{c}").alias(f"y_{c}") for c in columns]).where(not_head).withColumn("near", _may_match(num, den))
+    tested = headed.select("token", "rows", *COLUMNS, *[F.col(f"h.{c}").alias(f"y_{c}") for c in COLUMNS]).where(not_head).withColumn("near", _may_match(num, den))
     near = tested.where("near").select(*names, differ, (F.col("rows") > SMALL_TOKEN).alias("skipped"))
-    far = tested.where(f"rows > 2 AND (NOT near OR rows <= {SMALL_TOKEN})").select("token", *columns)
-    other = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
-    rest = far.join(other, (far["token"] == other["token"]) & _may_match(num, den) & earlier(keyed)).select(*names, differ, F.lit(False).alias("skipped"))
+    far = tested.where(f"rows > 2 AND (NOT near OR rows <= {SMALL_TOKEN})").select("token", *COLUMNS)
+    rest = earlier_partners(far, dealt, hot, num, den, keyed).select(*names, differ, F.lit(False).alias("skipped"))
     pairs = common.cut(near.union(rest).groupBy(*names).agg(F.min("differ").alias("differ"), F.max("skipped").alias("skipped")))
     texts = texts_of(pairs, lines, kept)
     # One match is enough to remove a line: its likeliest pair is verified first, the others where that fails.
@@ -208,10 +247,9 @@ def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[
     open_ = common.cut(tried.join(found, same_place(tried, found), "left_anti"))
     if open_.limit(1).count() == 0:
         return distinct, found
-    mine = dealt.where(own)
-    mine = common.cut(mine.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(mine, open_), "left_semi"))
-    theirs = dealt.select("token", *[F.col(c).alias(f"y_{c}") for c in columns]).where(common.bitmap(mine.select("token").distinct(), "token"))
-    again = mine.join(theirs, (mine["token"] == theirs["token"]) & _may_match(num, den) & earlier(keyed)).select(*names).distinct()
+    mine = common.cut(dealt.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(dealt, open_), "left_semi"))
+    theirs = dealt.where(common.bitmap(mine.select("token").distinct(), "token"))
+    again = earlier_partners(mine, theirs, hot, num, den, keyed).select(*names).distinct()
     again = common.cut(again.join(pairs, same_place(again, pairs, names), "left_anti"))
     return distinct, found.union(verified(again, texts_of(again, lines, kept), num, den).select("doc", "line")).distinct()
 

@@ -1,6 +1,9 @@
 """Line dedup of documents that have no id or share one."""
 
+import random
+
 import xxhash
+from pyspark.sql import functions as F
 
 from rasterloom.llm import linededup
 
@@ -30,3 +33,36 @@ def test_texts_of_one_id_whose_hashes_agree_in_31_bits(spark):
     found = dirty[low(clean)]
     out = deduped(spark, [(0, boiler), (1, found), (1, clean)])
     assert out == {(0, boiler): 0, (1, found.split("\n")[0]): 1, (1, clean): 0}
+
+
+def test_hot_tokens_are_dealt_to_cells(spark, monkeypatch):
+    """Lines of few words, so that each is in the prefix of a large share of them."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(14)}" for _ in range(rng.randrange(3, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(k, "\n".join(texts[5 * k : 5 * k + 5])) for k in range(100)], "doc_id long, text string")
+    plain = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    monkeypatch.setattr(linededup, "TOKEN_ROWS", 20)
+    dealt = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    from tests.llm.test_operators import brute_line_dedup
+
+    gone = brute_line_dedup([(r.doc_id, r.text) for r in df.collect()])
+    want = {k: "\n".join(t for n, t in enumerate(texts[5 * k : 5 * k + 5]) if (k, n) not in gone) for k in range(100)}
+    assert plain == want and dealt == want and len(gone) > 50
+
+
+def test_rare_tokens_of_crowded_buckets_are_not_copied(spark):
+    """A bucket that holds many tokens makes none of them hot; a token of many lines is split by size and part."""
+    levels = [127] * linededup.RARITY_BUCKETS  # every bucket says that its tokens may be frequent
+    schema = "token long, doc long, line long, np long, sketch long, wide long"
+    rare = spark.range(1000).select("id", F.col("id").alias("doc"), *[F.lit(0).cast("long").alias(c) for c in ("line", "np", "sketch", "wide")]).toDF(*[c.split()[0] for c in schema.split(", ")])
+    assert linededup.hot_tokens(rare, levels) is None
+    many = spark.range(200_000).select(F.lit(7).cast("long").alias("token"), F.col("id").alias("doc"), F.lit(0).cast("long").alias("line"), ((F.col("id") % 90 + 10) * (1 << 32)).alias("np"), F.lit(0).cast("long").alias("sketch"), F.lit(0).cast("long").alias("wide"))
+    hot = linededup.hot_tokens(many.unionByName(rare), levels)
+    assert [r.token for r in hot.collect()] == [7]
+    mine = many.where("doc % 1000 = 0")
+    met = linededup.earlier_partners(mine, many, hot, 4, 5, False)
+    # 200 rows go to three bands each; the 200,000 to their own band alone, as the few rows need no parts.
+    plan = met._jdf.queryExecution().toString()
+    assert "band" in plan and met.count() > 0
+    band = F.floor(F.log((F.col("doc") % 90 + 10).cast("double")) / F.log(F.lit(1.25)) + 1e-9)
+    assert many.groupBy(band.alias("b")).count().agg(F.max("count")).first()[0] < 60_000
