@@ -60,6 +60,19 @@ def palette_remap(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.select("image_id", "color_idx").join(won, ["image_id", "color_idx"], "left")
 
 
+def carry_overrides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(image_id, color_idx, override) of each image's new palette.
+
+    Where a palette keeps its number of colours, overrides stay at their index: colours may move
+    but stay in order. Where the number changes they go to near colours, as ``palette_remap`` says.
+    """
+    sizes = old.groupBy("image_id").agg(F.count("*").alias("was")).join(new.groupBy("image_id").agg(F.count("*").alias("now")), "image_id")
+    same = sizes.where("was = now").select("image_id")
+    kept = new.join(same, "image_id", "left_semi").select("image_id", "color_idx").join(old.select("image_id", "color_idx", "override"), ["image_id", "color_idx"], "left")
+    changed = new.join(same, "image_id", "left_anti")
+    return kept.unionByName(palette_remap(old.join(same, "image_id", "left_anti"), changed))
+
+
 def compute_fit(views: DataFrame) -> DataFrame:
     """Add zoom, pan_x and pan_y that show an image (iw, ih) whole and centred in a container (cw, ch), never enlarged."""
     zoom = F.least(F.lit(1.0), F.col("cw") / F.col("iw"), F.col("ch") / F.col("ih"))

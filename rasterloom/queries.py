@@ -309,6 +309,11 @@ def queries() -> dict:
     def palette_remap(s, d):
         return jobs.palette_remap(*_old_palette(s, d))
 
+    @add
+    def override_policy(s, d):
+        old, new = _old_palette(s, d)
+        return jobs.carry_overrides(old, new.where("image_id % 2 = 0 OR color_idx <> 3"))
+
     @add
     def compute_fit(s, d):
         v = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"), *[(F.col("p_partkey") * m % 997 + 3).cast("double").alias(n) for n, m in (("iw", 31), ("ih", 57), ("cw", 83), ("ch", 19))])
@@ -533,6 +538,10 @@ SELECT arc, i AS corner FROM dv a WHERE v >= {corners.LEAST!r} AND NOT EXISTS (S
     q["palette_remap"] = f"""WITH {OLD}, m AS (SELECT o.image_id, o.i, o.override, n.color_idx AS j, (o.r-n.r)*(o.r-n.r)+(o.g-n.g)*(o.g-n.g)+(o.b-n.b)*(o.b-n.b) AS d FROM old o JOIN new n USING (image_id) WHERE o.override IS NOT NULL),
 a AS (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS rn FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY image_id, j ORDER BY d, i) AS rk FROM a WHERE rn = 1 AND d <= 400)
 SELECT n.image_id, n.color_idx, b.override FROM new n LEFT JOIN b ON b.image_id = n.image_id AND b.j = n.color_idx AND b.rk = 1"""
+    remap = q["palette_remap"].replace("FROM new n LEFT JOIN", "FROM fewer n LEFT JOIN").replace("JOIN new n USING", "JOIN fewer n USING").replace(", m AS (", ", fewer AS (SELECT * FROM new WHERE image_id % 2 = 0 OR color_idx <> 3), m AS (", 1)
+    head, tail = remap.rsplit("\nSELECT ", 1)
+    q["override_policy"] = f"""{head}, r AS (SELECT {tail}), z AS (SELECT image_id, (SELECT count(*) FROM old o WHERE o.image_id = n.image_id) = count(*) AS same FROM fewer n GROUP BY image_id)
+SELECT r.image_id, r.color_idx, CASE WHEN same THEN o.override ELSE r.override END AS override FROM r JOIN z USING (image_id) LEFT JOIN old o ON o.image_id = r.image_id AND o.i = r.color_idx"""
     q["fingerprint"] = "WITH z AS (" + q["raster_embeddings"] + """), w AS (SELECT image_id, width, height, y, sha256(string_agg(printf('%X', r * 65536 + g * 256 + b), ',' ORDER BY x)) AS h FROM z GROUP BY image_id, width, height, y)
 SELECT image_id, width, height, sha256(width || ':' || height || ':' || string_agg(h, ',' ORDER BY y)) AS print FROM w GROUP BY image_id, width, height"""
     sums = {"mean": "sum({c})::DOUBLE / count(*)", "var": "(count(*) * sum({c} * {c}) - sum({c}) * sum({c}))::DOUBLE / (count(*) * count(*))"}
