@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .graph import cut
+from .graph import cut, cut_counting
 from .palette import palette_array
 
 
@@ -90,11 +90,11 @@ def trace(edges: DataFrame) -> DataFrame:
     while True:
         far = ahead.select("image_id", "region", F.col("edge_id").alias("next"), F.col("next").alias("far"), F.col("least").alias("far_least"), F.col("dist").alias("far_dist"))
         better = F.col("far_least") < F.col("least")
-        ahead = cut(ahead.join(far, ["image_id", "region", "next"]).select(
+        ahead, changed = cut_counting(ahead.join(far, ["image_id", "region", "next"]).select(
             "image_id", "region", "edge_id", F.col("far").alias("next"), F.when(better, F.col("far_least")).otherwise(F.col("least")).alias("least"),
-            F.when(better, F.col("far_dist") + reach).otherwise(F.col("dist")).alias("dist"), better.alias("better")))
+            F.when(better, F.col("far_dist") + reach).otherwise(F.col("dist")).alias("dist"), better.alias("better")), "better")
         reach *= 2
-        if ahead.where("better").limit(1).count() == 0:
+        if changed == 0:
             break
     named = ahead.select("image_id", "region", "edge_id", F.col("least.e").alias("loop"), "dist")
     sizes = named.groupBy("image_id", "region", "loop").agg(F.count("*").alias("m"))

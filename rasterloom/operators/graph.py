@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, condition: Column | str) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows that meet the condition, counted while they are written."""
+    seen = Observation()
+    test = F.expr(condition) if isinstance(condition, str) else condition
+    table = cut(df.observe(seen, F.count_if(test).alias("n")))
+    return table, seen.get["n"]
+
+
 def size_estimate(df: DataFrame) -> int:
     """Bytes that the optimizer expects of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -42,7 +50,9 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "image_id") -> Dat
     until nothing changes; jumping makes the number of rounds logarithmic in path length. Nodes
     without edges take no part in the rounds.
     """
-    both = cut(edges.select(key, "a", "b").union(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both, n = cut_counting(edges.select(key, "a", "b").union(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), F.lit(True))
+    if n == 0:
+        return nodes.select(key, "node", F.col("node").alias("comp"))
     labels = both.groupBy(key, F.col("a").alias("node")).agg(F.min("b").alias("low")).select(key, "node", F.least("node", "low").alias("comp"))
     labels = cut(labels)
     while True:
@@ -52,8 +62,8 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "image_id") -> Dat
         roots = hooked.groupBy(key, "comp").agg(F.min("low").alias("root"))
         moved = hooked.join(roots, [key, "comp"]).select(key, "node", "comp", "root")
         jump = labels.select(key, F.col("node").alias("root"), F.col("comp").alias("far"))
-        new = cut(moved.join(jump, [key, "root"]).select(key, "node", F.col("comp").alias("was"), F.least("root", "far").alias("comp")))
+        new, changed = cut_counting(moved.join(jump, [key, "root"]).select(key, "node", F.col("comp").alias("was"), F.least("root", "far").alias("comp")), "was <> comp")
         labels = new.select(key, "node", "comp")
-        if new.where("was <> comp").limit(1).count() == 0:
+        if changed == 0:
             break
     return nodes.select(key, "node").join(labels, [key, "node"], "left").select(key, "node", F.coalesce("comp", "node").alias("comp"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rasterloom.functions.numeric import u8
 
-from .graph import cut
+from .graph import cut, cut_counting
 
 # Fixed values of the estimator: gradient bound, sample cap, near radius and cap, blend and dead distances, RMS goal, seed.
 GRADIENT, CAP, NEAR, NEAR_CAP, BLEND, DEAD, RMS, SEED = 24, 50_000, 24, 20_000, 8, 4, 8, 12345
@@ -124,8 +124,9 @@ def lloyd(hist: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
 
         state = moved.select("image_id", F.transform("colors", move).alias("colors"))
         if k % 5 == 4 or k == rounds - 1:
-            state = cut(state)
-            if k < rounds - 1 and state.join(begun, "image_id").where("colors <> was").limit(1).count() == 0:
+            state, moved = cut_counting(state.join(begun, "image_id"), "colors <> was")
+            state = state.select("image_id", "colors")
+            if moved == 0:
                 break
             begun = state.select("image_id", F.col("colors").alias("was"))
     return state
@@ -173,8 +174,8 @@ def reseed(state: DataFrame, colors: DataFrame) -> DataFrame:
     live = live_centers(F.col("colors"))
     dead = F.filter("colors", lambda c: ~F.exists("live", lambda x: x["color_idx"] == c["color_idx"]))
     st = state.withColumn("live", live).withColumn("dead", F.transform(dead, lambda c: c["color_idx"])).withColumn("added", F.filter("colors", lambda c: F.lit(False)))
-    st = cut(st)
-    while st.where(F.size("dead") > 0).limit(1).count():
+    st, left = cut_counting(st, "size(dead) > 0")
+    while left:
         open_ = st.where(F.size("dead") > 0)
         one = open_.join(farthest_color(colors, open_.select("image_id", "live")), "image_id")
         p = F.col("far")
@@ -184,7 +185,7 @@ def reseed(state: DataFrame, colors: DataFrame) -> DataFrame:
         grown = lambda c: F.when(F.col("ok"), F.concat(c, F.array("new"))).otherwise(F.col(c))
         rest = F.when(F.col("ok"), F.slice("dead", F.lit(2), F.greatest(F.lit(0), F.size("dead") - 1))).otherwise(F.slice("dead", F.lit(1), F.lit(0)))
         one = one.select("image_id", put.alias("colors"), grown("live").alias("live"), rest.alias("dead"), grown("added").alias("added"))
-        st = cut(st.where(F.size("dead") == 0).unionByName(one))
+        st, left = cut_counting(st.where(F.size("dead") == 0).unionByName(one), "size(dead) > 0")
     return st.select("image_id", "colors", "added")
 
 
@@ -205,10 +206,10 @@ def fit_palettes(px: DataFrame, hist: DataFrame, colors: DataFrame, seeds: DataF
     state = lloyd(hist, seeds, 20)
     done = None
     for _ in range(4):
-        tried = cut(reseed(state, colors))
+        tried, more = cut_counting(reseed(state, colors), "size(added) > 0")
         same, changed = tried.where(F.size("added") == 0).select("image_id", "colors"), tried.where(F.size("added") > 0)
         done = same if done is None else done.unionByName(same)
-        if changed.limit(1).count() == 0:
+        if more == 0:
             return cut(done)
         hist = hist.join(changed.select("image_id"), "image_id", "left_semi").unionByName(near_samples(px, changed))
         hist = cut(hist.groupBy("image_id", "r", "g", "b").agg(F.sum("n").alias("n")))

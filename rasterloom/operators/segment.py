@@ -10,11 +10,13 @@ from pyspark.sql.types import LongType
 
 from rasterloom.functions.workers import reach_workers
 
-from .graph import components, cut
+from .graph import components, cut, cut_counting
 from .palette import distance2, ordinal, palette_array
 
 # Gap guard ratio, passes of despeckling, largest closing radius.
 GUARD, PASSES, MAX_RADIUS = 1.3, 8, 9
+#: A merge that has not run and may.
+OPEN = "NOT done AND s <> o AND ns < least"
 #: Side of the square tiles that components are first found in.
 TILE = 256
 
@@ -139,7 +141,9 @@ def regions(labelled: DataFrame, tile: int = TILE) -> DataFrame:
     tiles are joined with each other, so no task or join key holds more than a tile's pixels.
     """
     parts = cut(tile_parts(labelled, tile))
-    pairs = cut(border_pairs(parts, tile))
+    pairs, met = cut_counting(border_pairs(parts, tile), F.lit(True))
+    if met == 0:  # images of one tile
+        return parts.withColumnRenamed("part", "region")
     ends = pairs.select("image_id", F.explode(F.array("a", "b")).alias("node")).distinct()
     roots = components(pairs, ends).select("image_id", F.col("node").alias("part"), "comp")
     return parts.join(roots, ["image_id", "part"], "left").select(*labelled.columns, F.coalesce("comp", "part").cast(LongType()).alias("region"))
@@ -181,10 +185,9 @@ def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int | DataFrame)
     """
     size = lambda c, n: sizes.select("image_id", F.col("region").alias(c), F.col("size").alias(n))
     state = targets.join(size("small", "ns"), ["image_id", "small"]).join(size("other", "no"), ["image_id", "other"])
-    state = cut(with_least(state.select("image_id", "first", F.col("small").alias("s"), F.col("other").alias("o"), "ns", "no", F.lit(False).alias("done")), least))
-    open_ = lambda df: df.where("NOT done AND s <> o AND ns < least")
-    while open_(state).limit(1).count():
-        live = open_(state)
+    state, waiting = cut_counting(with_least(state.select("image_id", "first", F.col("small").alias("s"), F.col("other").alias("o"), "ns", "no", F.lit(False).alias("done")), least), OPEN)
+    while waiting:
+        live = state.where(OPEN)
         touched = live.select("image_id", "first", F.explode(F.when(F.col("no") < F.col("least"), F.array("s", "o")).otherwise(F.array("s"))).alias("r")).groupBy("image_id", "r").agg(F.min("first").alias("m"))
         turn = lambda c: touched.select("image_id", F.col("r").alias(c), F.col("m").alias(f"m{c}"))  # noqa: B023, E731
         ready = live.join(turn("s"), ["image_id", "s"]).join(turn("o"), ["image_id", "o"], "left")
@@ -198,7 +201,7 @@ def ordered_merges(targets: DataFrame, sizes: DataFrame, least: int | DataFrame)
             hit = F.col("to").isNotNull() if c == "o" else F.col("to").isNotNull() & ~F.col("done")
             rest = rest.withColumn(c, F.when(hit, F.col("to")).otherwise(F.col(c))).withColumn(n, F.when(hit, F.col("nt")).otherwise(F.col(n))).drop("to", "nt")
             rest = rest.join(gain.withColumnRenamed("r", c), ["image_id", c], "left").withColumn(n, F.col(n) + F.coalesce("gain", F.lit(0))).drop("gain")
-        state = cut(rest.unionByName(runs.withColumn("done", F.lit(True))))
+        state, waiting = cut_counting(rest.unionByName(runs.withColumn("done", F.lit(True))), OPEN)
     return state.where("done").select("image_id", F.col("s").alias("region"), F.col("o").alias("root"))
 
 
@@ -207,8 +210,8 @@ def despeckle(px: DataFrame, least: int | DataFrame) -> DataFrame:
     if not isinstance(least, DataFrame) and least <= 1:
         return px
     for _ in range(PASSES):
-        targets = cut(despeckle_targets(border_counts(px, least)))
-        if targets.limit(1).count() == 0:
+        targets, small = cut_counting(despeckle_targets(border_counts(px, least)), F.lit(True))
+        if small == 0:
             break
         moves = ordered_merges(targets, region_sizes(px).select("image_id", "region", "size"), least)
         px = cut(px.join(moves, ["image_id", "region"], "left").withColumn("region", F.coalesce("root", "region")).drop("root"))
