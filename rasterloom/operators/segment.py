@@ -17,14 +17,40 @@ from .palette import distance2, ordinal, palette_array
 GUARD, PASSES, MAX_RADIUS = 1.3, 8, 9
 #: A merge that has not run and may.
 OPEN = "NOT done AND s <> o AND ns < least"
+#: Pixels up to which an extreme is a window's frame.
+FRAME = 32
 #: Side of the square tiles that components are first found in.
 TILE = 256
 
 
+def line_extreme(mask: DataFrame, radius: int, op, along: str) -> DataFrame:
+    """``m`` as the extreme over ``radius`` pixels to either side in a line; outside pixels are ignored.
+
+    Beyond FRAME pixels a window's frame would cost its width at every pixel. The line is then cut
+    into blocks of the width: every frame is the end of one block and the beginning of the next,
+    whose extremes run along the blocks, so the work does not grow with the radius.
+    """
+    other, size = ("y" if along == "x" else "x"), 2 * radius + 1
+    line = W.partitionBy("image_id", other).orderBy(along)
+    if size <= FRAME:
+        return mask.withColumn("m", op("m").over(line.rowsBetween(-radius, radius)))
+    block = W.partitionBy("image_id", other, "block")
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    placed = mask.withColumn("place", F.row_number().over(line) - 1).withColumn("block", F.floor(F.col("place") / size))
+    runs = placed.withColumn("head", op("m").over(upto(block.orderBy(along)))).withColumn("tail", op("m").over(upto(block.orderBy(F.col(along).desc()))))
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # The frame's last pixel, or the line's where it is shorter; its first one, none where the line begins in it.
+    at = runs.withColumn("end", F.coalesce(F.lead("head", radius).over(line), F.last("head").over(whole))).withColumn("end_block", F.coalesce(F.lead("block", radius).over(line), F.last("block").over(whole)))
+    at = at.withColumn("begin", F.lag("tail", radius).over(line)).withColumn("begin_block", F.lag("block", radius).over(line))
+    both = F.greatest("begin", "end") if op is F.max else F.least("begin", "end")
+    # A frame that the line cuts off lies in one block: with the line's first pixel at its beginning, or with its last at its end.
+    value = F.when(F.col("begin").isNull(), F.col("end")).when(F.col("begin_block") == F.col("end_block"), F.when(F.col("place") + radius < F.col("last"), F.col("end")).otherwise(F.col("begin"))).otherwise(both)
+    return at.withColumn("last", F.last("place").over(whole)).withColumn("m", value).select(*mask.columns)
+
+
 def dilate(mask: DataFrame, radius: int, op=F.max) -> DataFrame:
-    """Chebyshev dilation of column ``m`` by row and column windows; outside pixels are ignored."""
-    row, col = W.partitionBy("image_id", "y").orderBy("x").rowsBetween(-radius, radius), W.partitionBy("image_id", "x").orderBy("y").rowsBetween(-radius, radius)
-    return mask.withColumn("m", op("m").over(row)).withColumn("m", op("m").over(col))
+    """Chebyshev dilation of column ``m`` along rows and then columns."""
+    return line_extreme(line_extreme(mask, radius, op, "x"), radius, op, "y")
 
 
 def erode(mask: DataFrame, radius: int) -> DataFrame:

@@ -115,3 +115,15 @@ def test_blur_keeps_the_mean_and_spreads(spark):
     wide = {(r.y, r.x): r.r for r in pre.box_pass(px, 40, "x").collect()}  # reaches beyond both ends
     line = np.concatenate([np.repeat(cells[5, 0], 40), cells[5], np.repeat(cells[5, -1], 40)]).astype(float)
     assert all(abs(wide[5, x] - line[x : x + 81].mean()) < 1e-3 for x in range(32))
+
+
+@pytest.mark.parametrize("radius,height,width", [(3, 20, 17), (16, 50, 90), (40, 7, 200), (40, 90, 30)])
+def test_extremes_of_any_reach(spark, radius, height, width):
+    cells = np.random.default_rng(radius).integers(0, 1000, (height, width))
+    df = spark.createDataFrame([(0, y, x, int(cells[y, x])) for y in range(height) for x in range(width)], "image_id long, y int, x int, m long")
+    for f, op in ((segment.dilate, np.max), (segment.erode, np.min)):
+        got = np.zeros_like(cells)
+        for r in f(df, radius).collect():
+            got[r.y, r.x] = r.m
+        rows = np.stack([op(cells[:, max(0, x - radius) : x + radius + 1], axis=1) for x in range(width)], axis=1)
+        assert (got == np.stack([op(rows[max(0, y - radius) : y + radius + 1], axis=0) for y in range(height)])).all()
