@@ -128,10 +128,17 @@ def text_keys() -> list:
 def joined_hits(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """(k1, k2, hit, items) of the texts with an occurring window, by a join on prefix tokens.
 
-    A document's word takes part if it is some window's prefix token, with the words around it;
-    the positional bound wants the window's start inside the text, the length bound its end, and
-    the words themselves decide. A bitmap thins out words before the shuffle and may let others through.
+    Windows that share their rarest word are told apart by its neighbour: the key is the rarest
+    word with the one behind it, or before it where it is the last, or the word alone in a window
+    of one. A document's words take part if they are some window's key, with the words around
+    them; the positional bound wants the window's start inside the text, the length bound its end,
+    and the words themselves decide. A bitmap thins out keys before the shuffle and may let others
+    through. The rows of frequent keys, and of texts with many copies, are dealt to several tasks.
     """
+    words = F.split(F.col("window").cast("string"), " ")
+    first = F.least("place", F.size(words) - 2)
+    key = F.when(F.size(words) == 1, F.col("window").cast("string")).otherwise(F.array_join(F.slice(words, F.greatest(first, F.lit(0)) + 1, 2), " "))
+    found = found.select("window", key.cast("binary").alias("word"), F.greatest(first, F.lit(0)).alias("place"), "items")
     h = F.xxhash64("word")
     at, bit = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP - 1)), F.expr("shiftleft(1L, cast(xxhash64(word) & 63 AS INT))")
     bits = np.zeros(BITMAP, dtype=np.int64)
@@ -147,11 +154,12 @@ def joined_hits(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
             for k1, k2, text in zip(rows["k1"], rows["k2"], rows["text"]):
                 words = words_of(text)
                 for i, w in enumerate(words):
-                    x = xxhash.xxh64_intdigest(w, seed=42)
-                    if int(marks[x >> 6 & BITMAP - 1]) >> (x & 63) & 1:
-                        start = max(0, i - width + 1)
-                        for c, v in zip(out, (k1, k2, len(words), i, w, start, b" ".join(words[start : i + width]))):
-                            out[c].append(v)
+                    for token in (w, b" ".join(words[i : i + 2])) if i + 1 < len(words) else (w,):
+                        x = xxhash.xxh64_intdigest(token, seed=42)
+                        if int(marks[x >> 6 & BITMAP - 1]) >> (x & 63) & 1:
+                            start = max(0, i - width + 1)
+                            for c, v in zip(out, (k1, k2, len(words), i, token, start, b" ".join(words[start : i + width]))):
+                                out[c].append(v)
             return out
 
         return f
@@ -167,7 +175,8 @@ def joined_hits(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
     src = docs.select("text", *text_keys())
     placed = common.map_rows(src, ["k1", "k2", "text"], "k1 long, k2 long, n int, pos int, word binary, start int, context binary", tokens).distinct()
-    pairs = placed.join(found, "word")
+    placed = common.stored(placed)
+    pairs = common.join_spread(placed, found, ["word"], common.frequent(placed.groupBy("word").count(), ["word"], "count", placed.count()))
     true = common.map_rows(pairs, ["k1", "k2", "n", "pos", "start", "context", "window", "place", "items"], "k1 long, k2 long, at int, size int, items array<string>", lambda: verify)
     spans = F.collect_set(F.struct("at", "size"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))))
@@ -203,7 +212,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mo
 
     rows = common.map_rows(docs.select("doc_id", "text", *text_keys()), ["doc_id", "k1", "k2", "text"], "doc_id long, k1 long, k2 long, n_words long", lambda: count)
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    out = rows.join(joined_hits(docs, found, width), ["k1", "k2"], "left")
+    rows = common.stored(rows)
+    copies = common.frequent(rows.groupBy("k1", "k2").count(), ["k1", "k2"], "count", rows.count())
+    out = common.join_spread(rows, joined_hits(docs, found, width), ["k1", "k2"], copies, "left")
     return out.select("doc_id", "n_words", F.coalesce("hit", none("int")).alias("hit"), F.coalesce("items", none("string")).alias("items"))
 
 
