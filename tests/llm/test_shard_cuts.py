@@ -57,8 +57,11 @@ def test_without_room_few_groups_are_cut(spark):
 
 def test_groups_stay_whole(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    found = sharding.cut_links(sharding.shards_with_keys(docs.union(docs).union(docs), 16)).first()
+    found = sharding.cut_links(sharding.shards_with_keys(docs.union(docs).union(docs.where("doc_id % 2 = 0")).union(docs.selectExpr("doc_id", "concat(text, ' alone ', doc_id)")), 16)).first()
     assert found.n_groups > 80 and found.n_split == 0 and found.n_cut == 0
+    # With groups of three alone, quotas that three does not divide force cuts; each one fills a shard.
+    found = sharding.cut_links(sharding.shards_with_keys(docs.union(docs).union(docs), 16)).first()
+    assert found.n_groups > 80 and found.n_split < 16
 
 
 @pytest.mark.parametrize("sizes, free", [([5, 3], [4, 4]), ([2, 2, 2], [3, 3]), ([7], [1, 2, 4])])
