@@ -94,3 +94,19 @@ def test_whole_palettes_equal_a_walk(spark, pictures):
         assert held.min() > 0 and (gaps(centers, centers) + 1e9 * np.eye(3)).min() >= palette.DEAD**2  # nothing to repair
         centers = centers[np.argsort(centers @ (3, 6, 1), kind="stable")]
         assert found[i] == [tuple(np.floor(c + 0.5).astype(int)) for c in centers]
+
+
+def test_near_pixels_are_listed_with_their_places(spark):
+    """Pixels of equal colour stay apart; the query gives each with its place, as its SQL does."""
+    rng = np.random.default_rng(4)
+    p = rng.choice([100, 128, 150, 250], size=(20, 30))[..., None].repeat(3, axis=2)
+    grey = F.array(palette.center(F.lit(0), *[F.lit(128)] * 3))
+    out = palette.near_pixels(pixels(spark, {0: p, 1: p}), spark.range(1).select(F.col("id").alias("image_id"), grey.alias("added")), 60, 100)
+    near = [(y, x) for y in range(20) for x in range(30) if p[y, x, 0] < 200]
+    want = near[:: -(-len(near) // 100)]
+    assert sorted((r.y, r.x) for r in out.collect()) == want and 50 < len(want) <= 100
+    from rasterloom import queries
+
+    got = queries.queries()["pixels_near"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["image_id", "y", "x", "r", "g", "b"]
+    assert got.select("image_id", "y", "x").distinct().count() == got.count()
