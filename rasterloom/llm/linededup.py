@@ -100,13 +100,14 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int, keyed
     lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
     """
     hashes = F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    high = lambda h: F.shiftleft(level_of(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))).cast("long"), 56)
-    codes = F.transform(hashes, lambda h: high(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    # Array functions are interpreted node by node for every token, so their bodies are kept short.
+    level = common.numbers(levels, "int")
+    codes = F.transform(hashes, lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     # inline() keeps the filter below from computing the codes a second time.
     src = lines.select("doc", "line", *line_hash(F.col("text")), F.inline(F.array(F.struct(F.sort_array(codes).alias("codes")))))
     n = F.size("codes")
     keep = n - F.floor((n * num + den - 1) / den).cast("int") + 1
-    bit = lambda c: F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")
+    bit = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
     sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))))
     half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), bit(c))))
     wide = F.when(n >= WIDE_WORDS, half).otherwise(0)
@@ -123,7 +124,11 @@ def earlier(keyed: bool) -> Column:
 
 
 def _may_match(num: int, den: int) -> Column:
-    """Length, positional and sketch filters on a pair x, y that shares a prefix token."""
+    """Sketch, length and positional filters on a pair x, y that shares a prefix token.
+
+    Sets that match differ in no more than (den - num) / (den + num) of their sizes' sum. Most pairs
+    fail this for 64 bits of sketch, the cheapest test, so it comes first.
+    """
     n, m = (F.shiftright(c, 32) for c in ("np", "y_np"))
     pos, y_pos = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("np", "y_np"))
     need = F.expr(f"((shiftright(np, 32) + shiftright(y_np, 32)) * {num} + {num + den - 1}) div {num + den}")
@@ -131,7 +136,8 @@ def _may_match(num: int, den: int) -> Column:
     both = F.col("sketch").bitwiseXOR(F.col("y_sketch"))
     half = F.col("wide").bitwiseXOR(F.col("y_wide"))
     differ = F.when((n >= WIDE_WORDS) & (m >= WIDE_WORDS), F.bit_count(half) + F.bit_count(both.bitwiseXOR(half))).otherwise(F.bit_count(both))
-    return (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
+    near = F.bit_count(both) * (num + den) <= (n + m) * (den - num)
+    return near & (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
 
 
 def texts_of(pairs: DataFrame, lines: DataFrame, kept: list[str]) -> DataFrame:
@@ -188,7 +194,7 @@ def earlier_partners(mine: DataFrame, rows: DataFrame, hot: DataFrame | None, nu
     Rows of a hot token meet in cells: by bands of sizes, as sizes that may match lie at most one
     band apart, and in each band by parts of TOKEN_ROWS rows on either side.
     """
-    ok = _may_match(num, den) & earlier(keyed)
+    ok = earlier(keyed) & _may_match(num, den)
     theirs = other_side(rows)
     if hot is None:
         return mine.join(theirs, (mine["token"] == theirs["token"]) & ok)

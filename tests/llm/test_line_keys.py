@@ -66,3 +66,23 @@ def test_rare_tokens_of_crowded_buckets_are_not_copied(spark):
     assert "band" in plan and met.count() > 0
     band = F.floor(F.log((F.col("doc") % 90 + 10).cast("double")) / F.log(F.lit(1.25)) + 1e-9)
     assert many.groupBy(band.alias("b")).count().agg(F.max("count")).first()[0] < 60_000
+
+
+def test_long_and_short_lines_at_the_bound(spark):
+    """Lines about the size at which sketches get wider, changed by so many tokens that some pairs match just so."""
+    from tests.llm.test_operators import brute_line_dedup
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        base = [f"t{rng.randrange(10**9)}" for _ in range(rng.choice([9, 18, 45, 60, 63, 64, 72, 90]))]
+        swaps = len(base) // 9
+        for n in (0, swaps, swaps + 1):
+            rows.append(" ".join([f"s{rng.randrange(10**9)}" for _ in range(n)] + base[n:]))
+        rows.append(" ".join(base[: -(-len(base) * 4 // 5)]))
+    rng.shuffle(rows)
+    docs = [(k, "\n".join(rows[4 * k : 4 * k + 4])) for k in range(40)]
+    gone = brute_line_dedup(docs)
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {k: "\n".join(t for n, t in enumerate(text.split("\n")) if (k, n) not in gone) for k, text in docs}
+    assert 60 < len(gone) < 120
