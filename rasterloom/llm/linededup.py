@@ -19,8 +19,10 @@ OTHER_SPACES = "\t\x0b\x0c\r"
 TOKEN_ROWS = 1 << 15
 #: What a line's row of a token holds, and the places of a pair.
 COLUMNS, NAMES = ("doc", "line", "np", "sketch", "wide"), ("doc", "line", "y_doc", "y_line")
-#: Lines of a token with no more rows than this are all compared, whatever the earliest is like.
+#: Lines with fewer earlier ones of a token than this are compared with all of them, whatever the earliest is like.
 SMALL_TOKEN = 16
+#: Lines of a token with no more rows than this are joined with each other at once, without a look at the earliest.
+PLAIN_ROWS = 1 << 8
 
 
 def doc_key(id_col: str, text_col: str, keyed: bool) -> Column:
@@ -76,22 +78,16 @@ def level_of(levels: list[int], bucket: Column) -> Column:
     return F.coalesce(F.get(common.numbers(levels, "int"), bucket.cast("int")), F.lit(0))
 
 
-def first_places(rows: DataFrame, keyed: bool) -> DataFrame:
+def first_places(rows: DataFrame) -> DataFrame:
     """``rows`` without the columns doc and line, once, with the first (doc, line) of equal rows and their number, ``copies``.
 
-    A plain id and a line number are packed into one decimal, which keeps the grouping hashed.
+    The smallest struct takes a sorted grouping, which costs less than a place packed into one decimal.
     """
     keys = [c for c in rows.columns if c not in ("doc", "line")]
-    if keyed:
-        return rows.groupBy(*keys).agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("copies")).select("f.*", *keys, "copies")
-    place = F.col("doc").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    found = rows.groupBy(*keys).agg(F.min(place).alias("place"), F.count("*").alias("copies"))
-    line = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
-    found = found.withColumn("line", line).withColumn("doc", F.expr("(place - line) div 2147483648").cast("long"))
-    return found.select("doc", "line", *keys, "copies")
+    return rows.groupBy(*keys).agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("copies")).select("f.*", *keys, "copies")
 
 
-def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int, keyed: bool) -> DataFrame:
+def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> DataFrame:
     """Distinct lines with the place of their first occurrence, size, prefix tokens and a parity sketch.
 
     Tokens are ordered by rarity, ties by their hash. Two lines with a Jaccard similarity of
@@ -99,21 +95,23 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int, keyed
     flipped by each token; two sketches differ in no more bits than the sets in tokens. In long
     lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
     """
-    hashes = F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(F.split(spaced(F.col("text")), " "), lambda w: F.xxhash64(w)))
+    hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))  # numbers are dropped faster than strings
     # Array functions are interpreted node by node for every token, so their bodies are kept short.
-    level = common.numbers(levels, "int")
-    codes = F.transform(hashes, lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    # Without nulls, as coalesce says, codes are sorted as plain numbers.
+    level = common.numbers(levels, "bigint")
+    codes = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(level, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0).cast("long")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     # inline() keeps the filter below from computing the codes a second time.
     src = lines.select("doc", "line", *line_hash(F.col("text")), F.inline(F.array(F.struct(F.sort_array(codes).alias("codes")))))
     n = F.size("codes")
     keep = n - F.floor((n * num + den - 1) / den).cast("int") + 1
-    bit = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
-    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))))
-    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), bit(c))))
+    # A shift takes the low six bits of the hash.
+    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(c))))
+    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), F.hash(c))))
     wide = F.when(n >= WIDE_WORDS, half).otherwise(0)
     low = F.lit(0xFFFFFFFF)
     rows = src.where(n > 0).select("doc", "line", "same", "check", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
-    return first_places(rows, keyed)
+    return first_places(rows)
 
 
 def earlier(keyed: bool) -> Column:
@@ -167,6 +165,12 @@ def token_rows(distinct: DataFrame) -> DataFrame:
     return rows.select(full(F.col("token").cast("long")).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
 
 
+def crowded_tokens(distinct: DataFrame) -> Column:
+    """A test of the column token: true for all with more than PLAIN_ROWS rows, and for few others."""
+    counts = distinct.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    return common.bitmap(counts.where(F.col("count") > min(PLAIN_ROWS, TOKEN_ROWS)).select(F.col("token").cast("long")), "token")
+
+
 def hot_tokens(rows: DataFrame, levels: list[int]) -> DataFrame | None:
     """(token) of those with more than TOKEN_ROWS rows and more than a HOT_KEYS-th of all; fewer than HOT_KEYS, whatever the input.
 
@@ -216,31 +220,41 @@ def earlier_partners(mine: DataFrame, rows: DataFrame, hot: DataFrame | None, nu
 def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct lines, and (doc, line) of those with an earlier similar line.
 
-    Each prefix token's lines are compared with the earliest of them through a window. Lines
-    whose sketch is far from it, and all lines of small tokens, are joined with the earlier lines
+    Lines of a prefix token are joined with the earlier ones of it, which takes less than a window
+    while a token has few rows. Those of a crowded token are first compared with the earliest of
+    them through a window. Lines whose sketch is far from it are joined with the earlier lines
     of the token; the near ones are verified first and joined only if that fails, so a group of
     similar lines costs as many comparisons as it has lines.
     """
     levels = rarity_levels(lines)
-    distinct = common.stored(line_prefixes(lines, levels, num, den, keyed), kept)
+    distinct = common.stored(line_prefixes(lines, levels, num, den), kept)
     every = token_rows(distinct)
     hot = hot_tokens(every, levels)
     names = NAMES
+    differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
+    # The bitmap parts tokens, not rows: all rows of a token go one way, and one that it lets through needlessly is only dearer.
+    crowded = crowded_tokens(distinct)
+    few = every.where(~crowded).repartition("token")
+    plain = earlier_partners(few, few, None, num, den, keyed).select(*names, differ, F.lit(False).alias("skipped"))
+    every = every.where(crowded)
     # Rows are shuffled once, for the window and for both sides of the join.
     cold = (every if hot is None else every.join(F.broadcast(hot), "token", "left_anti")).repartition("token")
     dealt = cold if hot is None else cold.unionByName(every.join(F.broadcast(hot), "token", "left_semi"))
-    differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
-    headed = cold.withColumn("h", F.min(F.struct(*COLUMNS)).over(W.partitionBy("token"))).withColumn("rows", F.count("*").over(W.partitionBy("token"))).where(F.col("rows") > 1)
+    # In order of places the earliest line comes first, and a line of rank r has r - 1 earlier ones: one sort, no second look at a token's rows.
+    ordered = W.partitionBy("token").orderBy("doc", "line")
+    so_far = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    headed = cold.select("token", *COLUMNS, *[F.first(c).over(so_far).alias(f"y_{c}") for c in COLUMNS], F.row_number().over(ordered).alias("rank")).where(F.col("rank") > 1)
     if hot is not None:  # the earliest line of each hot token, without bringing its lines together
         busy = every.join(F.broadcast(hot), "token", "left_semi")
-        heads = common.cut(busy.groupBy("token").agg(F.min(F.struct(*COLUMNS)).alias("h"), F.count("*").alias("rows")))
-        headed = headed.unionByName(busy.join(F.broadcast(heads), "token"))
-    not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
-    tested = headed.select("token", "rows", *COLUMNS, *[F.col(f"h.{c}").alias(f"y_{c}") for c in COLUMNS]).where(not_head).withColumn("near", _may_match(num, den))
-    near = tested.where("near").select(*names, differ, (F.col("rows") > SMALL_TOKEN).alias("skipped"))
-    far = tested.where(f"rows > 2 AND (NOT near OR rows <= {SMALL_TOKEN})").select("token", *COLUMNS)
+        heads = common.cut(busy.groupBy("token").agg(F.min(F.struct(*COLUMNS)).alias("h")))
+        not_head = ~(F.col("doc").eqNullSafe(F.col("y_doc")) & (F.col("line") == F.col("y_line")))
+        busy = busy.join(F.broadcast(heads), "token").select("token", *COLUMNS, *[F.col(f"h.{c}").alias(f"y_{c}") for c in COLUMNS], F.lit(TOKEN_ROWS).alias("rank"))
+        headed = headed.unionByName(busy.where(not_head))
+    tested = headed.withColumn("near", _may_match(num, den))
+    near = tested.where("near").select(*names, differ, (F.col("rank") > SMALL_TOKEN).alias("skipped"))
+    far = tested.where(f"rank > 2 AND (NOT near OR rank <= {SMALL_TOKEN})").select("token", *COLUMNS)
     rest = earlier_partners(far, dealt, hot, num, den, keyed).select(*names, differ, F.lit(False).alias("skipped"))
-    pairs = common.cut(near.union(rest).groupBy(*names).agg(F.min("differ").alias("differ"), F.max("skipped").alias("skipped")))
+    pairs = common.cut(plain.union(near).union(rest).groupBy(*names).agg(F.min("differ").alias("differ"), F.max("skipped").alias("skipped")))
     texts = texts_of(pairs, lines, kept)
     # One match is enough to remove a line: its likeliest pair is verified first, the others where that fails.
     best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("b")).select("doc", "line", "b.y_doc", "b.y_line")

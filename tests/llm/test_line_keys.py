@@ -86,3 +86,31 @@ def test_long_and_short_lines_at_the_bound(spark):
     out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {k: "\n".join(t for n, t in enumerate(text.split("\n")) if (k, n) not in gone) for k, text in docs}
     assert 60 < len(gone) < 120
+
+
+def test_crowded_and_other_tokens_lose_no_pair(spark, monkeypatch):
+    """Tokens of few rows are joined at once, others go by their earliest line; both find what brute force does."""
+    from tests.llm.test_operators import brute_line_dedup
+
+    rng = random.Random(23)
+    rows = []
+    for k in range(30):
+        base = [f"b{k}x{j}" for j in range(24)]
+        for _ in range(30 if k % 6 == 0 else 3):  # groups of near copies on either side of the bound
+            rows.append(" ".join([*base[: rng.randrange(20, 24)], *(f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(5)))]))
+    rng.shuffle(rows)
+    docs = [(k, "\n".join(rows[3 * k : 3 * k + 3])) for k in range(len(rows) // 3)]
+    gone = brute_line_dedup(docs)
+    want = {k: "\n".join(t for n, t in enumerate(text.split("\n")) if (k, n) not in gone) for k, text in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (1, 20, linededup.PLAIN_ROWS):
+        monkeypatch.setattr(linededup, "PLAIN_ROWS", most)
+        assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == want
+    assert len(gone) > 100
+
+
+def test_ids_that_are_strings(spark):
+    line = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([("b", f"{line} more\nkept b"), ("a", f"{line}\nkept a"), ("c", line)], "doc_id string, text string")
+    out = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()}
+    assert out == {"a": (f"{line}\nkept a", 0), "b": ("kept b", 1), "c": ("", 1)}
