@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from . import common
 
 #: Buckets of the token count table; every token of every line is counted in one of them.
-RARITY_BUCKETS = 1 << 16
+RARITY_BUCKETS = 1 << 18
 #: Lines of so many distinct tokens have 128 bits of sketch, shorter ones 64.
-WIDE_WORDS = 64
+WIDE_WORDS = 96
 #: White space that parts tokens beside the space; the newline parts lines.
 OTHER_SPACES = "\t\x0b\x0c\r"
 #: Lines of one token that a task holds; those of tokens with more are dealt to several tasks.
@@ -64,20 +64,17 @@ def line_hash(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("same"), (F.octet_length(text).cast("long") * (1 << 32) + F.crc32(text.cast("binary"))).alias("check")]
 
 
-def rarity_levels(lines: DataFrame) -> list[int]:
-    """Level of each bucket: 2 log2 of the occurrences of its tokens over all lines."""
+def rarity_levels(texts: DataFrame) -> list[int]:
+    """Level of each bucket: 2 log2 of the occurrences of its tokens over all lines, which need not be parted for this."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1))
-    counts = lines.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+    whole = texts.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    counts = whole.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).toArrow()
     levels = [0] * RARITY_BUCKETS
-    for r in counts:
-        levels[r["b"]] = min(127, int(2 * math.log2(r["n"] + 1)))
+    for b, n in zip(counts["b"].to_pylist(), counts["n"].to_pylist()):
+        levels[b] = min(127, int(2 * math.log2(n + 1)))
     return levels
 
 
-def level_of(levels: list[int], bucket: Column) -> Column:
-    return F.coalesce(F.get(common.numbers(levels, "int"), bucket.cast("int")), F.lit(0))
-
-
 def first_places(rows: DataFrame) -> DataFrame:
     """``rows`` without the columns doc and line, once, with the first (doc, line) of equal rows and their number, ``copies``.
 
@@ -94,6 +91,7 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> Da
     num/den or more share one of the first n - ceil(n num/den) + 1 tokens. The sketch has a bit
     flipped by each token; two sketches differ in no more bits than the sets in tokens. In long
     lines ``wide`` has the flips of half of the tokens alone, which makes a sketch of twice the bits.
+    Prefix tokens are 31 bits of their hashes, negative where the level allows more than PLAIN_ROWS rows.
     """
     hashes = F.array_distinct(F.transform(F.split(spaced(F.col("text")), " "), lambda w: F.xxhash64(w)))
     hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))  # numbers are dropped faster than strings
@@ -109,8 +107,13 @@ def line_prefixes(lines: DataFrame, levels: list[int], num: int, den: int) -> Da
     sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(c))))
     half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 26).bitwiseAND(F.lit(1)), F.hash(c))))
     wide = F.when(n >= WIDE_WORDS, half).otherwise(0)
-    low = F.lit(0xFFFFFFFF)
-    rows = src.where(n > 0).select("doc", "line", "same", "check", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), lambda c: (c.bitwiseAND(low) - (1 << 31)).cast("int")).alias("prefix"))
+    sure = int(2 * math.log2(min(PLAIN_ROWS, TOKEN_ROWS) + 1)) << 56
+
+    def token(c: Column) -> Column:
+        low = c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        return F.when(c < F.lit(sure).cast("long"), low).otherwise(F.bitwise_not(low))
+
+    rows = src.where(n > 0).select("doc", "line", "same", "check", n.alias("n"), sketch.alias("sketch"), wide.alias("wide"), F.transform(F.slice("codes", F.lit(1), keep), token).alias("prefix"))
     return first_places(rows)
 
 
@@ -138,9 +141,14 @@ def _may_match(num: int, den: int) -> Column:
     return near & (n * num <= m * den) & (m * num <= n * den) & (reach >= need) & (differ <= n + m - 2 * need)
 
 
-def texts_of(pairs: DataFrame, lines: DataFrame, kept: list[str]) -> DataFrame:
-    """(doc, line, text) of all lines in some pair, by one scan; a bitmap may let a few others through."""
+def texts_of(pairs: DataFrame, lines: DataFrame, kept: list[str], few: bool = False) -> DataFrame:
+    """(doc, line, text) of all lines in some pair, by one scan; a bitmap may let a few others through.
+
+    Where pairs are few, only their documents are cut into lines.
+    """
     ids = pairs.select("doc", "line").union(pairs.select("y_doc", "y_line"))
+    if few:
+        lines = lines.where(common.bitmap(ids, "doc"))
     return common.stored(lines.where(common.bitmap(ids, "doc", "line")), kept)
 
 
@@ -165,27 +173,32 @@ def token_rows(distinct: DataFrame) -> DataFrame:
     return rows.select(full(F.col("token").cast("long")).alias("token"), "doc", full(F.col("line")).alias("line"), full(np).alias("np"), full(F.col("sketch")).alias("sketch"), full(F.col("wide")).alias("wide"))
 
 
-def crowded_tokens(distinct: DataFrame) -> Column:
-    """A test of the column token: true for all with more than PLAIN_ROWS rows, and for few others."""
-    counts = distinct.select(F.explode("prefix").alias("token")).groupBy("token").count()
-    return common.bitmap(counts.where(F.col("count") > min(PLAIN_ROWS, TOKEN_ROWS)).select(F.col("token").cast("long")), "token")
+def dealt_by_token(rows: DataFrame) -> DataFrame:
+    """``rows`` shuffled by token, with token and line, of 32 bits each, in one number on the way, as these rows are most of what is written."""
+    both = F.shiftleft("token", 32).bitwiseOR(F.col("line"))
+    token = F.shiftright("both", 32)
+    packed = rows.select(both.alias("both"), *[c for c in COLUMNS if c != "line"]).repartition(token)
+    return packed.select(token.alias("token"), "doc", F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).alias("line"), *COLUMNS[2:])
+
 
+def crowded_tokens(distinct: DataFrame) -> DataFrame:
+    """(token, count) of all with more than PLAIN_ROWS rows; only negative tokens may have so many."""
+    counts = distinct.select(F.explode("prefix").alias("token")).where("token < 0").groupBy("token").count()
+    return common.cut(counts.where(F.col("count") > min(PLAIN_ROWS, TOKEN_ROWS)).select(F.col("token").cast("long").alias("token"), "count"))
 
-def hot_tokens(rows: DataFrame, levels: list[int]) -> DataFrame | None:
+
+def hot_tokens(rows: DataFrame, levels: list[int], counts: DataFrame | None = None) -> DataFrame | None:
     """(token) of those with more than TOKEN_ROWS rows and more than a HOT_KEYS-th of all; fewer than HOT_KEYS, whatever the input.
 
-    A bucket of the rarity table bounds the rows of each token in it, so only those in buckets
-    that are large enough are counted one by one.
+    ``levels`` are 2 log2 of the occurrences in buckets of tokens, the largest among them; without a large one
+    nothing is counted. ``counts`` are the tokens' numbers of rows, where these are known.
     """
     if 2 ** ((max(levels) + 1) / 2) <= TOKEN_ROWS:
         return None
-    bound = F.pow(F.lit(2.0), (level_of(levels, F.col("token").bitwiseAND(F.lit(RARITY_BUCKETS - 1))) + 1) / 2)
-    counts = common.cut(rows.where(bound > TOKEN_ROWS).groupBy("token").count().where(F.col("count") > TOKEN_ROWS))
-    if counts.limit(1).count() == 0:
-        return None
-    least = max(TOKEN_ROWS, rows.count() // common.HOT_KEYS)
-    hot = common.cut(counts.where(F.col("count") > least).select("token"))
-    return hot if hot.limit(1).count() else None
+    counts = common.cut(rows.groupBy("token").count()) if counts is None else counts
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    least = max(TOKEN_ROWS, (total or 0) // common.HOT_KEYS)
+    return common.cut(counts.where(F.col("count") > least).select("token")) if (most or 0) > least else None
 
 
 def other_side(rows: DataFrame) -> DataFrame:
@@ -217,7 +230,7 @@ def earlier_partners(mine: DataFrame, rows: DataFrame, hot: DataFrame | None, nu
     return cold.select(*NAMES, "sketch", "y_sketch").unionByName(met.select(*NAMES, "sketch", "y_sketch"))
 
 
-def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+def later_matches(lines: DataFrame, texts: DataFrame, num: int, den: int, keyed: bool, kept: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct lines, and (doc, line) of those with an earlier similar line.
 
     Lines of a prefix token are joined with the earlier ones of it, which takes less than a window
@@ -226,17 +239,18 @@ def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[
     of the token; the near ones are verified first and joined only if that fails, so a group of
     similar lines costs as many comparisons as it has lines.
     """
-    levels = rarity_levels(lines)
+    levels = rarity_levels(texts)
     distinct = common.stored(line_prefixes(lines, levels, num, den), kept)
     every = token_rows(distinct)
-    hot = hot_tokens(every, levels)
     names = NAMES
     differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("y_sketch"))).alias("differ")
     # The bitmap parts tokens, not rows: all rows of a token go one way, and one that it lets through needlessly is only dearer.
-    crowded = crowded_tokens(distinct)
-    few = every.where(~crowded).repartition("token")
+    counts = crowded_tokens(distinct)
+    crowded = (F.col("token") < 0) & common.bitmap(counts, "token")
+    few = dealt_by_token(every.where(~crowded))
     plain = earlier_partners(few, few, None, num, den, keyed).select(*names, differ, F.lit(False).alias("skipped"))
     every = every.where(crowded)
+    hot = hot_tokens(every, levels, counts)
     # Rows are shuffled once, for the window and for both sides of the join.
     cold = (every if hot is None else every.join(F.broadcast(hot), "token", "left_anti")).repartition("token")
     dealt = cold if hot is None else cold.unionByName(every.join(F.broadcast(hot), "token", "left_semi"))
@@ -267,18 +281,21 @@ def later_matches(lines: DataFrame, num: int, den: int, keyed: bool, kept: list[
     open_ = common.cut(tried.join(found, same_place(tried, found), "left_anti"))
     if open_.limit(1).count() == 0:
         return distinct, found
-    mine = common.cut(dealt.where(common.bitmap(open_, "doc", "line")).join(open_, same_place(dealt, open_), "left_semi"))
+    o_names, p_names = ("o_doc", "o_line"), [f"p_{c}" for c in names]
+    missed = open_.toDF(*o_names)
+    mine = common.cut(dealt.where(common.bitmap(open_, "doc", "line")).join(missed, same_place(dealt, missed, ("doc", "line"), o_names), "left_semi"))
     theirs = dealt.where(common.bitmap(mine.select("token").distinct(), "token"))
     again = earlier_partners(mine, theirs, hot, num, den, keyed).select(*names).distinct()
-    again = common.cut(again.join(pairs, same_place(again, pairs, names), "left_anti"))
-    return distinct, found.union(verified(again, texts_of(again, lines, kept), num, den).select("doc", "line")).distinct()
+    done = pairs.select(*names).toDF(*p_names)
+    again = common.cut(again.join(done, same_place(again, done, names, p_names), "left_anti"))
+    return distinct, found.union(verified(again, texts_of(again, lines, kept, few=True), num, den).select("doc", "line")).distinct()
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keyed: bool = True) -> DataFrame:
     """(doc, line) of every line that has an earlier match, exact copies included."""
     lines = lines_of(docs, id_col, text_col, keyed)
     kept: list[str] = []
-    distinct, similar = later_matches(lines, num, den, keyed, kept)
+    distinct, similar = later_matches(lines, docs.select(F.col(text_col).alias("text")), num, den, keyed, kept)
     # Every occurrence of a line that is copied, or whose first occurrence has an earlier match.
     late = similar.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.lit(True).alias("late"))
     first = distinct.join(late, same_place(distinct, late, ("doc", "line"), ("l_doc", "l_line")), "left").where("copies > 1 OR late")

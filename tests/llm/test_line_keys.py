@@ -114,3 +114,17 @@ def test_ids_that_are_strings(spark):
     df = spark.createDataFrame([("b", f"{line} more\nkept b"), ("a", f"{line}\nkept a"), ("c", line)], "doc_id string, text string")
     out = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()}
     assert out == {"a": (f"{line}\nkept a", 0), "b": ("kept b", 1), "c": ("", 1)}
+
+
+def test_rare_tokens_are_told_apart(spark):
+    """300,000 tokens that occur once fall into buckets that hold one or two of them, so others are seen to be more frequent."""
+    once = spark.range(300_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    levels = sorted(x for x in linededup.rarity_levels(once) if x)
+    assert levels[len(levels) // 2] <= 3
+
+
+def test_rows_dealt_by_token_stay_whole(spark):
+    """Token and line travel in one number: all bits of either come back, for tokens of either sign."""
+    rows = [(t, 5, line, 1 << 32, -1, 0) for t in (-(1 << 31), -1, 0, (1 << 31) - 1) for line in (0, 1, (1 << 31) - 1)]
+    df = spark.createDataFrame(rows, "token long, doc long, line long, np long, sketch long, wide long")
+    assert sorted(map(tuple, linededup.dealt_by_token(df).collect())) == sorted(rows)
